@@ -55,7 +55,7 @@ def questions(spark, sf):
 
 @query("corpus_terms", with_ctes(BM25, select="select term, df, round(idf, 6) as idf from weights"))
 def corpus_terms(spark, sf):
-    return R.term_weights(corpus(spark, sf)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return R.term_weights(R.term_counts(R.postings(corpus(spark, sf)))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("postings_by_chunk", with_ctes(BM25, select="""

@@ -4,7 +4,11 @@
 # White space as a general-purpose scripting language strips and splits it.
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NOT_SPACE = SPACE.replace("[", "[^", 1)
-TOKEN = r"([a-z0-9]+)"
+SPACE_CHARACTERS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+NOT_TOKEN = "[^a-z0-9]+"
 CITATION = r"\[Doc: (.*?), Clause: (.*?)\]"
 
 # --- Fixed values: chunking ---------------------------------------------------------

@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from clausegrid.functions.fixed import CITATION, NOT_SPACE, SPACE, TOKEN
+from clausegrid.functions.fixed import CITATION, NOT_SPACE, NOT_TOKEN, SPACE_CHARACTERS
 
 # Letters with case, as the title-case and upper-case tests see them.
 UPPER = r"\p{IsUppercase}"
@@ -13,11 +13,11 @@ TITLE = r"\p{Lt}"
 
 def tokens(text: Column) -> Column:
     """Lower-cased ASCII letter/digit runs; no stop words are removed."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1))
+    return F.array_remove(F.split(F.lower(text), NOT_TOKEN), "")
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACE_CHARACTERS))
 
 
 def is_blank(text: Column) -> Column:

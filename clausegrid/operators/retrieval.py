@@ -17,41 +17,41 @@ SCORE_DIGITS = 9
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, ord, term, tf, len). Chunks without tokens have no rows.
+    """(chunk_id, ord, len, term, tf, head). Chunks without tokens have no rows;
+    ``head`` marks one row per chunk.
 
-    The text is shuffled once by chunk; both the count here and the per-question sum in
-    ``bm25_top_k`` group on the chunk, so neither shuffles again.
+    The text is shuffled once by chunk, before it is tokenised. The count here and the
+    per-question sum in ``bm25_top_k`` group on the chunk, so neither shuffles again, and
+    the statistics below start from the same shuffle.
     """
     return (
-        chunks.select("chunk_id", "ord", tokens(F.col("text")).alias("t"))
-        .filter(F.size("t") > 0)
+        chunks.select("chunk_id", "ord", "text")
         .repartition("chunk_id")
-        .select("chunk_id", "ord", F.size("t").alias("len"), F.explode("t").alias("term"))
+        .select("chunk_id", "ord", tokens(F.col("text")).alias("t"))
+        .select("chunk_id", "ord", F.size("t").alias("len"), F.posexplode("t").alias("at", "term"))
         .groupBy("chunk_id", "ord", "len", "term")
-        .agg(F.count("*").cast("int").alias("tf"))
+        .agg(F.count("*").cast("int").alias("tf"), (F.min("at") == 0).alias("head"))
     )
 
 
-def corpus_size(chunks: DataFrame) -> DataFrame:
-    """One row (n_chunks, avg_len) over the chunks that have tokens."""
-    return (
-        chunks.select(F.size(tokens(F.col("text"))).alias("len")).filter("len > 0")
-        .agg(F.count("*").alias("n_chunks"), F.avg("len").alias("avg_len"))
+def term_counts(posts: DataFrame) -> DataFrame:
+    """(term, df, occurrences, heads). Counts combine on the map side, so a term of
+    every chunk sends one row per task."""
+    return posts.groupBy("term").agg(
+        F.count("*").alias("df"), F.sum("tf").alias("occurrences"), F.count_if("head").alias("heads")
     )
 
 
-def term_weights(chunks: DataFrame, epsilon: float = fixed.BM25_EPSILON) -> DataFrame:
-    """(term, df, idf); a negative idf becomes epsilon times the mean idf.
+def corpus_size(counts: DataFrame) -> Column:
+    """Struct (n_chunks, avg_len) as a scalar subquery over the per-term counts."""
+    n, total = F.sum("heads"), F.sum("occurrences")
+    return counts.agg(F.struct(n.alias("n_chunks"), (total / n).alias("avg_len"))).scalar()
 
-    Terms are made distinct inside each chunk, then counted with map-side partial
-    counts, so a term present in every chunk sends one row per task.
-    """
-    df = (
-        chunks.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-        .groupBy("term").agg(F.count("*").alias("df"))
-    )
-    n = corpus_size(chunks).select("n_chunks").scalar()
-    raw = df.withColumn("raw", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+
+def term_weights(counts: DataFrame, epsilon: float = fixed.BM25_EPSILON) -> DataFrame:
+    """(term, df, idf); a negative idf becomes epsilon times the mean idf."""
+    n = corpus_size(counts)["n_chunks"]
+    raw = counts.select("term", "df", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw")).scalar()
     return raw.select(
         "term", "df", F.when(F.col("raw") < 0, epsilon * mean).otherwise(F.col("raw")).alias("idf")
@@ -82,16 +82,19 @@ def bm25_top_k(
     epsilon: float = fixed.BM25_EPSILON,
     zero_fill: bool = True,
     allowed_tags: list[str] | None = None,
-    index: tuple[DataFrame, DataFrame, DataFrame] | None = None,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """Okapi BM25. Ties keep corpus order; with ``zero_fill`` chunks scoring zero
-    fill up the k. ``index`` is (postings, term_weights, corpus_size) read from saved
-    tables (S13); without it they are computed from ``chunks``.
+    fill up the k. ``index`` is a saved postings table (S13); without it the postings are
+    computed from ``chunks``. Scores are never negative while the mean idf is not, which
+    takes a vocabulary whose words mostly occur in less than half of the chunks.
 
     ``allowed_tags`` (R10) drops chunks before ranking; the statistics stay those of the
     whole corpus.
     """
-    posts, weights, size = index or (postings(chunks), term_weights(chunks, epsilon), corpus_size(chunks))
+    whole = postings(chunks) if index is None else index
+    counts = term_counts(whole)
+    posts, weights = whole, term_weights(counts, epsilon)
     visible = chunks if allowed_tags is None else chunks.filter(
         F.arrays_overlap("access_tags", F.array(*[F.lit(t) for t in allowed_tags]))
     )
@@ -100,7 +103,7 @@ def bm25_top_k(
     asked = query_terms(questions).join(weights.select("term", "idf"), "term")
     if is_small(query_terms(questions), F.length("term") + 24):
         asked = F.broadcast(asked)
-    avg_len = size.select("avg_len").scalar()
+    avg_len = corpus_size(counts)["avg_len"]
     norm = k1 * (1.0 - b + b * F.col("len") / avg_len)
     weighted = posts.withColumn("w", F.col("tf") * (k1 + 1.0) / (F.col("tf") + norm))
     scored = (

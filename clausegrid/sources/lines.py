@@ -36,9 +36,9 @@ def document_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     lines = documents.select(
         F.col(doc_id).alias("document_id"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")
     )
-    return lines.filter(~is_blank(F.col("line"))).select(
+    return lines.select(
         "document_id", F.col("line_no").cast("long").alias("ord"), strip(F.col("line")).alias("text")
-    )
+    ).filter("text <> ''")
 
 
 def line_chunks(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
