@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from clausegrid.catalog.derived import DOCUMENT_STATUS, QUESTIONS
 from clausegrid.catalog.registry import query, with_ctes
 from clausegrid.operators import retrieval as R
+from clausegrid.operators import vectors as V
 from clausegrid.sources.lines import line_chunks
 from clausegrid.sources.tables import active_chunks, read
 
@@ -69,3 +70,136 @@ def postings_by_chunk(spark, sf):
 @query("bm25_search", with_ctes(BM25, select="select query_id, rank, chunk_id, round(score, 6) as score from lexical"))
 def bm25_search(spark, sf):
     return R.bm25_top_k(questions(spark, sf), corpus(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+@query("bm25_search_matches_only", with_ctes(BM25, select="""
+  select query_id, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank,
+         chunk_id, round(score, 6) as score from matched qualify rank <= 20"""))
+def bm25_search_matches_only(spark, sf):
+    hits = R.bm25_top_k(questions(spark, sf), corpus(spark, sf), zero_fill=False)
+    return hits.withColumn("score", F.round("score", 6))
+
+
+@query("bm25_search_by_access", with_ctes(BM25, select="""
+  select query_id, row_number() over (partition by query_id order by s.score desc, chunk_id) as rank,
+         chunk_id, round(s.score, 6) as score
+  from scored s join chunks c using (chunk_id) where c.lang in ('en', 'de') qualify rank <= 20"""))
+def bm25_search_by_access(spark, sf):
+    tagged = corpus(spark, sf).join(
+        DOCUMENT_STATUS.df(spark, sf).select("document_id", F.array("lang").alias("access_tags")), "document_id"
+    )
+    hits = R.bm25_top_k(questions(spark, sf), tagged, allowed_tags=["en", "de"])
+    return hits.withColumn("score", F.round("score", 6))
+
+
+# --- Vectors: the chunk vectors are `embeddings`; every vector also asks -----------------
+
+VECTORS = """vectors as (select vec_id as chunk_id, embedding::double[] as e,
+    case when vec_id % 10 = 0 then 'archived' else 'active' end as status, label from embeddings),
+sims as (select q.chunk_id as query_id, c.chunk_id, round(list_cosine_similarity(q.e, c.e), 9) as score
+  from vectors q cross join vectors c where c.status = 'active'),
+semantic as (select query_id, row_number() over (partition by query_id order by score desc, chunk_id) as rank,
+    chunk_id, score from sims qualify rank <= 20)"""
+
+
+def vector_chunks(spark, sf):
+    return read(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("ord"), "embedding",
+        F.array(F.col("label").cast("string")).alias("access_tags"),
+    ).filter("chunk_id % 10 <> 0")
+
+
+def vector_questions(spark, sf):
+    return read(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query("vector_search", with_ctes(VECTORS, select="select query_id, rank, chunk_id, round(score, 6) as score from semantic"))
+def vector_search(spark, sf):
+    hits = V.vector_top_k(vector_questions(spark, sf), vector_chunks(spark, sf))
+    return hits.withColumn("score", F.round("score", 6))
+
+
+@query("vector_search_by_access", with_ctes(VECTORS, select="""
+  select query_id, row_number() over (partition by query_id order by score desc, s.chunk_id) as rank,
+         s.chunk_id, round(score, 6) as score
+  from sims s join vectors c using (chunk_id) where c.label in (1, 3) qualify rank <= 20"""))
+def vector_search_by_access(spark, sf):
+    hits = V.vector_top_k(vector_questions(spark, sf), vector_chunks(spark, sf), allowed_tags=["1", "3"])
+    return hits.withColumn("score", F.round("score", 6))
+
+
+@query("vector_search_in_lists")
+def vector_search_in_lists(spark, sf):
+    """Approximate search (20 lists, 5 probed): recall is measured in the tests."""
+    listed, centroids = V.assign_lists(vector_chunks(spark, sf), lists=20)
+    hits = V.approximate_top_k(vector_questions(spark, sf), listed, centroids, probes=5)
+    return hits.withColumn("score", F.round("score", 6))
+
+
+# --- Fusion, rerank, modes ------------------------------------------------------------
+# The second list of a text question is BM25 with other constants over the same chunks:
+# the given vectors belong to no document, so fusing them with text hits would mean nothing.
+
+SECOND = """second_matched as (select query_id, chunk_id,
+    sum(qtf * idf * tf * 1.9 / (tf + 0.9 * (0.6 + 0.4 * len / avg_len))) as score
+  from posts join asked_terms using (term) join weights using (term), size group by all),
+second as (select query_id, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank,
+    chunk_id, round(score, 9) as score from second_matched qualify rank <= 20),
+tagged as (select query_id, chunk_id, rank, 0 as list_no from second union all select query_id, chunk_id, rank, 1 from lexical),
+sums as (select query_id, chunk_id, round(sum(1.0 / (60 + rank)), 12) as score, min(list_no * 1000 + rank) as seen from tagged group by all),
+fused as (select query_id, row_number() over (partition by query_id order by score desc, seen) as rank, chunk_id, score from sums)"""
+
+OVERLAP = """pool as (select query_id, chunk_id, f.rank as was, list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')) as q,
+    regexp_extract_all(lower(text), '[a-z0-9]+') as t
+  from fused f join questions using (query_id) join chunks using (chunk_id)),
+reranked as (select query_id, row_number() over (partition by query_id order by score desc, was) as rank, chunk_id, score
+  from (select query_id, chunk_id, was, case when len(q) > 0 then round(len(list_intersect(q, t)) / len(q), 9) else 0 end as score from pool)
+  qualify rank <= 3)"""
+
+
+def second_list(asked, chunks):
+    return R.bm25_top_k(asked, chunks, k1=0.9, b=0.4, zero_fill=False)
+
+
+def fused_hits(spark, sf):
+    chunks, asked = corpus(spark, sf), questions(spark, sf)
+    return R.reciprocal_rank_fusion([second_list(asked, chunks), R.bm25_top_k(asked, chunks)])
+
+
+@query("rank_fusion", with_ctes(BM25, SECOND, select="select query_id, rank, chunk_id, round(score, 9) as score from fused"))
+def rank_fusion(spark, sf):
+    return fused_hits(spark, sf).withColumn("score", F.round("score", 9))
+
+
+@query("hybrid_search", with_ctes(BM25, SECOND, OVERLAP, select="""
+  select query_id, rank, chunk_id, document_id, title, round(score, 6) as score from reranked join chunks using (chunk_id)"""))
+def hybrid_search(spark, sf):
+    chunks = corpus(spark, sf)
+    best = R.rerank(fused_hits(spark, sf), questions(spark, sf), chunks)
+    return best.join(chunks.select("chunk_id", "document_id", "title"), "chunk_id").select(
+        "query_id", "rank", "chunk_id", "document_id", "title", F.round("score", 6).alias("score")
+    )
+
+
+@query("rerank_by_supplied_scores", with_ctes(VECTORS, """supplied as (
+  select query_id, chunk_id, rank as was, round(score * 3 - chunk_id % 7, 9) as score from semantic)""", select="""
+  select query_id, row_number() over (partition by query_id order by score desc, was) as rank, chunk_id, round(score, 6) as score
+  from supplied qualify rank <= 3"""))
+def rerank_by_supplied_scores(spark, sf):
+    hits = V.vector_top_k(vector_questions(spark, sf), vector_chunks(spark, sf))
+    supplied = hits.select("query_id", "chunk_id", (F.col("score") * 3 - F.col("chunk_id") % 7).alias("score"))
+    best = R.rerank(hits, hits, hits, scorer=supplied)
+    return best.withColumn("score", F.round("score", 6))
+
+
+@query("search_by_mode", with_ctes(BM25, SECOND, select="""
+  select query_id, rank, chunk_id, round(score, 6) as score from lexical where query_id % 3 = 0
+  union all select query_id, rank, chunk_id, round(score, 6) from fused where query_id % 3 = 1
+  union all select query_id, rank, chunk_id, round(score, 6) from second where query_id % 3 = 2"""))
+def search_by_mode(spark, sf):
+    chunks = corpus(spark, sf)
+    asked = questions(spark, sf).withColumn(
+        "mode", F.when(F.col("query_id") % 3 == 0, "bm25").when(F.col("query_id") % 3 == 1, "hybrid").otherwise("vector")
+    )
+    hits = R.search(asked, lambda q: R.bm25_top_k(q, chunks), lambda q: second_list(q, chunks))
+    return hits.withColumn("score", F.round("score", 6))
