@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from clausegrid.catalog import retrieval, structure  # noqa: F401
+from clausegrid.catalog import graph, retrieval, structure  # noqa: F401

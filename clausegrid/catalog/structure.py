@@ -247,9 +247,10 @@ def rejected_formats(spark, sf):
 
 @query("registered_documents", with_ctes(FILES.cte, select="""
   select sha256(source_uri) as document_id, regexp_extract(source_uri, '([^/]+)$', 1) as title, 'policy' as type, 'active' as status,
-    source_uri, 'internal' as access_tags, date '2024-01-01' as effective_date from files"""))
+    source_uri, 'internal' as access_tags, '2024-01-01' as effective_date from files"""))
 def registered_documents(spark, sf):
-    return L.register_documents(FILES.df(spark, sf), "2024-01-01").withColumn("access_tags", F.array_join("access_tags", ","))
+    return L.register_documents(FILES.df(spark, sf), "2024-01-01").withColumns(
+        {"access_tags": F.array_join("access_tags", ","), "effective_date": F.col("effective_date").cast("string")})
 
 
 @query("documents_with_text", with_ctes(POLICIES.cte, SECTIONS, select="""
