@@ -16,6 +16,7 @@ OPEN_END = (
     r"(?iU)(NGN|USD|EUR|GBP|₦|\$|€|£|Manager|Director|CFO|CEO|VP|Head of|Lead"
     r"|(every|within|after|before)(\s+\d+)?|(must|required|mandatory|shall)(\s+\w+)?)\s*\z"
 )
+OPEN_CHARACTER = r"(?U)[\w\s₦$€£]"
 ONE_WORD = r"(?U)^\s*\w+\s*\z"
 GOES_ON = r"(?U)^\s*[\w,]"
 
@@ -33,7 +34,10 @@ def text_runs(sections: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     )
 
     def open_break(left: Column, right: Column) -> Column:
-        return (left.rlike(OPEN_END) | left.rlike(ONE_WORD)) & right.rlike(GOES_ON)
+        # The cheap tests first: most lines end in a full stop.
+        return right.rlike(GOES_ON) & F.substring(left, -1, 1).rlike(OPEN_CHARACTER) & (
+            left.rlike(OPEN_END) | left.rlike(ONE_WORD)
+        )
 
     def neighbour(side: str) -> Column:
         return F.get(F.col(side), 0)["content"]

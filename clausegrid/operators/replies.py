@@ -57,11 +57,13 @@ def answer_prompts(questions: DataFrame, hits: DataFrame, template: str = ANSWER
 
 
 def parse_entity_replies(replies: DataFrame) -> DataFrame:
-    """Adds ``block`` (JSON text, null unless it parses) and the failure columns."""
+    """Adds ``parsed`` (VARIANT) and ``fields`` (top-level values as text), both null
+    unless the reply holds valid JSON, and the failure columns."""
     block = json_block(F.col("reply"), "{", "}")
     parsed = replies.withColumn("_block", block).withColumn("parsed", strict_json(F.col("_block")))
     return parsed.select(
-        *replies.columns, "parsed", F.when(F.col("parsed").isNotNull(), F.col("_block")).alias("block"),
+        *replies.columns, "parsed",
+        F.when(F.col("parsed").isNotNull(), F.from_json("_block", "map<string,string>")).alias("fields"),
         ((F.col("_block") == "") | F.col("parsed").isNotNull()).alias("success"),
         F.when((F.col("_block") != "") & F.col("parsed").isNull(), "reply holds no valid JSON").alias("error"),
     )
@@ -71,8 +73,8 @@ def first_value(field: str) -> Column:
     """Of a parsed reply field: a list gives its first element, a dict its first
     value in written order, anything else itself; text, null when absent or empty."""
     kind = F.schema_of_variant(F.try_variant_get("parsed", f"$.{field}", "variant"))
-    raw = F.get_json_object("block", f"$.{field}")
-    of_list = F.get_json_object("block", f"$.{field}[0]")
+    raw = F.col("fields")[field]
+    of_list = F.try_variant_get("parsed", f"$.{field}[0]", "string")
     of_dict = F.get(F.map_values(F.from_json(raw, "map<string,string>")), 0)
     value = F.when(kind.startswith("ARRAY"), of_list).when(kind.startswith("OBJECT"), of_dict).otherwise(raw)
     return F.when(~value.isin("", "false", "0"), value)
@@ -95,8 +97,8 @@ def entity_fields(replies: DataFrame, accept_dict: bool = False) -> DataFrame:
         plain, F.try_variant_get("parsed", "$.threshold.amount", "variant").isNotNull())
 
     def part(name: str) -> Column:
-        return F.when(listed, F.get_json_object("block", f"$.threshold[0].{name}")).when(
-            plain, F.get_json_object("block", f"$.threshold.{name}"))
+        return F.when(listed, F.try_variant_get("parsed", f"$.threshold[0].{name}", "string")).when(
+            plain, F.try_variant_get("parsed", f"$.threshold.{name}", "string"))
 
     amount = part("amount").try_cast("double")
     textual = F.coalesce(kind("$.obligation[0]"), kind("$.obligation"))
