@@ -72,7 +72,8 @@ def judge_answers(questions: DataFrame, answers: DataFrame, hits: DataFrame, str
 
 def latency_ms(start: Column, end: Column) -> Column:
     """Whole milliseconds between two timestamps, cut, not rounded."""
-    return F.floor((F.unix_micros(end) - F.unix_micros(start)) / 1000).cast("long")
+    micros = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
+    return F.floor(micros / 1000).cast("long")
 
 
 def citation_rows(hits: DataFrame) -> DataFrame:

@@ -43,14 +43,20 @@ def audit(log: DataFrame, action: str | None = None, actor: str | None = None, l
 
 def document_list(documents: DataFrame, chunks: DataFrame, entities: DataFrame, limit: int | None = 50, offset: int = 0) -> DataFrame:
     """Documents with chunk and entity counts, newest first."""
+    newest = [F.col("created_at").desc(), F.col("document_id").desc()]
+    page = documents.orderBy(*newest).offset(offset)
+    page = page if limit is None else page.limit(limit)
+
     def counted(df: DataFrame, name: str) -> DataFrame:
+        # A page holds at most ``limit`` documents, so only their rows are counted.
+        if limit is not None:
+            df = df.join(F.broadcast(page.select("document_id")), "document_id", "left_semi")
         return df.groupBy("document_id").agg(F.count("*").alias(name))
 
-    page = documents.orderBy(F.col("created_at").desc(), F.col("document_id").desc()).offset(offset)
-    page = page if limit is None else page.limit(limit)
     return (
         page.join(counted(chunks, "chunk_count"), "document_id", "left").join(counted(entities, "entity_count"), "document_id", "left")
         .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("chunk_count", "entity_count")})
+        .orderBy(*newest)
     )
 
 
