@@ -56,7 +56,7 @@ def questions(spark, sf):
 
 @query("corpus_terms", with_ctes(BM25, select="select term, df, round(idf, 6) as idf from weights"))
 def corpus_terms(spark, sf):
-    return R.term_weights(R.term_counts(R.postings(corpus(spark, sf)))).select("term", "df", F.round("idf", 6).alias("idf"))
+    return R.term_weights(R.build_index(corpus(spark, sf)).counts).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("postings_by_chunk", with_ctes(BM25, select="""
@@ -157,13 +157,14 @@ reranked as (select query_id, row_number() over (partition by query_id order by
   qualify rank <= 3)"""
 
 
-def second_list(asked, chunks):
-    return R.bm25_top_k(asked, chunks, k1=0.9, b=0.4, zero_fill=False)
+def second_list(asked, chunks, index):
+    return R.bm25_top_k(asked, chunks, k1=0.9, b=0.4, zero_fill=False, index=index)
 
 
 def fused_hits(spark, sf):
     chunks, asked = corpus(spark, sf), questions(spark, sf)
-    return R.reciprocal_rank_fusion([second_list(asked, chunks), R.bm25_top_k(asked, chunks)])
+    index = R.build_index(chunks)
+    return R.reciprocal_rank_fusion([second_list(asked, chunks, index), R.bm25_top_k(asked, chunks, index=index)])
 
 
 @query("rank_fusion", with_ctes(BM25, SECOND, select="select query_id, rank, chunk_id, round(score, 9) as score from fused"))
@@ -201,5 +202,6 @@ def search_by_mode(spark, sf):
     asked = questions(spark, sf).withColumn(
         "mode", F.when(F.col("query_id") % 3 == 0, "bm25").when(F.col("query_id") % 3 == 1, "hybrid").otherwise("vector")
     )
-    hits = R.search(asked, lambda q: R.bm25_top_k(q, chunks), lambda q: second_list(q, chunks))
+    index = R.build_index(chunks)
+    hits = R.search(asked, lambda q: R.bm25_top_k(q, chunks, index=index), lambda q: second_list(q, chunks, index))
     return hits.withColumn("score", F.round("score", 6))

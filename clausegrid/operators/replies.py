@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausegrid.functions.text import json_block, strict_json, strip, title_case
+from clausegrid.functions.text import json_block, once, strict_json, strip, title_case
 
 FIELDS = ["role", "department", "process", "threshold", "regulation", "obligation"]
 CONFLICT_TEXT_BUILD, CONFLICT_TEXT_ASK, RISK_TEXT, RISK_CHUNKS = 300, 400, 500, 3
@@ -59,11 +59,10 @@ def answer_prompts(questions: DataFrame, hits: DataFrame, template: str = ANSWER
 def parse_entity_replies(replies: DataFrame) -> DataFrame:
     """Adds ``parsed`` (VARIANT) and ``fields`` (top-level values as text), both null
     unless the reply holds valid JSON, and the failure columns."""
-    block = json_block(F.col("reply"), "{", "}")
-    parsed = replies.withColumn("_block", block).withColumn("parsed", strict_json(F.col("_block")))
+    blocks = once(replies, _block=json_block(F.col("reply"), "{", "}"))
+    parsed = once(blocks, parsed=strict_json(F.col("_block")), _fields=F.from_json("_block", "map<string,string>"))
     return parsed.select(
-        *replies.columns, "parsed",
-        F.when(F.col("parsed").isNotNull(), F.from_json("_block", "map<string,string>")).alias("fields"),
+        *replies.columns, "parsed", F.when(F.col("parsed").isNotNull(), F.col("_fields")).alias("fields"),
         ((F.col("_block") == "") | F.col("parsed").isNotNull()).alias("success"),
         F.when((F.col("_block") != "") & F.col("parsed").isNull(), "reply holds no valid JSON").alias("error"),
     )
@@ -100,18 +99,22 @@ def entity_fields(replies: DataFrame, accept_dict: bool = False) -> DataFrame:
         return F.when(listed, F.try_variant_get("parsed", f"$.threshold[0].{name}", "string")).when(
             plain, F.try_variant_get("parsed", f"$.threshold.{name}", "string"))
 
-    amount = part("amount").try_cast("double")
     textual = F.coalesce(kind("$.obligation[0]"), kind("$.obligation"))
-    return parsed.select(
-        *replies.columns, "success", "error",
-        title_case(first_value("role")).alias("role"),
-        title_case(first_value("department")).alias("department"),
-        title_case(first_value("process")).alias("process"),
-        strip(F.upper(first_value("regulation"))).alias("regulation"),
-        F.when((textual == "STRING") | textual.startswith("OBJECT"), first_value("obligation")).alias("obligation"),
-        amount.alias("amount"),
-        F.when(amount.isNotNull(), F.coalesce(part("currency"), F.lit("USD"))).alias("currency"),
-        (F.coalesce(present, F.lit(False)) & amount.isNull()).alias("bad_amount"),
+    plain_fields = once(
+        parsed,
+        role=title_case(first_value("role")),
+        department=title_case(first_value("department")),
+        process=title_case(first_value("process")),
+        regulation=strip(F.upper(first_value("regulation"))),
+        obligation=F.when((textual == "STRING") | textual.startswith("OBJECT"), first_value("obligation")),
+        amount=part("amount").try_cast("double"),
+        _currency=part("currency"),
+        _present=F.coalesce(present, F.lit(False)),
+    )
+    return plain_fields.select(
+        *replies.columns, "success", "error", "role", "department", "process", "regulation", "obligation", "amount",
+        F.when(F.col("amount").isNotNull(), F.coalesce("_currency", F.lit("USD"))).alias("currency"),
+        (F.col("_present") & F.col("amount").isNull()).alias("bad_amount"),
     )
 
 

@@ -5,12 +5,14 @@ Questions come as a table ``(query_id, question)``; hits go out as
 """
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausegrid.functions import fixed
 from clausegrid.functions.sizes import is_small
+from clausegrid.functions.stages import materialise
 from clausegrid.functions.text import tokens
 
 SCORE_DIGITS = 9
@@ -48,6 +50,21 @@ def corpus_size(counts: DataFrame) -> Column:
     return counts.agg(F.struct(n.alias("n_chunks"), (total / n).alias("avg_len"))).scalar()
 
 
+class Index(NamedTuple):
+    """The lexical index: postings and per-term counts."""
+
+    postings: DataFrame
+    counts: DataFrame
+
+
+def build_index(chunks: DataFrame) -> Index:
+    """The index as a plan over ``chunks``. Only the counts (one row per term) are
+    materialised: the weights and three global figures all read them, and the corpus is
+    then read once for them and once for the scores."""
+    posts = postings(chunks)
+    return Index(posts, materialise(term_counts(posts)))
+
+
 def term_weights(counts: DataFrame, epsilon: float = fixed.BM25_EPSILON) -> DataFrame:
     """(term, df, idf); a negative idf becomes epsilon times the mean idf."""
     n = corpus_size(counts)["n_chunks"]
@@ -82,19 +99,18 @@ def bm25_top_k(
     epsilon: float = fixed.BM25_EPSILON,
     zero_fill: bool = True,
     allowed_tags: list[str] | None = None,
-    index: DataFrame | None = None,
+    index: Index | None = None,
 ) -> DataFrame:
     """Okapi BM25. Ties keep corpus order; with ``zero_fill`` chunks scoring zero
-    fill up the k. ``index`` is a saved postings table (S13); without it the postings are
-    computed from ``chunks``. Scores are never negative while the mean idf is not, which
+    fill up the k. ``index`` is a saved or shared index (S13); without it one is built
+    from ``chunks``. Scores are never negative while the mean idf is not, which
     takes a vocabulary whose words mostly occur in less than half of the chunks.
 
     ``allowed_tags`` (R10) drops chunks before ranking; the statistics stay those of the
     whole corpus.
     """
-    whole = postings(chunks) if index is None else index
-    counts = term_counts(whole)
-    posts, weights = whole, term_weights(counts, epsilon)
+    posts, counts = index or build_index(chunks)
+    weights = term_weights(counts, epsilon)
     visible = chunks if allowed_tags is None else chunks.filter(
         F.arrays_overlap("access_tags", F.array(*[F.lit(t) for t in allowed_tags]))
     )

@@ -11,7 +11,11 @@ GRAPH_COLUMNS = {
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A given table. One that comes in fewer splits than there are cores is spread over
+    them, so that text work does not run in one task; a large one is left as it is."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def load_for_graph(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
