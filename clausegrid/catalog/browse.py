@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from clausegrid.catalog.derived import CLAUSES, Derived
-from clausegrid.catalog.graph import ENTITIES, entities
+from clausegrid.catalog.graph import ENTITIES, entities, stored_entities
 from clausegrid.catalog.registry import query, with_ctes
 from clausegrid.operators import browse as B
 from clausegrid.sources.tables import audit_rows, read
@@ -95,7 +95,7 @@ def document_counts(spark, sf):
   left join (select document_id, string_agg(clause_id || '=' || section_path || '=' || clause_ref, '|' order by section_path, ord) as chunks from clauses group by 1) c using (document_id)
   left join (select document_id, string_agg(entity_id || '=' || name, '|' order by type, ord, pos) as entities from entities group by 1) e using (document_id)"""))
 def document_detail(spark, sf):
-    e = entities(spark, sf).withColumn("ord", F.col("seq.ord") * 1000 + F.col("seq.pos"))
+    e = stored_entities(spark, sf).withColumn("ord", F.col("seq.ord") * 1000 + F.col("seq.pos"))
     detail = B.document_detail(DOCS.df(spark, sf).select("document_id", "title"), clause_chunks(spark, sf), e)
     return detail.select(
         "document_id", "title",

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from clausegrid.catalog.derived import CLAUSES, POLICIES, REPLIES, Derived
 from clausegrid.catalog.registry import query, with_ctes
+from clausegrid.functions.stages import materialise
 from clausegrid.operators import entities as X
 from clausegrid.operators import graph as G
 from clausegrid.operators import replies as L
@@ -70,6 +71,15 @@ def entities(spark, sf):
     return X.extract_entities(clauses(spark, sf).select("document_id", "ord", F.col("text").alias("content")))
 
 
+def stored_entities(spark, sf):
+    """The entity table as ingestion stores it, for queries that read it more than once."""
+    return materialise(entities(spark, sf))
+
+
+def stored_facts(spark, sf):
+    return materialise(facts(spark, sf))
+
+
 def facts(spark, sf):
     return G.usable_facts(L.entity_fields(REPLIES.df(spark, sf)), clauses(spark, sf))
 
@@ -116,8 +126,8 @@ APPROVERS = f"""approvers as (select distinct {sql_title('authority')} as role,
   from entities join policy using (document_id) where type = 'approval')"""
 
 
-def approvers(spark, sf):
-    return G.can_approve(G.approvals(entities(spark, sf)), policies(spark, sf))
+def approvers(spark, sf, found=None):
+    return G.can_approve(G.approvals(entities(spark, sf) if found is None else found), policies(spark, sf))
 
 
 @query("can_approve", with_ctes(ENTITIES, POLICY, APPROVERS, select="select role, process from approvers"))
@@ -142,7 +152,8 @@ LIMITS = """limits as (select role, max_by({'a': amount, 'c': currency}, {'d': e
 
 
 def limits(spark, sf):
-    return G.role_limits(approvers(spark, sf), policies(spark, sf), G.thresholds(entities(spark, sf)))
+    found = stored_entities(spark, sf)
+    return G.role_limits(approvers(spark, sf, found), policies(spark, sf), G.thresholds(found))
 
 
 @query("role_limits", with_ctes(ENTITIES, POLICY, APPROVERS, LIMITS, select="select role, v.a as max_amount, v.c as currency from limits"))
@@ -194,8 +205,8 @@ def clause_obligations(spark, sf):
 MAPS = edge_sql("MAPS_TO", "Policy", "document_id", "Regulation", "regulation") + " from facts join policy using (document_id) where regulation is not null"
 
 
-def regulation_edges(spark, sf):
-    return G.maps_to(facts(spark, sf), policies(spark, sf))
+def regulation_edges(spark, sf, known=None):
+    return G.maps_to(facts(spark, sf) if known is None else known, policies(spark, sf))
 
 
 @query("maps_to", with_ctes(FACTS, POLICY, select=MAPS))
@@ -242,7 +253,7 @@ ALL_EDGES = f"""edges as (select distinct * from ({CLAUSE_EDGES} union all {REPL
 
 
 def all_edges(spark, sf):
-    c, p, f = clauses(spark, sf), policies(spark, sf), facts(spark, sf)
+    c, p, f = clauses(spark, sf), policies(spark, sf), stored_facts(spark, sf)
     parts = G.clause_edges(c, p).unionByName(G.reply_edges(f)).unionByName(G.maps_to(f, p)).unionByName(conflict_edges(spark, sf))
     return parts.distinct()
 

@@ -4,9 +4,10 @@
 from pyspark.sql import functions as F
 
 from clausegrid.catalog.derived import ASKED, CLAUSES, POLICIES, Derived
-from clausegrid.catalog.graph import CONFLICTS, FACTS, MAPS, PAIRS, POLICY, clauses, conflict_edges, facts, policies, regulation_edges
+from clausegrid.catalog.graph import CONFLICTS, FACTS, MAPS, PAIRS, POLICY, clauses, conflict_edges, facts, policies, regulation_edges, stored_facts
 from clausegrid.catalog.registry import query, with_ctes
 from clausegrid.functions import fixed
+from clausegrid.functions.stages import materialise
 from clausegrid.operators import answers as A
 from clausegrid.operators import graph as G
 from clausegrid.operators import questions as P
@@ -31,6 +32,10 @@ def hits(spark, sf):
         "query_id", "rank", "chunk_id", "score", "document_id", "clause_ref", "section_path", "text", "title")
 
 
+def stored_hits(spark, sf):
+    return materialise(hits(spark, sf))
+
+
 def asked(spark, sf):
     return ASKED.df(spark, sf)
 
@@ -179,7 +184,7 @@ def judge_pairs(spark, sf):
 
 @query("all_conflicts", with_ctes(*CONFLICT_CTES, select="select * from stored union all select * from versions union all select * from judged"))
 def all_conflicts(spark, sf):
-    h = version_hits(spark, sf)
+    h = materialise(version_hits(spark, sf))
     return P.all_conflicts(h, conflict_edges(spark, sf), clauses(spark, sf), said(P.judge_pairs(h)))
 
 
@@ -217,7 +222,8 @@ wide as (select query_id, {RISK_REPLY} as v, n is null as none, coalesce(m, 0) a
       case when mandatory > 0 then mandatory || ' mandatory obligation(s) apply to retrieved clauses' end) end as recommendations from wide"""))
 def risk(spark, sf):
     asked_ = asked(spark, sf).select("query_id", F.expr(RISK_REPLY).alias("risk_verdict"))
-    out = P.assess_risk(asked_, hits(spark, sf), regulation_edges(spark, sf), G.obligations(facts(spark, sf)))
+    known = stored_facts(spark, sf)
+    out = P.assess_risk(asked_, stored_hits(spark, sf), regulation_edges(spark, sf, known), G.obligations(known))
     return out.withColumns({"regulations": F.array_join("regulations", ", "), "recommendations": F.array_join("recommendations", " / ")})
 
 
@@ -249,12 +255,13 @@ judged_answers as (select query_id, case when failed then '' else answer end as
 ANSWER_CTES = [HITS, ASKED.cte, ANSWERS, CITED, JUDGED]
 
 
-def answers(spark, sf):
-    return hits(spark, sf).filter("rank = 1").select("query_id", F.expr(ANSWER).alias("answer"))
+def answers(spark, sf, found=None):
+    return (hits(spark, sf) if found is None else found).filter("rank = 1").select("query_id", F.expr(ANSWER).alias("answer"))
 
 
 def judged_answers(spark, sf, strict=False):
-    return A.judge_answers(asked(spark, sf), answers(spark, sf), hits(spark, sf), strict)
+    found = stored_hits(spark, sf)
+    return A.judge_answers(asked(spark, sf), answers(spark, sf, found), found, strict)
 
 
 @query("citations", with_ctes(*ANSWER_CTES, select="select query_id, pos, title, clause_ref, valid from checked"))

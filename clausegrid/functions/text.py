@@ -92,7 +92,7 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     their values. Plain columns would be inlined into every filter pushed below them and
     computed again for each use, which hurts when they parse text."""
     row = F.struct(*[c.alias(n) for n, c in columns.items()])
-    return df.select(*df.columns, F.inline(F.array(row)))
+    return df.select(*df.columns, F.inline_outer(F.array(row)))
 
 
 def sigmoid(x: Column) -> Column:

@@ -14,7 +14,7 @@ from clausegrid.operators.ordered import BLOCK_ROWS, with_neighbours
 
 def cited(answers: DataFrame) -> DataFrame:
     """(query_id, pos, title, clause_ref), one row per citation, repeats kept."""
-    return answers.select("query_id", F.posexplode(citations(F.col("answer"))).alias("pos", "c")).select(
+    return answers.select("query_id", F.posexplode_outer(citations(F.col("answer"))).alias("pos", "c")).filter("c is not null").select(
         "query_id", "pos", F.col("c.title").alias("title"), F.col("c.clause_ref").alias("clause_ref"))
 
 

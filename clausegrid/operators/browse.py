@@ -86,12 +86,8 @@ def document_detail(documents: DataFrame, chunks: DataFrame, entities: DataFrame
     """
     c = _parts(chunks, ["section_path", "ord"], ["chunk_id", "section_path", "clause_ref", "text", "token_count"], part_rows, "chunks")
     e = _parts(entities, ["type", "ord"], ["entity_id", "type", "name"], part_rows, "entities")
-    first = documents.withColumn("part", F.lit(0).cast("long"))
-    later = (
-        c.select("document_id", "part").unionByName(e.select("document_id", "part")).filter("part > 0").distinct()
-        .join(documents, "document_id").select(*first.columns)
-    )
-    return first.unionByName(later).join(c, ["document_id", "part"], "left").join(e, ["document_id", "part"], "left")
+    parts = c.join(e, ["document_id", "part"], "full")
+    return documents.join(parts, "document_id", "left").withColumn("part", F.coalesce("part", F.lit(0).cast("long")))
 
 
 def search_chunks(

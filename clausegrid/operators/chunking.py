@@ -124,11 +124,11 @@ def chunk_sections(
         (used(F.slice("parts", F.lit(1), i)) + F.when(p["long"], 1).otherwise(0)).alias("before"), p["texts"].alias("texts")))
     clauses = numbered.select(
         "document_id", "ord", "section_path", "heading_hierarchy", "page", "is_table",
-        (F.col("_upto") - F.col("_used")).alias("_base"), F.posexplode(placed).alias("clause_no", "p"),
+        (F.col("_upto") - F.col("_used")).alias("_base"), F.posexplode_outer(placed).alias("clause_no", "p"),
     )
     chunks = clauses.select(
         "document_id", "ord", "clause_no", "section_path", "heading_hierarchy", "page", "is_table",
-        (F.col("_base") + F.col("p.before")).alias("_before"), F.posexplode("p.texts").alias("piece", "text"),
+        (F.col("_base") + F.col("p.before")).alias("_before"), F.posexplode_outer("p.texts").alias("piece", "text"),
     )
     number = (F.col("_before") + F.col("piece") + 1).cast("long")
     hierarchy = F.when(F.size("heading_hierarchy") > 0, F.array_join("heading_hierarchy", " > ")).otherwise("Content")

@@ -87,20 +87,22 @@ def extract_entities(
     the scan finds them: document, type, place."""
     runs = text_runs(sections, block_rows)
     text = F.col("text")
-    # A threshold without a digit is dropped by the filter below.
+    # The outer generators keep the pattern work in the generator: an inner one would have
+    # a size filter pushed below it that runs every pattern a second time. Rows without a
+    # match, and thresholds without a digit, go in the filters.
     first_three = F.concat(
         _typed(0, matches(text, fixed.THRESHOLD, ignore_case=False)),
         _typed(1, matches(text, fixed.APPROVAL)),
         _typed(2, matches(text, fixed.DEADLINE)),
     )
-    found = runs.select("document_id", "ord", F.inline(first_three)).filter(
+    found = runs.select("document_id", "ord", F.inline_outer(first_three)).filter(
         (F.col("type_no") != 0) | F.col("match").rlike(r"(?U)\d")
     )
     # The first few of each document: no run can give more than that many.
     some = F.slice(matches(text, fixed.REQUIREMENT), 1, per_document)
     place = Window.partitionBy("document_id").orderBy("ord", "pos")
     required = (
-        runs.select("document_id", "ord", F.inline(_typed(3, some)))
+        runs.select("document_id", "ord", F.inline_outer(_typed(3, some))).filter("match is not null")
         .withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= per_document).drop("_n")
     )
     names = F.array(*[F.lit(t) for t in TYPES])

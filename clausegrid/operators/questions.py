@@ -84,7 +84,7 @@ def approval_records(approvers: DataFrame) -> DataFrame:
     """
     names = sorted({p for _, p in fixed.PROCESS_WORDS} | {fixed.FALLBACK_PROCESS})
     held = F.array_compact(F.array(*[F.when(F.lower("process").contains(n.lower()), n) for n in names]))
-    return approvers.select(F.explode(held).alias("wanted"), "role", "process")
+    return approvers.select(F.explode_outer(held).alias("wanted"), "role", "process").filter("wanted is not null")
 
 
 def resolve_approvals(questions: DataFrame, records: DataFrame, repeat_roles: bool = False) -> DataFrame:
@@ -167,7 +167,7 @@ def judge_pairs(hits: DataFrame, cut: int = 400, shortest: int = 50, limit: int
     pairs = F.flatten(F.transform(F.slice("h", 1, 5), lambda a, i: F.transform(
         F.slice("h", i + 2, F.lit(6)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     kept = F.slice(F.filter(pairs, lambda p: (F.length(p["a"]["text"]) >= shortest) & (F.length(p["b"]["text"]) >= shortest)), 1, limit)
-    return top.select("query_id", F.posexplode(kept).alias("n", "p")).select(
+    return top.select("query_id", F.posexplode_outer(kept).alias("n", "p")).filter("p is not null").select(
         "query_id", (F.col("n") + 1).alias("pair_no"), F.col("p.a.chunk_id").alias("clause_a"), F.col("p.b.chunk_id").alias("clause_b"),
         F.col("p.a.text").alias("text_a"), F.col("p.b.text").alias("text_b"))
 

@@ -30,7 +30,8 @@ def postings(chunks: DataFrame) -> DataFrame:
         chunks.select("chunk_id", "ord", "text")
         .repartition("chunk_id")
         .select("chunk_id", "ord", tokens(F.col("text")).alias("t"))
-        .select("chunk_id", "ord", F.size("t").alias("len"), F.posexplode("t").alias("at", "term"))
+        .select("chunk_id", "ord", F.size("t").alias("len"), F.posexplode_outer("t").alias("at", "term"))
+        .filter("term is not null")
         .groupBy("chunk_id", "ord", "len", "term")
         .agg(F.count("*").cast("int").alias("tf"), (F.min("at") == 0).alias("head"))
     )
@@ -78,16 +79,23 @@ def term_weights(counts: DataFrame, epsilon: float = fixed.BM25_EPSILON) -> Data
 def query_terms(questions: DataFrame) -> DataFrame:
     """(query_id, term, qtf): a repeated question word counts repeatedly."""
     return (
-        questions.select("query_id", F.explode(tokens(F.col("question"))).alias("term"))
+        questions.select("query_id", F.explode_outer(tokens(F.col("question"))).alias("term")).filter("term is not null")
         .groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     )
 
 
 def top_k(scored: DataFrame, k: int, tie: str = "ord") -> DataFrame:
     """Best ``k`` rows per question. Each task first keeps its own best k (window group
-    limit), so a question met by every chunk sends k rows per task, not all of them."""
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(tie))
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    limit), so a question met by every chunk sends k rows per task, not all of them.
+
+    Scores are compared at ``SCORE_DIGITS`` digits, so the order of a sum does not decide
+    a rank. The comparison uses ``rint``; the far slower decimal rounding is left to the
+    rows that are kept.
+    """
+    key = F.rint(F.col("score") * 10.0**SCORE_DIGITS)
+    best = Window.partitionBy("query_id").orderBy(key.desc(), F.col(tie))
+    ranked = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return ranked.withColumn("score", F.round("score", SCORE_DIGITS))
 
 
 def bm25_top_k(
@@ -116,7 +124,8 @@ def bm25_top_k(
     )
     if allowed_tags is not None:
         posts = posts.join(visible.select("chunk_id"), "chunk_id", "left_semi")
-    asked = query_terms(questions).join(weights.select("term", "idf"), "term")
+    asked = query_terms(questions).join(weights, "term").select(
+        "query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
     if is_small(query_terms(questions), F.length("term") + 24):
         asked = F.broadcast(asked)
     avg_len = corpus_size(counts)["avg_len"]
@@ -125,7 +134,7 @@ def bm25_top_k(
     scored = (
         weighted.join(asked, "term")
         .groupBy("chunk_id", "query_id")
-        .agg(F.sum(F.col("qtf") * F.col("idf") * F.col("w")).alias("score"), F.first("ord").alias("ord"))
+        .agg(F.sum(F.col("weight") * F.col("w")).alias("score"), F.max("ord").alias("ord"))
     )
     if zero_fill:
         # The first k chunks of the corpus hold every zero-score row that can be needed:
@@ -139,13 +148,13 @@ def bm25_top_k(
             .select("query_id", F.explode(head).alias("c"))
             .select("c.chunk_id", "query_id", F.lit(0.0).alias("score"), "c.ord")
         )
-        best = top_k(scored.withColumn("score", F.round("score", SCORE_DIGITS)), k)
+        best = top_k(scored, k)
         scored = (
             best.select("chunk_id", "query_id", "score", "ord")
             .unionByName(fill)
-            .groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), F.first("ord").alias("ord"))
+            .groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), F.max("ord").alias("ord"))
         )
-    ranked = top_k(scored.withColumn("score", F.round("score", SCORE_DIGITS)), k)
+    ranked = top_k(scored, k)
     return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "score")
 
 

@@ -34,7 +34,7 @@ def document_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     depend on the text, so equal lines stay apart.
     """
     lines = documents.select(
-        F.col(doc_id).alias("document_id"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")
+        F.col(doc_id).alias("document_id"), F.posexplode_outer(F.split(text, "\n", -1)).alias("line_no", "line")
     )
     return lines.select(
         "document_id", F.col("line_no").cast("long").alias("ord"), strip(F.col("line")).alias("text")
