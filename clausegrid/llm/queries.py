@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausegrid.llm import packing, tokens
+from clausegrid.llm import packing, quality_rules, secrets, tokens, urls
 
 QUERIES = {}
 CHECKS = {}
@@ -32,3 +32,19 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_best_fit_packing")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
+
+
+@query("op2_secret_scans", secrets.SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digest(table(spark, folder, "documents"))
+
+
+@query("op9_url_filters")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages"))
+
+
+@query("op10_quality_rules")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, folder, "labels")))
