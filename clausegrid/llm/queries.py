@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clausegrid.llm import packing, quality_rules, secrets, tokens, urls
+from clausegrid.llm import languages, packing, quality_model, quality_rules, secrets, tokens, urls
 
 QUERIES = {}
 CHECKS = {}
@@ -48,3 +49,20 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, folder, "labels")))
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = languages.in_fold("doc_id", 4, 2)
+    model = languages.fit(docs.filter(~held_out))
+    return languages.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages")
+
+
+@query("op8_quality_classifier")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = languages.in_fold("doc_id", 3, 1)
+    vectors = quality_model.word_vectors(docs)
+    network = quality_model.fit(docs, labels.filter(~held_out), vectors)
+    return quality_model.score(docs, vectors, network).select("doc_id", held_out.alias("held_out"), "score", F.col("predicted"))
