@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegrid.llm import languages, packing, quality_model, quality_rules, secrets, tokens, urls
+from clausegrid.llm import decontamination, languages, line_dedup, packing, quality_model, quality_rules, secrets, tokens, urls
 
 QUERIES = {}
 CHECKS = {}
@@ -66,3 +66,13 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     vectors = quality_model.word_vectors(docs)
     network = quality_model.fit(docs, labels.filter(~held_out), vectors)
     return quality_model.score(docs, vectors, network).select("doc_id", held_out.alias("held_out"), "score", F.col("predicted"))
+
+
+@query("op5_line_dedup", line_dedup.SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.remove_lines(table(spark, folder, "documents")).select("doc_id", "n_lines_removed", "text")
+
+
+@query("op7_benchmark_decontamination")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
