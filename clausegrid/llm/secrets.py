@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from clausegrid.llm.storage import stored
+
 
 @dataclasses.dataclass(frozen=True)
 class Rule:
@@ -132,10 +134,10 @@ def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_
         return lambda f: f["kind"] == k
 
     is_base = F.array(*[F.lit(k) for k in base])
-    facts = per_blob.select(
+    facts = stored(per_blob.select(
         "blob_id", joined("all").alias("spans"), joined(F.filter("all", lambda f: F.array_contains(is_base, f["kind"]))).alias("base"),
         *[F.size(F.filter("all", of_kind(k))).cast("long").alias(f"n_{k}") for k in base],
-    )
+    ), "findings")  # stored, so that the join below meets two plain tables and a hot blob can be split
     out = rows.select("_id", "blob_id").join(facts, "blob_id", "left")
     return out.select(
         F.col("_id").alias(id_col), *[F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in base],
