@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegrid.llm import decontamination, languages, line_dedup, packing, quality_model, quality_rules, secrets, tokens, urls
+from clausegrid.llm import decontamination, jaccard, languages, line_dedup, packing, quality_model, quality_rules, secrets, tokens, urls
 
 QUERIES = {}
 CHECKS = {}
@@ -76,3 +76,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_benchmark_decontamination")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op3_ngram_jaccard_join")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join(table(spark, folder, "documents"))
