@@ -17,10 +17,11 @@ below where a similar set may lie in it.
   signatures as the bound asks for, the rarest first.
 
 Sets are compared exactly, by their 64-bit shingle codes. Equal sets are one class from the
-start. Classes that meet are first compared with one member of each signature, which joins
-most of them; only pairs of classes that are still apart are then compared one by one. So the
-pairs of a large group of copies are never listed, and no link between different texts is lost
-for the components.
+start. Each class is first compared with one other that it shares most signatures with, which
+joins most of them. Where members of a signature are still apart, all members of the
+signatures that have the same first member are compared with each other inside tasks, in
+blocks, and only links that connect components come out. So the pairs of a large group are
+never listed, and no link between different texts is lost for the components.
 
 Null and empty texts, and texts without words, have no shingles and are linked with nothing,
 each a component of its own. Rows with the same id and text are the same document. A null id
@@ -51,7 +52,10 @@ GROWTH = 1.5
 MAX_BANDS = 60
 BUCKET_SIGNATURES = 500_000
 FLUSH_SIGNATURES = 1_500_000
-STAR_ROUNDS = 2
+#: Most sets and shingles of a block of sets that are compared all with all.
+BLOCK_SETS = 1500
+BLOCK_CODES = 2_000_000
+SHORT_RUN = 8  # shingles of more sets of a block than that are counted by a matrix product
 
 
 def band_edges() -> list[int]:
@@ -265,6 +269,65 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def _compare_block(table: pa.Table) -> pa.Table:
+    """Links between sets of different components, as few as connect what is similar here."""
+    side, component, member = (table.column(c).to_numpy() for c in ("side", "component", "class"))
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in table.column("codes").chunks for x in c]
+    n, both = len(sets), table.column("i")[0] != table.column("j")[0]
+    size = np.array([len(x) for x in sets])
+    codes, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
+    order = np.argsort(codes, kind="stable")
+    codes, owner = codes[order], owner[order]
+    starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    runs = np.diff(np.r_[starts, len(codes)])
+    common = np.zeros(n * n, np.float32)
+    for length in range(2, SHORT_RUN + 1):
+        at = starts[runs == length]
+        for p in range(length - 1):
+            for q in range(p + 1, length):
+                np.add.at(common, owner[at + p] * n + owner[at + q], 1)
+    common = common.reshape(n, n)
+    long = np.flatnonzero(runs > SHORT_RUN)
+    for part in np.array_split(long, max(1, len(long) // 1024)):
+        width = runs[part]
+        held = np.zeros((n, len(part)), np.float32)
+        column = np.repeat(np.arange(len(part)), width)
+        at = np.repeat(starts[part] - (np.cumsum(width) - width), width) + np.arange(width.sum())
+        held[owner[at], column] = 1
+        common += held @ held.T
+    a, b = np.nonzero(np.triu(180 * common >= 80 * (size[:, None] + size[None, :]), 1))
+    wanted = (component[a] != component[b]) & ((side[a] != side[b]) | (not both))
+    a, b = a[wanted], b[wanted]
+    root = {c: c for c in set(component.tolist())}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        u, v = find(component[x]), find(component[y])
+        if u != v:
+            root[u] = v
+            out.append((member[x], member[y]))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def _links_in_groups(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Compare the sets of every group ``(leader, class, component)``, in blocks of bounded
+    size: a group above it is dealt out, and each pair of its blocks is a task of its own."""
+    sized = groups.join(sets.select("class", "n"), "class")
+    parts = sized.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_CODES)).cast("int").alias("parts"))
+    mine = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = groups.join(parts, "leader").select("leader", "class", "component", mine.alias("side"), other.alias("other"))
+    dealt = dealt.select("leader", "class", "component", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    met = dealt.join(sets.select("class", "codes"), "class")
+    return met.groupBy("leader", "i", "j").applyInArrow(_compare_block, "a long, b long")
+
+
 def _codes_of(docs: DataFrame, needed: DataFrame, text_col: str) -> DataFrame:
     """``(class, n, codes)`` of the needed classes, from one text of each."""
     texts = docs.select(F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("text_code")).filter("_text is not null")
@@ -305,32 +368,16 @@ def linked_classes(docs: DataFrame, classes: DataFrame, text_col: str = "text")
     asked = probes.select("class").unionByName(members.select("class")).distinct()
     needed = stored(classes.join(asked, "class", "left_semi").select("text_code", "class"), "needed")
     sets = stored(_codes_of(docs, needed, text_col), "sets")
-    links, label = None, None
-    for round_ in range(STAR_ROUNDS):
-        if round_ == 0:
-            leaders = probes.filter("class <> leader").groupBy("class", "leader").agg(F.count("*").alias("n"))
-            pairs = leaders.groupBy("class").agg(F.max_by("leader", F.struct("n", "leader")).alias("b")).select(F.col("class").alias("a"), "b")
-        else:
-            # One member of each other component that a set meets, and the set.
-            own, other = _labelled(probes.select("class", "signature"), label), _labelled(members, label)
-            apart = other.groupBy("signature", "component").agg(F.min("class").alias("b"))
-            several = apart.groupBy("signature").agg(F.count("*").alias("k")).filter("k > 1").select("signature")
-            apart = apart.join(several, "signature")
-            met = own.withColumnRenamed("component", "c").join(apart, "signature").filter("c <> component")
-            pairs = met.groupBy("c", "component").agg(F.min(F.struct("class", "b")).alias("p")).select(F.col("p.class").alias("a"), F.col("p.b").alias("b"))
-        found = _similar(pairs, sets)
-        links = stored(found if links is None else links.unionByName(found), "similar")
-        label = stored(components(links).withColumnRenamed("node", "class"), "component")
-    # What is still apart is compared pair by pair.
-    rank = sets.select("class", "n")
-    own = _labelled(probes.select("class", "signature"), label).join(rank, "class")
-    other = _labelled(members, label).join(rank, "class")
-    mixed = other.groupBy("signature").agg((F.min("component") < F.max("component")).alias("mixed")).filter("mixed").select("signature")
-    own, other = own.join(mixed, "signature", "left_semi"), other.join(mixed, "signature", "left_semi")
-    met = own.select("signature", F.col("class").alias("a"), F.col("component").alias("c"), F.col("n").alias("m")).join(
-        other.select("signature", F.col("class").alias("b"), "component", "n"), "signature")
-    pairs = met.filter("c <> component and (n < m or n = m and b < a) and 5 * n >= 4 * m").select("a", "b")
-    links = links.unionByName(_similar(pairs, sets))
+    leaders = probes.filter("class <> leader").groupBy("class", "leader").agg(F.count("*").alias("n"))
+    pairs = leaders.groupBy("class").agg(F.max_by("leader", F.struct("n", "leader")).alias("b")).select(F.col("class").alias("a"), "b")
+    links = stored(_similar(pairs, sets), "similar")
+    label = stored(components(links).withColumnRenamed("node", "class"), "component")
+    # Signatures whose members are still apart; all members of those with the same first member meet.
+    known = _labelled(members, label)
+    mixed = known.groupBy("signature").agg((F.min("component") < F.max("component")).alias("mixed")).filter("mixed").select("signature")
+    leader = probes.select("signature", "leader").distinct().join(mixed, "signature", "left_semi")
+    groups = stored(known.join(leader, "signature").select("leader", "class", "component").distinct(), "groups")
+    links = links.unionByName(_links_in_groups(groups, sets))
     return components(links).withColumnRenamed("node", "class")
 
 
