@@ -385,19 +385,34 @@ def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
     return rows.join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_shingles, component_id)`` for every row of ``docs``."""
+def _with_components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, text_code, n_shingles, class, component, component_id)`` of every row."""
     found = stored(_sets(docs, id_col, text_col), "shingle-sets")
     classes = stored(found.filter("class is not null").groupBy("class").agg(
         F.min("id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.min("text_code").alias("text_code"),
         F.first("whole_own").alias("whole_own"), F.first("whole_below").alias("whole_below")), "classes")
     linked = linked_classes(docs, classes, text_col)
-    if linked is not None:
-        labelled = _labelled(classes.select("class", "least"), linked)
-        least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-        classes = labelled.join(least, "component")
-    else:
-        classes = classes.withColumn("component_id", F.col("least"))
-    numbers = stored(classes.select("class", "component_id"), "numbers")
-    out = found.join(numbers, "class", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    known = classes.select("class", "least")
+    labelled = _labelled(known, linked) if linked is not None else known.withColumn("component", F.col("class"))
+    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    numbers = stored(labelled.join(least, "component").select("class", "component", "component_id"), "numbers")
+    return found.join(numbers, "class", "left")
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, n_shingles, component_id)`` for every row of ``docs``."""
+    number = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return _with_components(docs, id_col, text_col).select(F.col("id").alias(id_col), "n_shingles", number.alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with all its columns, but of each component only the document with the least
+    id. Documents without shingles all stay."""
+    found = _with_components(docs, id_col, text_col).filter("class is not null").select("id", "text_code", "component")
+    order = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("i"), F.col("text_code").alias("c"))
+    first = found.groupBy("component").agg(F.min(order).alias("first"))
+    ahead = F.col("id").eqNullSafe(F.col("first.i")) & F.col("text_code").eqNullSafe(F.col("first.c"))
+    others = found.join(first, "component").filter(~ahead).select("id", "text_code").distinct()
+    same = F.col("_i").eqNullSafe(F.col("id")) & F.col("_c").eqNullSafe(F.col("text_code"))
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_i"), F.xxhash64(F.col(text_col)).alias("_c"))
+    return rows.join(others, same, "left_anti").select("_row.*")
