@@ -90,17 +90,16 @@ def document_counts(spark, sf):
     return B.document_list(DOCS.df(spark, sf), clause_chunks(spark, sf), entities(spark, sf), limit=None)
 
 
-@query("document_detail", with_ctes(ENTITIES, DOCS.cte, select="""
-  select d.document_id, d.title, c.chunks, e.entities from docs d
-  left join (select document_id, string_agg(clause_id || '=' || section_path || '=' || clause_ref, '|' order by section_path, ord) as chunks from clauses group by 1) c using (document_id)
-  left join (select document_id, string_agg(entity_id || '=' || name, '|' order by type, ord, pos) as entities from entities group by 1) e using (document_id)"""))
+@query("document_detail", with_ctes(ENTITIES, DOCS.cte, """
+items as (select document_id, 'chunks' as kind, section_path as section, ord // 1000 as part, string_agg(clause_id || '=' || section_path || '=' || clause_ref, '|' order by ord, clause_id) as items from clauses group by all
+  union all select document_id, 'entities', type, ord // 1000, string_agg(entity_id || '=' || name, '|' order by ord, entity_id) from entities group by all)""", select="""
+  select d.document_id, d.title, kind, section, part, items from docs d left join items using (document_id)"""))
 def document_detail(spark, sf):
-    e = stored_entities(spark, sf).withColumn("ord", F.col("seq.ord") * 1000 + F.col("seq.pos"))
+    e = stored_entities(spark, sf).withColumn("ord", F.col("seq.ord"))
     detail = B.document_detail(DOCS.df(spark, sf).select("document_id", "title"), clause_chunks(spark, sf), e)
-    return detail.select(
-        "document_id", "title",
-        F.array_join(F.transform("chunks", lambda c: F.concat_ws("=", c["chunk_id"].cast("string"), c["section_path"], c["clause_ref"])), "|").alias("chunks"),
-        F.array_join(F.transform("entities", lambda x: F.concat_ws("=", x["entity_id"], x["name"])), "|").alias("entities"))
+    chunks = F.array_join(F.transform("chunks", lambda c: F.concat_ws("=", c["chunk_id"].cast("string"), c["section_path"], c["clause_ref"])), "|")
+    found = F.array_join(F.transform("entities", lambda x: F.concat_ws("=", x["entity_id"], x["name"])), "|")
+    return detail.select("document_id", "title", "kind", "section", "part", F.coalesce(chunks, found).alias("items"))
 
 
 PREVIEW = "case when length(text) > 500 then left(text, 500) || '...' else text end as text"
@@ -122,9 +121,11 @@ def document_search(spark, sf):
 
 
 @query("chunk_detail", with_ctes(CLAUSES.cte, DOCS.cte, select="""
-  select clause_id as chunk_id, c.document_id, text, title as document_title from clauses c left join (select * from docs where document_id % 5 <> 2) d using (document_id)"""))
+  select clause_id as chunk_id, c.document_id, text, title as document_title
+  from (select * replace (case when clause_id % 5 = 2 then -document_id else document_id end as document_id) from clauses) c left join docs using (document_id)"""))
 def chunk_detail(spark, sf):
-    return B.chunk_detail(clause_chunks(spark, sf), DOCS.df(spark, sf).filter("document_id % 5 <> 2")).select("chunk_id", "document_id", "text", "document_title")
+    orphans = F.when(F.col("chunk_id") % 5 == 2, -F.col("document_id")).otherwise(F.col("document_id"))
+    return B.chunk_detail(clause_chunks(spark, sf).withColumn("document_id", orphans), DOCS.df(spark, sf)).select("chunk_id", "document_id", "text", "document_title")
 
 
 @query("entity_browse", with_ctes(ENTITIES, select="""

@@ -265,20 +265,22 @@ def graph_summary(spark, sf):
 
 
 @query("new_edges", with_ctes(ENTITIES, POLICY, FACTS, PAIRS, ALL_EDGES, select=f"""
-  select * from ({REPLY_EDGES}) except select * from ({CLAUSE_EDGES})"""))
+  select * from ({REPLY_EDGES}) except (select * from ({CLAUSE_EDGES}) union all select * from ({REPLY_EDGES}) where src like '%3')"""))
 def new_edges(spark, sf):
-    stored = G.clause_edges(clauses(spark, sf), policies(spark, sf))
-    return T.new_edges(G.reply_edges(facts(spark, sf)), stored)
+    found = G.reply_edges(stored_facts(spark, sf))
+    stored = G.clause_edges(clauses(spark, sf), policies(spark, sf)).unionByName(found.filter("src like '%3'"))
+    return T.new_edges(found, stored)
 
 
 @query("upserted_processes", with_ctes(POLICY, """
 writes as (select process_name as name, title, document_id as seq from policy
-  union all select 'Dept ' || (c_custkey % 7), c_name, 100000000 + c_custkey from customer)""", select="""
+  union all select case when c_custkey % 2 = 0 then 'Dept ' || (c_custkey % 7) else (select min(process_name) from policy) end, c_name, 100000000 + c_custkey from customer)""", select="""
   select name, max_by(title, seq) as source_policy from writes group by 1"""))
 def upserted_processes(spark, sf):
     stored = G.process_nodes(policies(spark, sf))
     writes = T.read(spark, sf, "customer").select(
-        F.concat(F.lit("Dept "), (F.col("c_custkey") % 7).cast("string")).alias("name"), F.col("c_name").alias("source_policy"),
+        F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("Dept "), (F.col("c_custkey") % 7).cast("string"))).otherwise(
+            stored.agg(F.min("name")).scalar()).alias("name"), F.col("c_name").alias("source_policy"),
         F.col("c_custkey").alias("seq"))
     return T.upsert(stored, writes, ["name"], "seq")
 

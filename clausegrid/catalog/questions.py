@@ -115,8 +115,7 @@ def approval_records(spark, sf):
 
 
 @query("approvals", with_ctes(HITS, ASKED.cte, WANTED, RECORDS, """
-listed as (select wanted, list(role order by role) as roles, cast(sum(n) as bigint) as n_records
-  from (select wanted, role, count(*) as n from records group by all) group by wanted),
+listed as (select wanted, list(role order by role) as roles, count(*) as n_records from records group by wanted),
 titled as (select w.*, roles, n_records, list_contains(roles, coalesce(role, 'Employee'))
   or list_contains(roles, upper(role[1]) || lower(role[2:])) as may from wanted w left join listed l on w.process = l.wanted)""", select="""
   select query_id, process, amount, array_to_string(roles, ', ') as roles, coalesce(n_records, 0) as n_records,
@@ -129,6 +128,21 @@ def approvals(spark, sf):
     return P.resolve_approvals(wanted(spark, sf), records(spark, sf)).withColumn("roles", F.array_join("roles", ", "))
 
 
+@query("approvals_each_role_once", with_ctes(HITS, ASKED.cte, WANTED, RECORDS, """
+listed as (select wanted, list(role order by role) as roles, cast(sum(n) as bigint) as n_records
+  from (select wanted, role, count(*) as n from records group by all) group by wanted),
+titled as (select w.*, roles, n_records, list_contains(roles, coalesce(role, 'Employee'))
+  or list_contains(roles, upper(role[1]) || lower(role[2:])) as may from wanted w left join listed l on w.process = l.wanted)""", select="""
+  select query_id, process, amount, array_to_string(roles, ', ') as roles, coalesce(n_records, 0) as n_records,
+    case when process is not null then coalesce(may, false) end as user_can_approve,
+    case when process is not null then concat_ws('; ', case when roles is not null then 'Approval authority for ''' || process || ''': ' || array_to_string(roles, ', ')
+      else 'No specific approval authority found for ''' || process || ''' in the knowledge graph.' end,
+      case when amount <> 0 then 'Requested amount: $' || format('{:,.2f}', amount) end) end as answer_text,
+    case when process is null then 'Could not determine the process from the question' end as error from titled"""))
+def approvals_each_role_once(spark, sf):
+    return P.resolve_approvals(wanted(spark, sf), records(spark, sf), repeat_roles=False).withColumn("roles", F.array_join("roles", ", "))
+
+
 @query("least_authority", with_ctes(HITS, ASKED.cte, WANTED, RECORDS, """
 limits_ as (select role, round(max(balance) * 30, 2) as max_amount from approver_rows group by role)""", select="""
   select query_id, w.process, w.amount, min_by(role, {'a': max_amount, 'r': role}) as authority, min(max_amount) as "limit"

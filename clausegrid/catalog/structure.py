@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 from clausegrid.catalog.derived import CLAUSES, DOCUMENT_STATUS, POLICIES, POLICY_LINES, POLICY_TABLES, Derived, CLAUSE_TEXT
 from clausegrid.catalog.registry import query, with_ctes
 from clausegrid.catalog.retrieval import CHUNKS, LINES, SQL_SPACE
+from clausegrid.functions.stages import new_folder
 from clausegrid.operators import chunking as C
 from clausegrid.operators import quality as Q
 from clausegrid.operators import structure as S
 from clausegrid.sources import lines as L
+from clausegrid.sources import tables as T
 from clausegrid.sources.tables import read
 
 SQL_WORD = SQL_SPACE.replace("[", "[^", 1)
@@ -112,7 +114,7 @@ def sections_with_tables(spark, sf):
 
 
 @query("document_text", with_ctes(SECTIONS, select="""
-  select document_id, cast(0 as bigint) as part, string_agg(content, chr(10) order by ord) as text from sections group by 1"""))
+  select document_id, ord // 1000 as part, string_agg(content, chr(10) order by ord) as text from sections group by all"""))
 def document_text(spark, sf):
     return S.full_text(policy_sections(spark, sf))
 
@@ -254,17 +256,18 @@ def registered_documents(spark, sf):
 
 
 @query("documents_with_text", with_ctes(POLICIES.cte, SECTIONS, select="""
-  select document_id, title, 'kept' as outcome from policies where document_id in (select document_id from sections)
-  union all select document_id, title, 'no text' from policies where document_id not in (select document_id from sections)"""))
+  select document_id, title, case when document_id % 13 <> 5 and document_id in (select document_id from sections) then 'kept' else 'no text' end as outcome from policies"""))
 def documents_with_text(spark, sf):
-    kept, empty = L.skip_empty(POLICIES.df(spark, sf).select("document_id", "title"), policy_sections(spark, sf))
+    blank = F.when(F.col("document_id") % 13 == 5, F.lit(" \t ")).otherwise(F.col("content"))
+    sections = policy_sections(spark, sf).withColumn("content", blank)
+    kept, empty = L.skip_empty(POLICIES.df(spark, sf).select("document_id", "title"), sections)
     return kept.withColumn("outcome", F.lit("kept")).unionByName(empty.withColumnRenamed("reason", "outcome"))
 
 
 CHECKED = SECTIONS + """,
-checked as (select document_id, ord as chunk_id, case when ord % 97 = 3 then null else content end as text,
+checked as (select case when ord % 31 = 7 then -document_id else document_id end as document_id, ord as chunk_id, case when ord % 97 = 3 then null else content end as text,
     concat(section_path, ' ', array_to_string(hier, ' > '), ' > Rule ', ord) as clause_ref from sections where not is_heading),
-registered as (select c_custkey as document_id, case when c_custkey % 50 = 9 then null else c_name end as title from customer where c_custkey % 11 <> 4),
+registered as (select c_custkey as document_id, case when c_custkey % 50 = 9 then null else c_name end as title from customer),
 broken as (select document_id, chunk_id, 'text is null' as problem from checked where text is null
   union all select document_id, chunk_id, 'clause_ref too long' from checked where length(clause_ref) > 42
   union all select document_id, chunk_id, 'no such document' from checked where document_id not in (select document_id from registered)
@@ -274,9 +277,9 @@ broken as (select document_id, chunk_id, 'text is null' as problem from checked
 def checked_inputs(spark, sf):
     content = policy_sections(spark, sf).filter("not is_heading")
     chunks = content.select(
-        "document_id", F.col("ord").alias("chunk_id"), F.when(F.col("ord") % 97 != 3, F.col("content")).alias("text"),
+        F.when(F.col("ord") % 31 == 7, -F.col("document_id")).otherwise(F.col("document_id")).alias("document_id"), F.col("ord").alias("chunk_id"), F.when(F.col("ord") % 97 != 3, F.col("content")).alias("text"),
         F.concat("section_path", F.lit(" "), F.array_join("heading_hierarchy", " > "), F.lit(" > Rule "), F.col("ord").cast("string")).alias("clause_ref"))
-    documents = read(spark, sf, "customer").filter("c_custkey % 11 <> 4").select(
+    documents = read(spark, sf, "customer").select(
         F.col("c_custkey").alias("document_id"), F.when(F.col("c_custkey") % 50 != 9, F.col("c_name")).alias("title"))
     return chunks, documents
 
@@ -304,3 +307,29 @@ def chunks_after_delete(spark, sf):
 @query("rating_violations", "select doc_id as answer_id, cast(doc_id % 7 as int) as rating from labels where doc_id % 7 not between 1 and 5")
 def rating_violations(spark, sf):
     return Q.rating_violations(read(spark, sf, "labels").selectExpr("doc_id as answer_id", "cast(doc_id % 7 as int) as rating"))
+
+
+@query("published_chunks", with_ctes(CHECKED, select="""
+  select document_id, chunk_id, text from checked where document_id not in (select document_id from broken where document_id is not null)"""))
+def published_chunks(spark, sf):
+    """Write two batches, one of them twice, leave a third one without its mark, and read back."""
+    chunks, documents = checked_inputs(spark, sf)
+    rejected = Q.violations(chunks, documents, clause_ref_limit=42)
+    folder, rows = new_folder(spark, "batches"), chunks.select("document_id", "chunk_id", "text")
+    for batch, odd in (("a", 0), ("b", 1), ("a", 0)):
+        part = rows.filter(F.pmod("document_id", F.lit(2)) == odd)
+        T.append_whole_documents(part, part, rejected, folder, batch)
+    rows.limit(10).write.parquet(f"{folder}/chunks/batch=c")
+    return T.published(spark, folder, "chunks")
+
+
+@query("loaded_for_graph", with_ctes(POLICIES.cte, select="select document_id as id, title, version, status from policies"))
+def loaded_for_graph(spark, sf):
+    """Rebuild the stored tables twice and load what the graph needs of them."""
+    folder = new_folder(spark, "graph")
+    documents = POLICIES.df(spark, sf).select(F.col("document_id").alias("id"), "title", "version", "status", F.current_date().alias("effective_date"), "department")
+    for _ in range(2):
+        T.rebuild(documents, f"{folder}/documents")
+    T.rebuild(documents.select("id", *[F.lit("x").alias(c) for c in ("document_id", "section_path", "clause_ref", "text", "version")]), f"{folder}/chunks")
+    T.rebuild(documents.select("id", *[F.lit("x").alias(c) for c in ("type", "name", "document_id", "attrs")]), f"{folder}/entities")
+    return T.load_for_graph(spark, folder)["documents"].drop("effective_date")

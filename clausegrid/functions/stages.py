@@ -1,19 +1,37 @@
 """Materialising a small table that several parts of a plan read."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """``df`` computed once and stored in the cluster's checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    The folder is the one named by ``spark.checkpoint.dir``; only where that is unset, as
-    in local tests, a temporary one is used. The copy is reliable storage: it survives the
-    loss of executors.
+    Only a local session without one, as in tests, gets a temporary folder; elsewhere a
+    missing setting is an error, since executors cannot read the driver's own folders.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", "") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    folder = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A place for a table of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """``df`` computed once and stored in the shared folder.
+
+    The copy is reliable storage: it survives the loss of executors. Set
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` to have it removed after its use.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

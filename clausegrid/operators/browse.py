@@ -3,8 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausegrid.functions.sizes import BROADCAST_ROWS
 from clausegrid.functions.text import preview
-from clausegrid.operators.ordered import running
 
 
 def history(queries: DataFrame, user_id=None, limit: int = 50) -> DataFrame:
@@ -50,7 +50,8 @@ def document_list(documents: DataFrame, chunks: DataFrame, entities: DataFrame,
     def counted(df: DataFrame, name: str) -> DataFrame:
         # A page holds at most ``limit`` documents, so only their rows are counted.
         if limit is not None:
-            df = df.join(F.broadcast(page.select("document_id")), "document_id", "left_semi")
+            wanted = page.select("document_id")
+            df = df.join(F.broadcast(wanted) if limit <= BROADCAST_ROWS else wanted, "document_id", "left_semi")
         return df.groupBy("document_id").agg(F.count("*").alias(name))
 
     return (
@@ -60,34 +61,25 @@ def document_list(documents: DataFrame, chunks: DataFrame, entities: DataFrame,
     )
 
 
-def _parts(rows: DataFrame, order: list[str], fields: list[str], part_rows: int, name: str) -> DataFrame:
-    """(document_id, part, name): nested rows in order, at most ``part_rows`` per row.
-
-    The place of a row is the number of rows in smaller sections plus its place in its own
-    section; sections are counted first, so no document is sorted as a whole.
-    """
-    section, seq = order
-    sizes = rows.groupBy("document_id", section).agg(F.count("*").alias("_n"))
-    smaller = Window.partitionBy("document_id").orderBy(section).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("document_id", section, F.coalesce(F.sum("_n").over(smaller), F.lit(0)).alias("_off"))
-    placed = running(rows, ["document_id", section], seq, sums={"_at": F.lit(1)}).join(offsets, ["document_id", section])
-    at = F.col("_off") + F.col("_at") - 1
-    nested = F.array_sort(F.collect_list(F.struct(at.alias("_at"), *fields)))
-    return placed.groupBy("document_id", F.floor(at / part_rows).cast("long").alias("part")).agg(
-        F.transform(nested, lambda r: F.struct(*[r[f].alias(f) for f in fields])).alias(name))
-
-
-def document_detail(documents: DataFrame, chunks: DataFrame, entities: DataFrame, part_rows: int = 10_000) -> DataFrame:
+def document_detail(documents: DataFrame, chunks: DataFrame, entities: DataFrame, part_span: int = 1000) -> DataFrame:
     """Documents with nested chunks (by section path as text, then ``ord``) and nested
-    entities. Up to ``part_rows`` of each a document is one row (part 0); a larger one goes
-    on in further parts.
+    entities (by type, then ``ord``).
 
-    ``entities`` carries ``ord``; its type is the outer order.
+    Each row holds the items of one ``kind`` ('chunks' or 'entities') and ``section`` (path
+    or type) whose ``ord`` lies in its ``part``, a span of ``part_span`` numbers, at every
+    size; a document without items has one row without a kind. Sorting by kind, section and
+    part gives the whole order. Entities of the same ``ord`` go by their id.
     """
-    c = _parts(chunks, ["section_path", "ord"], ["chunk_id", "section_path", "clause_ref", "text", "token_count"], part_rows, "chunks")
-    e = _parts(entities, ["type", "ord"], ["entity_id", "type", "name"], part_rows, "entities")
-    parts = c.join(e, ["document_id", "part"], "full")
-    return documents.join(parts, "document_id", "left").withColumn("part", F.coalesce("part", F.lit(0).cast("long")))
+    part = F.floor(F.col("ord") / part_span).cast("long").alias("part")
+
+    def nested(rows: DataFrame, kind: str, section: str, key: str, fields: list[str]) -> DataFrame:
+        items = F.array_sort(F.collect_list(F.struct("ord", *[F.col(f) for f in (key, *fields)])))
+        out = rows.groupBy("document_id", F.lit(kind).alias("kind"), F.col(section).alias("section"), part).agg(items.alias("_items"))
+        return out.select("document_id", "kind", "section", "part", F.transform("_items", lambda r: F.struct(*[r[f].alias(f) for f in (key, *fields)])).alias(kind))
+
+    c = nested(chunks, "chunks", "section_path", "chunk_id", ["section_path", "clause_ref", "text", "token_count"])
+    e = nested(entities, "entities", "type", "entity_id", ["type", "name"])
+    return documents.join(c.unionByName(e, allowMissingColumns=True), "document_id", "left")
 
 
 def search_chunks(

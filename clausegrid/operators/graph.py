@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clausegrid.functions.fixed import DEFAULT_PROCESS
 from clausegrid.functions.text import strip_policy_suffix, title_case
-from clausegrid.operators.ordered import BLOCK_ROWS, running, with_neighbours
+from clausegrid.operators.ordered import BLOCK_ROWS, numbered, running, with_neighbours
 from clausegrid.operators.replies import said_yes
 
 EDGE = ["type", "src_label", "src", "dst_label", "dst"]
@@ -116,7 +116,7 @@ def role_limits(pairs: DataFrame, policies: DataFrame, limits: DataFrame) -> Dat
 
 
 def supersedes(policies: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Same title, other version, larger id supersedes smaller.
+    """Same title, other version, larger id supersedes smaller; ids of any ordered type.
 
     One row per superseding policy: the nearest policy it supersedes and how many it
     supersedes in all. Where titles hold one policy per version this chain is the whole
@@ -124,15 +124,15 @@ def supersedes(policies: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     the policies asked for.
     """
     key = ["title"]
-    base = policies.select("document_id", "title", "version")
-    near = with_neighbours(base, key, "document_id", ["document_id", "version"], 1, 0, block_rows)
+    base = numbered(policies.select("document_id", "title", "version"), key, "document_id", "place")
+    near = with_neighbours(base, key, "place", ["document_id", "version"], 1, 0, block_rows)
     previous = F.get("prev", 0)
     turned = near.select(
-        "document_id", "title", "version",
+        "document_id", "title", "version", "place",
         F.when(previous["version"] != F.col("version"), previous["document_id"]).alias("turn"),
     )
-    ranked = running(turned, key, "document_id", sums={"upto": F.lit(1)}, lasts={"nearest": F.col("turn")}, block_rows=block_rows)
-    own = running(ranked, ["title", "version"], "document_id", sums={"same": F.lit(1)}, block_rows=block_rows)
+    ranked = running(turned, key, "place", sums={"upto": F.lit(1)}, lasts={"nearest": F.col("turn")}, block_rows=block_rows)
+    own = running(ranked, ["title", "version"], "place", sums={"same": F.lit(1)}, block_rows=block_rows)
     return own.filter("nearest is not null").select(
         F.col("document_id").alias("new_id"), F.col("nearest").alias("old_id"),
         (F.col("upto") - F.col("same")).alias("n_superseded"), "title",

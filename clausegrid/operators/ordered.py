@@ -10,10 +10,22 @@ carry table is empty for them.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausegrid.functions.stages import materialise
+
 BLOCK_ROWS = 1 << 18
 BLOCK = "_block"
 
 
+def numbered(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """``df`` with a unique increasing integer in the order of keys and ``order``, of any type.
+
+    Rows are sorted by range, so no task holds a whole key, and the numbers within a task
+    are dense; they are stored, as sorting again might deal rows out in another way.
+    """
+    placed = df.repartitionByRange(*keys, order).sortWithinPartitions(*keys, order)
+    return materialise(placed.withColumn(name, F.monotonically_increasing_id()))
+
+
 def with_block(df: DataFrame, order: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return df.withColumn(BLOCK, F.floor(F.col(order) / block_rows).cast("long"))
 

@@ -87,13 +87,13 @@ def approval_records(approvers: DataFrame) -> DataFrame:
     return approvers.select(F.explode_outer(held).alias("wanted"), "role", "process").filter("wanted is not null")
 
 
-def resolve_approvals(questions: DataFrame, records: DataFrame, repeat_roles: bool = False) -> DataFrame:
+def resolve_approvals(questions: DataFrame, records: DataFrame, repeat_roles: bool = True) -> DataFrame:
     """Roles, user_can_approve and answer text per question of ``wanted_processes``
     (plus the asker's ``role``).
 
-    Records are counted per (wanted, role) before roles are listed, so a process name held
-    by millions of pairs lists each role once; ``repeat_roles`` lists a role once per
-    record, as often as it occurs.
+    A role is listed once per record, as often as it occurs. Records are counted per
+    (wanted, role) before that; with ``repeat_roles=False`` a process name held by millions
+    of pairs lists each role once.
     """
     per_role = records.groupBy("wanted", "role").agg(F.count("*").alias("n"))
     listed = per_role.groupBy("wanted").agg(

@@ -70,13 +70,23 @@ def parse_entity_replies(replies: DataFrame) -> DataFrame:
 
 def first_value(field: str) -> Column:
     """Of a parsed reply field: a list gives its first element, a dict its first
-    value in written order, anything else itself; text, null when absent or empty."""
-    kind = F.schema_of_variant(F.try_variant_get("parsed", f"$.{field}", "variant"))
+    value in written order, anything else itself; as text, null when absent or falsy by its
+    type: empty text, the number 0, false, an empty list or dict."""
     raw = F.col("fields")[field]
-    of_list = F.try_variant_get("parsed", f"$.{field}[0]", "string")
-    of_dict = F.get(F.map_values(F.from_json(raw, "map<string,string>")), 0)
-    value = F.when(kind.startswith("ARRAY"), of_list).when(kind.startswith("OBJECT"), of_dict).otherwise(raw)
-    return F.when(~value.isin("", "false", "0"), value)
+    whole = F.try_variant_get("parsed", f"$.{field}", "variant")
+    kind = F.schema_of_variant(whole)
+    of_list = F.try_variant_get("parsed", f"$.{field}[0]", "variant")
+    of_dict = F.get(F.map_values(F.from_json(raw, "map<string,variant>")), 0)
+    taken = F.when(kind.startswith("ARRAY"), of_list).when(kind.startswith("OBJECT"), of_dict).otherwise(whole)
+    inner = F.schema_of_variant(taken)
+    nested = kind.startswith("ARRAY") | kind.startswith("OBJECT")
+    text = F.when(nested, F.try_variant_get(taken, "$", "string")).otherwise(raw)
+    number = F.try_variant_get(taken, "$", "double")
+    falsy = (
+        ((inner == "STRING") & (text == "")) | ((inner == "BOOLEAN") & ~F.try_variant_get(taken, "$", "boolean"))
+        | (~inner.isin("STRING", "BOOLEAN") & (number == 0)) | inner.isin("VOID", "ARRAY<VOID>", "OBJECT<>")
+    )
+    return F.when(~F.coalesce(falsy, F.lit(False)), text)
 
 
 def entity_fields(replies: DataFrame, accept_dict: bool = False) -> DataFrame:

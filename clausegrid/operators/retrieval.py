@@ -7,69 +7,82 @@ Questions come as a table ``(query_id, question)``; hits go out as
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausegrid.functions import fixed
-from clausegrid.functions.sizes import is_small
+from clausegrid.functions.sizes import BROADCAST_BYTES, BROADCAST_ROWS
 from clausegrid.functions.stages import materialise
 from clausegrid.functions.text import tokens
 
 SCORE_DIGITS = 9
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, ord, len, term, tf, head). Chunks without tokens have no rows;
-    ``head`` marks one row per chunk.
+def postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, ord, len, term, tf). Chunks without tokens have no rows.
 
-    The text is shuffled once by chunk, before it is tokenised. The count here and the
-    per-question sum in ``bm25_top_k`` group on the chunk, so neither shuffles again, and
-    the statistics below start from the same shuffle.
+    A chunk is one row, so its counts are complete within the task and only postings are
+    shuffled; with ``terms`` only the postings of those terms are.
     """
-    return (
-        chunks.select("chunk_id", "ord", "text")
-        .repartition("chunk_id")
-        .select("chunk_id", "ord", tokens(F.col("text")).alias("t"))
-        .select("chunk_id", "ord", F.size("t").alias("len"), F.posexplode_outer("t").alias("at", "term"))
-        .filter("term is not null")
-        .groupBy("chunk_id", "ord", "len", "term")
-        .agg(F.count("*").cast("int").alias("tf"), (F.min("at") == 0).alias("head"))
+    words = (
+        chunks.select("chunk_id", "ord", tokens(F.col("text")).alias("t"))
+        .select("chunk_id", "ord", F.size("t").alias("len"), F.explode("t").alias("term"))
     )
+    if terms is not None:
+        words = words.join(terms, "term", "left_semi")
+    return words.groupBy("chunk_id", "ord", "len", "term").agg(F.count("*").cast("int").alias("tf"))
 
 
-def term_counts(posts: DataFrame) -> DataFrame:
-    """(term, df, occurrences, heads). Counts combine on the map side, so a term of
-    every chunk sends one row per task."""
-    return posts.groupBy("term").agg(
-        F.count("*").alias("df"), F.sum("tf").alias("occurrences"), F.count_if("head").alias("heads")
-    )
+def term_counts(chunks: DataFrame) -> DataFrame:
+    """(term, df). Counts combine on the map side, so a term of every chunk sends one
+    row per task."""
+    words = chunks.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    return words.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def corpus_size(counts: DataFrame) -> Column:
-    """Struct (n_chunks, avg_len) as a scalar subquery over the per-term counts."""
-    n, total = F.sum("heads"), F.sum("occurrences")
-    return counts.agg(F.struct(n.alias("n_chunks"), (total / n).alias("avg_len"))).scalar()
+def members(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, ord, len) of the chunks with tokens: the corpus."""
+    return chunks.select("chunk_id", "ord", F.size(tokens(F.col("text"))).alias("len")).filter("len > 0")
 
 
 class Index(NamedTuple):
-    """The lexical index: postings and per-term counts."""
+    """The lexical index. ``chunks`` is there while postings are a plan over them;
+    a stored index does without."""
 
     postings: DataFrame
     counts: DataFrame
+    members: DataFrame
+    n_chunks: int
+    avg_len: float
+    chunks: DataFrame | None = None
+
+
+def _size(corpus: DataFrame) -> tuple[int, float]:
+    row = corpus.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("l")).first()
+    return row["n"], row["l"]
 
 
 def build_index(chunks: DataFrame) -> Index:
-    """The index as a plan over ``chunks``. Only the counts (one row per term) are
-    materialised: the weights and three global figures all read them, and the corpus is
-    then read once for them and once for the scores."""
-    posts = postings(chunks)
-    return Index(posts, materialise(term_counts(posts)))
+    """The index as a plan over ``chunks``; only the counts (one row per term) are stored."""
+    corpus = members(chunks)
+    return Index(postings(chunks), materialise(term_counts(chunks)), corpus, *_size(corpus), chunks)
+
+
+def save_index(index: Index, folder: str) -> None:
+    """Write postings, counts and members."""
+    for name in ("postings", "counts", "members"):
+        getattr(index, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def load_index(spark: SparkSession, folder: str) -> Index:
+    """A saved index; searching it does not read the texts."""
+    parts = [spark.read.parquet(f"{folder}/{name}") for name in ("postings", "counts", "members")]
+    return Index(*parts, *_size(parts[2]))
 
 
-def term_weights(counts: DataFrame, epsilon: float = fixed.BM25_EPSILON) -> DataFrame:
+def term_weights(index: Index, epsilon: float = fixed.BM25_EPSILON) -> DataFrame:
     """(term, df, idf); a negative idf becomes epsilon times the mean idf."""
-    n = corpus_size(counts)["n_chunks"]
-    raw = counts.select("term", "df", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
+    raw = index.counts.select("term", "df", F.log((index.n_chunks - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw")).scalar()
     return raw.select(
         "term", "df", F.when(F.col("raw") < 0, epsilon * mean).otherwise(F.col("raw")).alias("idf")
@@ -109,55 +122,72 @@ def bm25_top_k(
     allowed_tags: list[str] | None = None,
     index: Index | None = None,
 ) -> DataFrame:
-    """Okapi BM25. Ties keep corpus order; with ``zero_fill`` chunks scoring zero
-    fill up the k. ``index`` is a saved or shared index (S13); without it one is built
-    from ``chunks``. Scores are never negative while the mean idf is not, which
-    takes a vocabulary whose words mostly occur in less than half of the chunks.
+    """Okapi BM25. Ties keep corpus order; with ``zero_fill`` the chunks that match
+    nothing score zero and rank between positive and negative scores. ``index`` is a saved
+    or shared index (S13); without it one is built from ``chunks``.
 
     ``allowed_tags`` (R10) drops chunks before ranking; the statistics stay those of the
     whole corpus.
     """
-    posts, counts = index or build_index(chunks)
-    weights = term_weights(counts, epsilon)
-    visible = chunks if allowed_tags is None else chunks.filter(
-        F.arrays_overlap("access_tags", F.array(*[F.lit(t) for t in allowed_tags]))
-    )
-    if allowed_tags is not None:
-        posts = posts.join(visible.select("chunk_id"), "chunk_id", "left_semi")
-    asked = query_terms(questions).join(weights, "term").select(
+    index = index or build_index(chunks)
+    words = query_terms(questions)
+    asked = words.join(term_weights(index, epsilon), "term").select(
         "query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
-    if is_small(query_terms(questions), F.length("term") + 24):
-        asked = F.broadcast(asked)
-    avg_len = corpus_size(counts)["avg_len"]
-    norm = k1 * (1.0 - b + b * F.col("len") / avg_len)
-    weighted = posts.withColumn("w", F.col("tf") * (k1 + 1.0) / (F.col("tf") + norm))
+    size = asked.agg(F.count("*").alias("n"), F.sum(F.length("term") + 24).alias("b"), F.min("weight").alias("least")).first()
+    small = size["n"] <= BROADCAST_ROWS and (size["b"] or 0) <= BROADCAST_BYTES
+    terms = asked.select("term").distinct()
+    if small:
+        asked, terms = F.broadcast(asked), F.broadcast(terms)
+    posts = index.postings if index.chunks is None else postings(index.chunks, terms)
+    corpus = index.members
+    if allowed_tags is not None:
+        visible = chunks.filter(F.arrays_overlap("access_tags", F.array(*[F.lit(t) for t in allowed_tags]))).select("chunk_id")
+        posts, corpus = posts.join(visible, "chunk_id", "left_semi"), corpus.join(visible, "chunk_id", "left_semi")
+    norm = k1 * (1.0 - b + b * F.col("len") / index.avg_len)
     scored = (
-        weighted.join(asked, "term")
-        .groupBy("chunk_id", "query_id")
-        .agg(F.sum(F.col("weight") * F.col("w")).alias("score"), F.max("ord").alias("ord"))
+        posts.join(asked, "term").withColumn("w", F.col("weight") * F.col("tf") * (k1 + 1.0) / (F.col("tf") + norm))
+        .groupBy("chunk_id", "query_id").agg(F.sum("w").alias("score"), F.max("ord").alias("ord"))
     )
     if zero_fill:
-        # The first k chunks of the corpus hold every zero-score row that can be needed:
-        # with m < k matches, at least k - m of them match nothing.
-        head = (
-            visible.filter(F.size(tokens(F.col("text"))) > 0).select("ord", "chunk_id").orderBy("ord").limit(k)
-            .agg(F.array_sort(F.collect_list(F.struct("ord", "chunk_id")))).scalar()
-        )
+        # While no score is negative, a chunk that matches nothing is only needed if fewer
+        # than k match, and then the first k chunks hold enough of them. Otherwise the
+        # head must hold k chunks that a question does not match, for any of them.
+        negative = size["least"] is not None and size["least"] < 0
+        rows = _deep_enough(posts.join(asked, "term"), corpus, k, index.n_chunks) if negative else k
+        head = corpus.select("ord", "chunk_id").orderBy("ord").limit(rows)
+        head = head.agg(F.array_sort(F.collect_list(F.struct("ord", "chunk_id")))).scalar()
         fill = (
             questions.filter(F.size(tokens(F.col("question"))) > 0)
             .select("query_id", F.explode(head).alias("c"))
             .select("c.chunk_id", "query_id", F.lit(0.0).alias("score"), "c.ord")
         )
-        best = top_k(scored, k)
-        scored = (
-            best.select("chunk_id", "query_id", "score", "ord")
-            .unionByName(fill)
-            .groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), F.max("ord").alias("ord"))
-        )
+        if negative:
+            matched = scored.select("query_id", "chunk_id")
+            first = fill.join(matched, ["query_id", "chunk_id"], "left_anti")
+            fill = top_k(first, k).select("chunk_id", "query_id", "score", "ord")
+            scored = scored.unionByName(fill)
+        else:
+            scored = (
+                top_k(scored, k).select("chunk_id", "query_id", "score", "ord").unionByName(fill)
+                .groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), F.max("ord").alias("ord"))
+            )
     ranked = top_k(scored, k)
     return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "score")
 
 
+def _deep_enough(matched: DataFrame, corpus: DataFrame, k: int, n_chunks: int) -> int:
+    """How many first chunks hold at least ``k`` that match nothing, for every question."""
+    rows = 8 * k
+    while rows < n_chunks:
+        head = corpus.orderBy("ord").limit(rows).select("chunk_id")
+        met = matched.join(head, "chunk_id", "left_semi").select("query_id", "chunk_id").distinct()
+        most = met.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if rows - most >= k:
+            break
+        rows *= 8
+    return rows
+
+
 def reciprocal_rank_fusion(lists: list[DataFrame], k: int = fixed.RRF_K) -> DataFrame:
     """Sum of 1/(k + rank) over the lists; ties in first-seen order; no cut."""
     tagged = None
@@ -242,8 +272,11 @@ def search(
     mode = F.lower(F.coalesce(F.col("mode"), F.lit("hybrid")))
     if lexical is None:
         return vector(questions).select("query_id", "rank", "chunk_id", "score")
-    words_only = questions.filter(mode == "bm25")
-    both = questions.filter(mode == "hybrid")
-    vectors_only = questions.filter(~mode.isin("bm25", "hybrid"))
-    fused = reciprocal_rank_fusion([vector(both), lexical(both)])
-    return lexical(words_only).unionByName(fused).unionByName(vector(vectors_only))
+    # Each leg runs once, over the questions that need it, and its hits are split by mode.
+    by_mode = questions.select("query_id", mode.alias("_mode"))
+    by_words = lexical(questions.filter(mode.isin("bm25", "hybrid"))).join(by_mode, "query_id")
+    by_vector = vector(questions.filter(mode != "bm25")).join(by_mode, "query_id")
+    fused = reciprocal_rank_fusion([by_vector.filter("_mode = 'hybrid'"), by_words.filter("_mode = 'hybrid'")])
+    hit = ["query_id", "rank", "chunk_id", "score"]
+    alone = by_words.filter("_mode = 'bm25'").select(*hit).unionByName(by_vector.filter("_mode <> 'hybrid'").select(*hit))
+    return alone.unionByName(fused.select(*hit))

@@ -128,16 +128,14 @@ def parse_structure(lines: DataFrame, tables: DataFrame | None = None, block_row
     return sections if tables is None else append_tables(sections, tables)
 
 
-def full_text(sections: DataFrame, part_rows: int = 100_000) -> DataFrame:
+def full_text(sections: DataFrame, part_span: int = 1000) -> DataFrame:
     """Contents joined by newline in document order, as (document_id, part, text).
 
-    A document of up to ``part_rows`` sections is one row; a longer one is cut into parts
-    of that many sections, in order, so that no row has to hold all of it. Joining the
-    parts by newline gives the text.
+    A part holds the sections whose ``ord`` lies in its span of ``part_span`` numbers,
+    whatever the size of the document, so no row has to hold all of a long one. Joining the
+    parts in order by newline gives the text.
     """
-    placed = running(sections, ["document_id"], "ord", sums={"_at": F.lit(1)})
-    parts = placed.withColumn("part", F.floor((F.col("_at") - 1) / part_rows).cast("long"))
     lines = F.array_sort(F.collect_list(F.struct("ord", "content")))
-    return parts.groupBy("document_id", "part").agg(
+    return sections.groupBy("document_id", F.floor(F.col("ord") / part_span).cast("long").alias("part")).agg(
         F.array_join(F.transform(lines, lambda s: s["content"]), "\n").alias("text")
     )

@@ -1,82 +1,94 @@
 """Vector retrieval.
 
-Every question meets every chunk, which is a matrix product, so it is done as one: the
-questions travel to the tasks in blocks of bounded size and each task multiplies its own
-chunk batches, keeping only the best k per question. Nothing but those rows is shuffled.
+Every question meets every chunk it may match, which is a matrix product, so it is done as
+one: questions and chunks are dealt into blocks of bounded size on the executors, each pair
+of blocks meets in one task, and the task returns the best k per question. Only counts reach
+the driver, and the plan has the same size for any number of questions.
 """
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausegrid.functions import fixed
 from clausegrid.operators.retrieval import SCORE_DIGITS, top_k
 
 QUESTION_BLOCK_ROWS = 4096
-QUESTION_BLOCK_BYTES = 64 << 20
+CHUNK_BLOCK_ROWS = 50_000
 CELLS = 4_000_000  # largest similarity matrix held at once in a task
 
 
-def _matrix(column) -> np.ndarray:
+def usable(dimension: int) -> Column:
+    """Whether ``embedding`` is a vector of this dimension without nulls."""
+    whole = F.forall("embedding", lambda x: x.isNotNull())
+    return F.coalesce((F.size("embedding") == dimension) & whole, F.lit(False))
+
+
+def dimension_of(questions: DataFrame) -> int:
+    """The largest dimension among the questions, 0 without any."""
+    return max(0, questions.agg(F.max(F.size("embedding"))).first()[0] or 0)
+
+
+def rejected_vectors(vectors: DataFrame, dimension: int) -> DataFrame:
+    """Rows whose vector is null, has a null in it or another length, with the reason."""
+    reason = F.when(F.col("embedding").isNull(), "no vector").when(F.size("embedding") != dimension, "wrong length").otherwise("null in vector")
+    return vectors.filter(~usable(dimension)).withColumn("reason", reason)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     """Row-normalised float64 matrix of an Arrow list column."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     m = flat.reshape(len(column), -1)
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(norms == 0, 1.0, norms)
 
 
-def _keep_best(q, score, order, chunk, k):
-    """Best k entries per question; ties by corpus order."""
-    by = np.lexsort((order, -score, q))
-    q, score, order, chunk = q[by], score[by], order[by], chunk[by]
-    starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, int)
-    rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
-    keep = rank < k
-    return q[keep], score[keep], order[keep], chunk[keep]
-
-
-def _scan(ids: np.ndarray, wanted: np.ndarray, k: int, batches: Iterator[pa.RecordBatch]):
-    best = tuple(np.empty(0, t) for t in (np.int64, np.float64, np.int64, np.int64))
-    floor = np.full(len(ids), -np.inf)
-    step = max(1, CELLS // max(1, len(ids)))
-    for batch in batches:
-        for start in range(0, batch.num_rows, step):
-            part = batch.slice(start, step)
-            chunk = part.column("chunk_id").to_numpy(zero_copy_only=False)
-            order = part.column("ord").to_numpy(zero_copy_only=False)
-            sim = np.round(wanted @ _matrix(part.column("embedding")).T, SCORE_DIGITS)
+def _best_in_block(k: int):
+    def best(questions: pa.Table, chunks: pa.Table) -> pa.Table:
+        """Best k chunks of each question of one pair of blocks; ties by corpus order."""
+        if not len(questions) or not len(chunks):
+            return pa.table({"q": questions.column("query_id").slice(0, 0), "c": chunks.column("chunk_id").slice(0, 0),
+                             "o": chunks.column("ord").slice(0, 0), "s": pa.array([], pa.float64())})
+        flat = pa.table({"row": pa.array(np.arange(len(chunks))), "ord": chunks.column("ord")})
+        while any(pa.types.is_struct(f.type) for f in flat.schema):
+            flat = flat.flatten()
+        order = flat.sort_by([(n, "ascending") for n in flat.column_names if n != "row"]).column("row").to_numpy()
+        asked, held = _matrix(questions.column("asked")), _matrix(chunks.column("held"))[order]
+        q, c, s = [], [], []
+        for start in range(0, len(asked), step := max(1, CELLS // len(held))):
+            sim = np.round(asked[start : start + step] @ held.T, SCORE_DIGITS)
             if sim.shape[1] > k:
-                kth = np.partition(sim, sim.shape[1] - k, axis=1)[:, -k]
-                floor = np.maximum(floor, kth)
-            qi, ci = np.nonzero(sim >= floor[:, None])
-            found = (qi, sim[qi, ci], order[ci], chunk[ci])
-            best = _keep_best(*[np.concatenate(p) for p in zip(best, found)], k)
-    q, score, order, chunk = best
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(ids[q]), pa.array(chunk), pa.array(order), pa.array(score)],
-        names=["query_id", "chunk_id", "ord", "score"],
-    )
-
-
-def _question_blocks(questions: DataFrame, max_rows: int) -> list[DataFrame]:
-    """Questions cut by a hash of the id until no block is above the bounds."""
-    sized = questions.select("query_id", "embedding", (F.size("embedding") * 8 + 8).alias("_b"))
-    total = sized.agg(F.count("*").alias("n"), F.sum("_b").alias("b")).first()
-    if not total["n"]:
-        return [questions]
-    blocks = max(1, -(-total["n"] // max_rows), -(-total["b"] // QUESTION_BLOCK_BYTES))
-    while True:
-        slot = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-        largest = sized.groupBy(slot.alias("s")).agg(F.count("*").alias("n"), F.sum("_b").alias("b")).agg(
-            F.max("n").alias("n"), F.max("b").alias("b")
-        ).first()
-        if (largest["n"] <= max_rows and largest["b"] <= QUESTION_BLOCK_BYTES) or blocks >= total["n"] * 4:
-            return [questions.filter(slot == s) for s in range(blocks)]
-        blocks *= 2
+                kth = np.partition(sim, sim.shape[1] - k, axis=1)[:, -k][:, None]
+                # Of those equal to the k-th only as many as are left, the first in corpus order.
+                above, equal = sim > kth, sim == kth
+                keep = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(1, keepdims=True)))
+            else:
+                keep = np.ones(sim.shape, bool)
+            i, j = np.nonzero(keep)
+            q.append(i + start)
+            c.append(order[j])
+            s.append(sim[i, j])
+        q, c = np.concatenate(q), np.concatenate(c)
+        return pa.table({"q": questions.column("query_id").take(pa.array(q)), "c": chunks.column("chunk_id").take(pa.array(c)),
+                         "o": chunks.column("ord").take(pa.array(c)), "s": pa.array(np.concatenate(s))})
+
+    return best
+
+
+def _meet(questions: DataFrame, chunks: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """Best k per question where rows meet on ``keys``, then over all of them."""
+    # Both sides may come from one table; names of their own keep their columns apart.
+    a = questions.select("query_id", F.col("embedding").alias("asked"), *[F.col(c).alias(f"_a{c}") for c in keys]).groupBy(*[f"_a{c}" for c in keys])
+    b = chunks.select("chunk_id", "ord", F.col("embedding").alias("held"), *[F.col(c).alias(f"_b{c}") for c in keys]).groupBy(*[f"_b{c}" for c in keys])
+    kinds = {n: d.schema[c].dataType.simpleString() for n, d, c in (("q", questions, "query_id"), ("c", chunks, "chunk_id"), ("o", chunks, "ord"))}
+    partial = a.cogroup(b).applyInArrow(_best_in_block(k), f"q {kinds['q']}, c {kinds['c']}, o {kinds['o']}, s double")
+    ranked = top_k(partial.withColumnsRenamed({"q": "query_id", "c": "chunk_id", "o": "ord", "s": "score"}), k)
+    return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "score")
+
+
+def _every(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
 
 def vector_top_k(
@@ -85,80 +97,59 @@ def vector_top_k(
     k: int = fixed.TOP_K_RETRIEVAL,
     allowed_tags: list[str] | None = None,
     block_rows: int = QUESTION_BLOCK_ROWS,
+    chunk_rows: int = CHUNK_BLOCK_ROWS,
 ) -> DataFrame:
     """Cosine similarity, best k per question, ties in corpus order.
 
-    Questions ``(query_id, embedding)``, chunks ``(chunk_id, ord, embedding)``; ids and
-    order are longs. More questions than one block means one more pass over the chunks
-    per block, never a larger broadcast.
+    Questions ``(query_id, embedding)``, chunks ``(chunk_id, ord, embedding)`` with ids and
+    order of any orderable type. Vectors that ``rejected_vectors`` names take no part.
     """
     if allowed_tags is not None:
         chunks = chunks.filter(F.arrays_overlap("access_tags", F.array(*[F.lit(t) for t in allowed_tags])))
-    source = chunks.select("chunk_id", "ord", "embedding")
-    context = source.sparkSession.sparkContext
-    partial = None
-    for block in _question_blocks(questions, block_rows):
-        table = block.select("query_id", "embedding").toArrow()
-        if table.num_rows == 0:
-            continue
-        shared = context.broadcast((table.column("query_id").to_numpy(), _matrix(table.column("embedding"))))
-
-        def scan(batches, shared=shared):
-            yield from _scan(*shared.value, k, batches)
-
-        part = source.mapInArrow(scan, "query_id long, chunk_id long, ord long, score double")
-        partial = part if partial is None else partial.unionByName(part)
-    if partial is None:
-        partial = source.select(F.col("chunk_id").alias("query_id"), "chunk_id", "ord", F.lit(0.0).alias("score")).limit(0)
-    ranked = top_k(partial, k)
-    return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "score")
-
-
-def assign_lists(chunks: DataFrame, lists: int = 100, seed: int = 7, sample_rows: int = 1_000_000):
-    """(chunks with ``list_id``, centroid rows (list_id, centroid)).
-
-    The centroids are fitted on a bounded sample; every chunk is then assigned. They are
-    a starting point for the search only: no chunk is dropped.
-    """
+    dimension = dimension_of(questions)
+    asked, held = questions.filter(usable(dimension)), chunks.filter(usable(dimension))
+    n_questions, n_chunks = asked.count(), held.count()
+    blocks, parts = max(1, -(-n_questions // block_rows)), max(1, -(-n_chunks // chunk_rows))
+    # As many parts as the session has cores at least, so that a small corpus is not one task.
+    parts = max(parts, min(chunks.sparkSession.sparkContext.defaultParallelism, -(-n_chunks // 1000) or 1))
+    asked = asked.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("_block"), _every(parts).alias("_part"))
+    held = held.select("chunk_id", "ord", "embedding", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("_part"), _every(blocks).alias("_block"))
+    return _meet(asked, held, ["_block", "_part"], k)
+
+
+def assign_lists(chunks: DataFrame, lists: int = 100, seed: int = 7):
+    """(chunks with ``list_id``, centroid rows (list_id, centroid)), fitted on all chunks."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     vectors = chunks.withColumn("features", array_to_vector(F.col("embedding")))
-    n = chunks.count()
-    train = vectors if n <= sample_rows else vectors.sample(fraction=sample_rows / n, seed=seed)
-    model = KMeans(k=lists, seed=seed, maxIter=10, distanceMeasure="cosine", predictionCol="list_id").fit(train)
+    model = KMeans(k=lists, seed=seed, maxIter=10, distanceMeasure="cosine", predictionCol="list_id").fit(vectors)
     centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     centroids = chunks.sparkSession.createDataFrame(centres, "list_id int, centroid array<double>")
     return model.transform(vectors).drop("features"), centroids
 
 
 def approximate_top_k(
-    questions: DataFrame, listed: DataFrame, centroids: DataFrame, k: int = fixed.TOP_K_RETRIEVAL, probes: int = 10
+    questions: DataFrame, listed: DataFrame, centroids: DataFrame, k: int = fixed.TOP_K_RETRIEVAL, probes: int = 10,
+    chunk_rows: int = CHUNK_BLOCK_ROWS,
 ) -> DataFrame:
     """Exact cosine top-k inside the ``probes`` nearest lists of each question.
 
     ``listed`` is the first result of ``assign_lists``, best stored partitioned by
-    ``list_id``. Questions and chunks meet on the list, salted because one list may hold a
-    large share of the chunks; with ``probes`` equal to the number of lists the result is
-    that of ``vector_top_k``.
+    ``list_id``. A list is dealt into parts by its size, since one may hold a large share of
+    the chunks; with ``probes`` equal to the number of lists the result is that of
+    ``vector_top_k``.
     """
     nearest = vector_top_k(
-        questions, centroids.select(F.col("list_id").cast("long").alias("chunk_id"),
-                                    F.col("list_id").cast("long").alias("ord"),
-                                    F.col("centroid").alias("embedding")), probes,
-    ).select("query_id", F.col("chunk_id").cast("int").alias("list_id"))
-    asked = questions.select("query_id", F.col("embedding").alias("q")).join(nearest, "query_id")
-    dot = F.aggregate(F.zip_with("q", "embedding", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-
-    def norm(c):
-        return F.sqrt(F.aggregate(F.transform(c, lambda a: a.cast("double") * a), F.lit(0.0), lambda s, x: s + x))
-
-    salts = 16
-    met = (
-        listed.select("chunk_id", "ord", "list_id", "embedding",
-                      F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).alias("salt"))
-        .join(asked.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["list_id", "salt"])
-    )
-    scored = met.select("query_id", "chunk_id", "ord", F.round(dot / (norm("q") * norm("embedding")), SCORE_DIGITS).alias("score"))
-    ranked = top_k(scored, k)
-    return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "score")
+        questions, centroids.select(F.col("list_id").alias("chunk_id"), F.col("list_id").alias("ord"), F.col("centroid").alias("embedding")), probes,
+    ).select("query_id", F.col("chunk_id").alias("list_id"))
+    dimension = dimension_of(questions)
+    held = listed.filter(usable(dimension))
+    parts = held.groupBy("list_id").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("_parts"))
+    blocks = max(1, -(-questions.count() // QUESTION_BLOCK_ROWS))
+    asked = questions.filter(usable(dimension)).select("query_id", "embedding").join(nearest, "query_id").join(parts, "list_id")
+    asked = asked.select("query_id", "embedding", "list_id", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"),
+                         F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("_block"))
+    met = held.join(parts, "list_id").select("chunk_id", "ord", "embedding", "list_id",
+                                             F.pmod(F.xxhash64("chunk_id"), F.col("_parts")).cast("int").alias("_part"), _every(blocks).alias("_block"))
+    return _meet(asked, met, ["list_id", "_part", "_block"], k)

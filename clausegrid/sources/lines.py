@@ -42,11 +42,12 @@ def document_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
 
 
 def line_chunks(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One chunk per non-blank line: chunk_id = ord = document number and line number in
-    one long, so corpus order is document order, then line order."""
+    """One chunk per non-blank line. Its id is the document's id, which may be of any type,
+    and the line number; ``ord`` is the pair of both, so corpus order is document order, then
+    line order."""
     return document_lines(documents, doc_id, text).select(
-        (F.shiftleft(F.col("document_id"), 32) + F.col("ord")).alias("chunk_id"),
-        (F.shiftleft(F.col("document_id"), 32) + F.col("ord")).alias("ord"),
+        F.concat_ws(":", F.col("document_id").cast("string"), F.col("ord").cast("string")).alias("chunk_id"),
+        F.struct("document_id", F.col("ord").alias("line_no")).alias("ord"),
         "document_id", F.col("ord").alias("line_no"), "text",
     )
 

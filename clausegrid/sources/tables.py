@@ -36,13 +36,26 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
 
 
 def append_whole_documents(
-    chunks: DataFrame, entities: DataFrame, rejected: DataFrame, folder: str
+    chunks: DataFrame, entities: DataFrame, rejected: DataFrame, folder: str, batch: str
 ) -> None:
-    """Append chunks and entities of documents without a violation; a rejected
-    document contributes nothing to either table."""
+    """Add a batch of chunks and entities of documents without a violation; a rejected
+    document contributes nothing to either table.
+
+    A batch has folders of its own and counts once its mark is written, after both tables,
+    so readers see both or neither. Writing the same batch again replaces it.
+    """
     bad = rejected.select("document_id").distinct()
-    append(chunks.join(bad, "document_id", "left_anti"), f"{folder}/chunks")
-    append(entities.join(bad, "document_id", "left_anti"), f"{folder}/entities")
+    for name, rows in (("chunks", chunks), ("entities", entities)):
+        rows.join(bad, "document_id", "left_anti").write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
+    mark = chunks.sparkSession.createDataFrame([(batch,)], "batch string")
+    mark.write.mode("overwrite").parquet(f"{folder}/published/of={batch}")
+
+
+def published(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The rows of all complete batches."""
+    complete = spark.read.parquet(f"{folder}/published").select("batch")
+    rows = spark.read.parquet(f"{folder}/{name}").withColumn("batch", F.col("batch").cast("string"))
+    return rows.join(complete, "batch", "left_semi").drop("batch")
 
 
 def rebuild(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

@@ -61,7 +61,7 @@ def test_roles_repeat_per_record_when_asked(spark):
     got = {r.query_id: r for r in P.resolve_approvals(q, records, repeat_roles=True).collect()}
     assert got[1].answer_text == "Approval authority for 'Purchase': A, B, B; Requested amount: $5.00" and got[1].user_can_approve
     assert got[2].error and got[2].answer_text is None
-    assert {r.query_id: r.roles for r in P.resolve_approvals(q, records).collect()}[1] == ["A", "B"]
+    assert {r.query_id: r.roles for r in P.resolve_approvals(q, records, repeat_roles=False).collect()}[1] == ["A", "B"]
 
 
 @pytest.mark.parametrize("block", [1, 1000])
@@ -84,9 +84,11 @@ def test_large_documents_go_on_in_parts(spark):
     chunks = spark.createDataFrame([(1, i, i, str(i % 3), f"r{i}", "t", 1) for i in range(10)],
                                    "document_id long, chunk_id long, ord long, section_path string, clause_ref string, text string, token_count int")
     ents = spark.createDataFrame([(1, "e", "t", "n", 0)], "document_id long, entity_id string, type string, name string, ord long")
-    rows = B.document_detail(docs, chunks, ents, part_rows=4).orderBy("document_id", "part").collect()
-    assert [(r.document_id, r.part, len(r.chunks or [])) for r in rows] == [(1, 0, 4), (1, 1, 4), (1, 2, 2), (2, 0, 0)]
-    assert [c.chunk_id for r in rows[:3] for c in r.chunks] == [0, 3, 6, 9, 1, 4, 7, 2, 5, 8]
+    rows = B.document_detail(docs, chunks, ents, part_span=4).orderBy("document_id", "kind", "section", "part").collect()
+    assert [(r.document_id, r.kind, r.section, r.part, [c.chunk_id for c in r.chunks or []]) for r in rows] == [
+        (1, "chunks", "0", 0, [0, 3]), (1, "chunks", "0", 1, [6]), (1, "chunks", "0", 2, [9]), (1, "chunks", "1", 0, [1]), (1, "chunks", "1", 1, [4, 7]),
+        (1, "chunks", "2", 0, [2]), (1, "chunks", "2", 1, [5]), (1, "chunks", "2", 2, [8]), (1, "entities", "t", 0, []), (2, None, None, None, [])]
+    assert rows[8].entities[0].entity_id == "e"
 
 
 def test_sinks(spark, tmp_path):
@@ -94,10 +96,12 @@ def test_sinks(spark, tmp_path):
     chunks = spark.createDataFrame([(1, "a"), (2, "b")], "document_id long, text string")
     rejected = spark.createDataFrame([(2,)], "document_id long")
     for _ in range(2):
-        T.append_whole_documents(chunks, chunks, rejected, folder)
-    assert [tuple(r) for r in spark.read.parquet(f"{folder}/chunks").collect()] == [(1, "a"), (1, "a")]
-    T.rebuild(chunks, f"{folder}/chunks")
-    assert spark.read.parquet(f"{folder}/chunks").count() == 2
+        T.append_whole_documents(chunks, chunks, rejected, folder, "b1")
+    chunks.write.parquet(f"{folder}/chunks/batch=b2")  # broke off before its mark
+    assert [tuple(r) for r in T.published(spark, folder, "chunks").collect()] == [(1, "a")]
+    T.rebuild(chunks, f"{folder}/rebuilt")
+    T.rebuild(chunks, f"{folder}/rebuilt")
+    assert spark.read.parquet(f"{folder}/rebuilt").count() == 2
     for name, columns in T.GRAPH_COLUMNS.items():
         T.rebuild(spark.createDataFrame([tuple("x" for _ in columns) + ("extra",)], [*columns, "more"]), f"{folder}/graph/{name}")
     assert T.load_for_graph(spark, f"{folder}/graph")["documents"].columns == T.GRAPH_COLUMNS["documents"]

@@ -86,3 +86,20 @@ def test_conflict_candidates_do_not_depend_on_blocks(spark, block):
         for i, a in enumerate(long):
             want += [(a[2], b[2]) for b in long[i + 1:i + 5] if a[3].split(">")[0] == b[3].split(">")[0]]
     assert got == sorted(want)
+
+
+def test_supersedes_of_text_ids(spark):
+    rows = [("d", "T", "v1"), ("a", "T", "v1"), ("c", "T", "v2"), ("b", "T", "v1"), ("x", "U", "v1")]
+    df = spark.createDataFrame(rows, "document_id string, title string, version string")
+    got = {(r.new_id, r.old_id, r.n_superseded) for r in G.supersedes(df, 2).collect()}
+    assert got == {("c", "b", 2), ("d", "c", 1)}
+
+
+@pytest.mark.parametrize("value, want", [
+    ('"false"', "false"), ('"0"', "0"), ('""', None), ("false", None), ("0.0", None), ("0", None), ("null", None), ("[]", None), ("{}", None), ("1.5", "1.5"), ("true", "true"),
+    ('["a", "b"]', "a"), ("[0]", None), ('["0"]', "0"), ('{"k": "v", "l": "w"}', "v"), ('{"k": 0.0}', None), ('{"k": "false"}', "false"),
+])
+def test_falsy_reply_values_go_by_their_type(spark, value, want):
+    df = spark.createDataFrame([(1, 2, f'Sure: {{"role": {value}}}')], "clause_id long, document_id long, reply string")
+    parsed = L.parse_entity_replies(df)
+    assert parsed.select(L.first_value("role").alias("v")).first().v == want

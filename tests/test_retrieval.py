@@ -8,8 +8,11 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from clausegrid.operators import retrieval as R
 from clausegrid.operators import vectors as V
+from clausegrid.sources.lines import line_chunks, register_documents
 
 
 def brute_bm25(questions, chunks, k):
@@ -55,7 +58,7 @@ def test_large_question_sets_are_not_broadcast(spark, monkeypatch):
     df = spark.createDataFrame([(i, i, f"a b{i % 3} c{i}") for i in range(20)], "chunk_id long, ord long, text string")
     asked = spark.createDataFrame([(1, "a b1"), (2, "c7")], "query_id long, question string")
     small = R.bm25_top_k(asked, df, k=5).collect()
-    monkeypatch.setattr(R, "is_small", lambda *a, **k: False)
+    monkeypatch.setattr(R, "BROADCAST_ROWS", -1)
     assert sorted(R.bm25_top_k(asked, df, k=5).collect()) == sorted(small)
 
 
@@ -89,6 +92,49 @@ def test_vectors_equal_brute_force(spark, block_rows, monkeypatch):
     assert got == {i: [int(x) for x in sorted(range(50), key=lambda j: (-sim[i, j], j))[:5]] for i in range(11)}
 
 
+def test_blocks_of_chunks_and_hot_ties(spark):
+    chunks = spark.createDataFrame([(f"c{i}", (0, 99 - i), [1.0, 0.0] if i < 70 else [0.5, float(i)]) for i in range(100)],
+                                   "chunk_id string, ord struct<a:int,b:int>, embedding array<double>")
+    asked = spark.createDataFrame([(f"q{i}", [1.0, 0.001 * i]) for i in range(9)], "query_id string, embedding array<double>")
+    for chunk_rows in (7, 1000):
+        got = V.vector_top_k(asked, chunks, 3, block_rows=2, chunk_rows=chunk_rows).filter("query_id = 'q0'").orderBy("rank").collect()
+        assert [r.chunk_id for r in got] == ["c69", "c68", "c67"]
+
+
+def test_bad_vectors_take_no_part(spark):
+    rows = [(1, 1, [1.0, 0.0]), (2, 2, None), (3, 3, [1.0]), (4, 4, [None, 1.0])]
+    chunks = spark.createDataFrame(rows, "chunk_id long, ord long, embedding array<double>")
+    asked = chunks.select(F.col("chunk_id").alias("query_id"), "embedding")
+    assert [tuple(r) for r in V.vector_top_k(asked, chunks, 3).collect()] == [(1, 1, 1, 1.0)]
+    assert {(r.chunk_id, r.reason) for r in V.rejected_vectors(chunks, 2).collect()} == {(2, "no vector"), (3, "wrong length"), (4, "null in vector")}
+    assert V.vector_top_k(asked.limit(0), chunks, 3).count() == 0
+
+
+def test_chunks_that_match_nothing_rank_above_negative_scores(spark):
+    chunks = spark.createDataFrame([(0, 0, "alpha beta"), (1, 1, "alpha beta"), (2, 2, "gamma")], "chunk_id long, ord long, text string")
+    asked = spark.createDataFrame([(1, "alpha")], "query_id long, question string")
+    got = [tuple(r) for r in R.bm25_top_k(asked, chunks, 3).orderBy("rank").select("chunk_id", "score").collect()]
+    assert [g[0] for g in got] == [2, 0, 1] and got[0][1] == 0 and got[1][1] == pytest.approx(-0.039053947, abs=1e-8)
+
+
+def test_saved_index_gives_the_same_hits(spark, tmp_path):
+    chunks = spark.createDataFrame([(i, i, f"alpha {'beta ' * (i % 3)} w{i}") for i in range(30)], "chunk_id long, ord long, text string")
+    asked = spark.createDataFrame([(1, "beta w3"), (2, "alpha")], "query_id long, question string")
+    R.save_index(R.build_index(chunks), str(tmp_path / "index"))
+    loaded = R.load_index(spark, str(tmp_path / "index"))
+    assert sorted(R.bm25_top_k(asked, chunks, 5, index=loaded).collect()) == sorted(R.bm25_top_k(asked, chunks, 5).collect())
+    assert "text" not in R.bm25_top_k(asked, chunks, 5, index=loaded)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_line_ids_of_any_document_id(spark):
+    docs = spark.createDataFrame([(1, "a"), (4294967297, "a\nb"), (2200000000, "a")], "doc_id long, text string")
+    rows = line_chunks(docs).orderBy("ord").collect()
+    assert [(r.document_id, r.line_no) for r in rows] == [(1, 0), (2200000000, 0), (4294967297, 0), (4294967297, 1)]
+    assert len({r.chunk_id for r in rows}) == 4
+    named = register_documents(spark.createDataFrame([("x/a.docx",)], "source_uri string"), "2024-01-01").withColumn("text", F.lit("one\ntwo"))
+    assert line_chunks(named, "document_id").count() == 2
+
+
 def test_lists_with_all_probes_are_exact(spark):
     c, q = vectors(80, 6, 3), vectors(5, 6, 4)
     chunks = spark.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(c)], "chunk_id long, ord long, embedding array<float>")

@@ -79,12 +79,12 @@ def test_tables_follow_the_lines(spark):
     assert first[0].section_path == "1" and first[0].heading_hierarchy == ["Top"]
 
 
-def test_full_text_in_parts(spark):
+@pytest.mark.parametrize("span", [1, 3, 1000])
+def test_full_text_in_parts(spark, span):
     sections = spark.createDataFrame([(1, i, f"l{i}") for i in range(7)], "document_id long, ord long, content string")
-    whole = S.full_text(sections).collect()
-    parts = S.full_text(sections, part_rows=3).orderBy("part").collect()
-    assert len(whole) == 1 and len(parts) == 3
-    assert "\n".join(p.text for p in parts) == whole[0].text
+    parts = S.full_text(sections, part_span=span).orderBy("part").collect()
+    assert [p.part for p in parts] == list(range(-(-7 // span)))
+    assert "\n".join(p.text for p in parts) == "\n".join(f"l{i}" for i in range(7))
 
 
 def test_overlap(spark):
