@@ -1,5 +1,8 @@
 """Entity, reply and graph queries: policies from `customer`, clauses and replies from `orders`."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausegrid.catalog.derived import CLAUSES, POLICIES, REPLIES, Derived
@@ -249,22 +252,60 @@ def conflicts_with(spark, sf):
     return conflict_edges(spark, sf)
 
 
-ALL_EDGES = f"""edges as (select distinct * from ({CLAUSE_EDGES} union all {REPLY_EDGES} union all {MAPS} union all {CONFLICTS}))"""
+ENTITY_EDGES = (edge_sql("HAS_THRESHOLD", "Policy", "document_id", "Threshold", "entity_id") + " from entities join policy using (document_id) where amount > 0 union all "
+                + edge_sql("CAN_APPROVE", "Role", "role", "Process", "process") + " from approvers union all "
+                + edge_sql("SUPERSEDES", "Policy", "n.document_id", "Policy", "o.document_id")
+                + " from policy n join policy o on n.title = o.title and o.document_id < n.document_id and o.version <> n.version")
+ALL_EDGES = f"""edges as (select distinct * from ({CLAUSE_EDGES} union all {REPLY_EDGES} union all {MAPS} union all {CONFLICTS} union all {ENTITY_EDGES}))"""
 
 
 def all_edges(spark, sf):
     c, p, f = clauses(spark, sf), policies(spark, sf), stored_facts(spark, sf)
-    parts = G.clause_edges(c, p).unionByName(G.reply_edges(f)).unionByName(G.maps_to(f, p)).unionByName(conflict_edges(spark, sf))
-    return parts.distinct()
+    e = stored_entities(spark, sf)
+    approve = approvers(spark, sf, e).select(*G.edge("CAN_APPROVE", "Role", "role", "Process", "process"))
+    parts = [G.clause_edges(c, p), G.reply_edges(f), G.maps_to(f, p), conflict_edges(spark, sf), G.has_threshold(G.thresholds(e), p), approve]
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
-@query("graph_summary", with_ctes(ENTITIES, POLICY, FACTS, PAIRS, ALL_EDGES, select="""
-  select type, count(*) as n from edges group by rollup (type)"""))
+@query("graph_summary", with_ctes(ENTITIES, POLICY, APPROVERS, FACTS, PAIRS, ALL_EDGES, select="""
+  select type, cast(count(*) as bigint) as n from edges group by rollup (type)"""))
 def graph_summary(spark, sf):
-    return G.summary(all_edges(spark, sf), "type")
+    """SUPERSEDES is counted from the number that each policy supersedes, without its pairs."""
+    older = G.supersedes(policies(spark, sf)).select(F.lit("SUPERSEDES").alias("type"), F.col("n_superseded").alias("k"))
+    edges = all_edges(spark, sf).select("type", F.lit(1).cast("long").alias("k"))
+    return G.summary(edges.unionByName(older), "type", "k")
+
+
+REPLY_NODES = f"""reply_nodes as (select distinct * from (select src_label as label, src as name from ({REPLY_EDGES} union all {MAPS})
+  union all select dst_label, dst from ({REPLY_EDGES} union all {MAPS})) where label not in ('Clause', 'Policy'))"""
+
+
+@query("reply_nodes", with_ctes(FACTS, POLICY, REPLY_NODES, select="select label, name from reply_nodes"))
+def reply_nodes(spark, sf):
+    return G.reply_nodes(stored_facts(spark, sf), policies(spark, sf))
+
+
+@query("reply_thresholds", with_ctes(FACTS, select="select 'llm_' || clause_id as threshold_id, amount, currency from facts where role is not null and amount > 0"))
+def reply_thresholds(spark, sf):
+    return G.reply_thresholds(facts(spark, sf))
+
+
+@query("node_summary", with_ctes(ENTITIES, POLICY, FACTS, REPLY_NODES, f"""
+nodes as (select label, name from reply_nodes union select 'Policy', cast(document_id as varchar) from policy union select 'Clause', cast(clause_id as varchar) from clauses
+  union select 'Process', process_name from policy union select 'Role', {sql_title('authority')} from entities where type = 'approval'
+  union select 'Threshold', entity_id from entities where amount > 0)""", select="select label, count(*) as n from nodes group by rollup (label)"))
+def node_summary(spark, sf):
+    c, p, e = clauses(spark, sf), policies(spark, sf), stored_entities(spark, sf)
+
+    def nodes(df, label, name):
+        return df.select(F.lit(label).alias("label"), F.col(name).cast("string").alias("name"))
+
+    parts = [G.reply_nodes(stored_facts(spark, sf), p), nodes(p, "Policy", "document_id"), nodes(c, "Clause", "clause_id"), nodes(G.process_nodes(p), "Process", "name"),
+             nodes(G.role_nodes(G.approvals(e)), "Role", "name"), nodes(G.thresholds(e), "Threshold", "threshold_id")]
+    return G.summary(reduce(DataFrame.unionByName, parts).distinct(), "label")
 
 
-@query("new_edges", with_ctes(ENTITIES, POLICY, FACTS, PAIRS, ALL_EDGES, select=f"""
+@query("new_edges", with_ctes(ENTITIES, POLICY, FACTS, select=f"""
   select * from ({REPLY_EDGES}) except (select * from ({CLAUSE_EDGES}) union all select * from ({REPLY_EDGES}) where src like '%3')"""))
 def new_edges(spark, sf):
     found = G.reply_edges(stored_facts(spark, sf))

@@ -143,6 +143,14 @@ def approvals_each_role_once(spark, sf):
     return P.resolve_approvals(wanted(spark, sf), records(spark, sf), repeat_roles=False).withColumn("roles", F.array_join("roles", ", "))
 
 
+@query("approval_lists", with_ctes(RECORDS, select="""
+  select wanted, string_agg(role, ', ' order by role) as roles, (select string_agg(process, ', ' order by process) from (select distinct process from records r where r.wanted = o.wanted)) as matching_processes,
+    count(*) as n_records from records o group by wanted"""))
+def approval_lists(spark, sf):
+    lists = P.approval_lists(records(spark, sf))
+    return lists.withColumns({c: F.array_join(c, ", ") for c in ("roles", "matching_processes")})
+
+
 @query("least_authority", with_ctes(HITS, ASKED.cte, WANTED, RECORDS, """
 limits_ as (select role, round(max(balance) * 30, 2) as max_amount from approver_rows group by role)""", select="""
   select query_id, w.process, w.amount, min_by(role, {'a': max_amount, 'r': role}) as authority, min(max_amount) as "limit"

@@ -183,6 +183,14 @@ def reply_thresholds(facts: DataFrame) -> DataFrame:
         F.concat(F.lit("llm_"), F.col("clause_id").cast("string")).alias("threshold_id"), "amount", "currency")
 
 
+def reply_nodes(facts: DataFrame, policies: DataFrame) -> DataFrame:
+    """Distinct (label, name) of the nodes that replies add: the ends of their
+    edges that are no clause and no policy."""
+    edges = reply_edges(facts).unionByName(maps_to(facts, policies))
+    ends = F.array(F.struct(F.col("src_label").alias("label"), F.col("src").alias("name")), F.struct(F.col("dst_label").alias("label"), F.col("dst").alias("name")))
+    return edges.select(F.inline(ends)).filter("label not in ('Clause', 'Policy')").distinct()
+
+
 def maps_to(facts: DataFrame, policies: DataFrame) -> DataFrame:
     """Policy to regulation, whether or not the reply names a role."""
     stopped = F.col("role").isNotNull() & F.col("bad_amount")
@@ -214,6 +222,8 @@ def conflicts_with(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
         *edge("CONFLICTS_WITH", "Clause", "clause_a", "Clause", "clause_b")).distinct()
 
 
-def summary(things: DataFrame, column: str) -> DataFrame:
-    """Count per label or type and the total (null label), largest first."""
-    return things.rollup(column).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), F.col(column).asc_nulls_first())
+def summary(things: DataFrame, column: str, weight: str | None = None) -> DataFrame:
+    """Count per label or type and the total (null label), largest first. ``weight``
+    names a column of counts, for rows that each stand for several things."""
+    n = F.count("*") if weight is None else F.sum(weight)
+    return things.rollup(column).agg(n.alias("n")).orderBy(F.col("n").desc(), F.col(column).asc_nulls_first())

@@ -119,6 +119,14 @@ def resolve_approvals(questions: DataFrame, records: DataFrame, repeat_roles: bo
     )
 
 
+def approval_lists(records: DataFrame) -> DataFrame:
+    """(wanted, roles, matching_processes, n_records), one row for each of the fixed names
+    that a question can want; questions point to it by their ``process``."""
+    return records.groupBy("wanted").agg(
+        F.array_sort(F.collect_list("role")).alias("roles"), F.array_sort(F.collect_set("process")).alias("matching_processes"),
+        F.count("*").alias("n_records"))
+
+
 def least_authority(questions: DataFrame, records: DataFrame, limits: DataFrame) -> DataFrame:
     """Per question the role with the smallest sufficient limit for its process.
 
