@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from clausegrid.catalog.derived import ASKED, CLAUSES, POLICIES, Derived
 from clausegrid.catalog.graph import CONFLICTS, FACTS, MAPS, PAIRS, POLICY, clauses, conflict_edges, facts, policies, regulation_edges, stored_facts
-from clausegrid.catalog.registry import query, with_ctes
+from clausegrid.catalog.registry import CHECKS, query, with_ctes
 from clausegrid.functions import fixed
 from clausegrid.functions.stages import materialise
 from clausegrid.operators import answers as A
@@ -369,3 +369,27 @@ def chat_questions(spark, sf):
     said_ = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     pairs = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question")).join(said_, ["conv_id", "turn"], "left")
     return A.chat_questions(pairs.select(F.col("conv_id").alias("conversation_id"), F.col("turn").alias("ord"), "question", "answer"))
+
+
+@query("answered_questions", with_ctes(ASKED.cte, INTENT, select=f"""
+  select i.query_id, i.intent, {CONFIDENCE} as intent_confidence,
+    case when j.error is not null then 'retrieve' else case i.intent when 'approval' then 'retrieve,approval,reason,verify'
+      when 'conflict' then 'retrieve,conflict,reason,verify' when 'compliance' then 'retrieve,risk,reason,verify' else 'retrieve,reason,verify' end end as ran,
+    a.answer_text as approval, case when i.intent = 'conflict' and j.error is null then coalesce(c.n, 0) end as n_conflicts, r.risk_level, j.verdict, j.confidence, j.state
+  from intents i join ({CHECKS['judged_answers']}) j on i.query_id = j.query_id
+  left join ({CHECKS['approvals']}) a on i.query_id = a.query_id and i.intent = 'approval' and j.error is null
+  left join (select query_id, count(*) as n from ({CHECKS['all_conflicts']}) group by 1) c on i.query_id = c.query_id
+  left join ({CHECKS['risk']}) r on i.query_id = r.query_id and i.intent = 'compliance' and j.error is null"""))
+def answered_questions(spark, sf):
+    """The whole pipeline of a question: each step sees the questions of its intent only."""
+    asked_, h = asked(spark, sf), materialise(version_hits(spark, sf))
+    q, met = P.routed(asked_, h, "approval")
+    approvals = P.resolve_approvals(P.wanted_processes(q, met), records(spark, sf))
+    _, met = P.routed(asked_, h, "conflict")
+    conflicts = P.all_conflicts(met, conflict_edges(spark, sf), clauses(spark, sf), said(P.judge_pairs(met)))
+    q, met = P.routed(asked_, h, "compliance")
+    known = stored_facts(spark, sf)
+    risks = P.assess_risk(q.withColumn("risk_verdict", F.expr(RISK_REPLY)), met, regulation_edges(spark, sf, known), G.obligations(known))
+    judged = A.judge_answers(asked_, answers(spark, sf, h), h)
+    out = P.answered_questions(asked_, judged, approvals, conflicts, risks)
+    return out.withColumn("ran", F.array_join("ran", ","))

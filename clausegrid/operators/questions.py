@@ -40,6 +40,30 @@ def steps(intent: Column) -> Column:
     return result.otherwise(F.array(*[F.lit(p) for p in STEPS["general"]]))
 
 
+def routed(questions: DataFrame, hits: DataFrame, intent: str) -> tuple[DataFrame, DataFrame]:
+    """(questions, hits) that the step of an intent gets: only those of that intent, and
+    only questions with hits, as a question without any stops at its retrieval."""
+    mine = questions.filter(classify(F.col("question"))["intent"] == intent).join(hits.select("query_id").distinct(), "query_id", "left_semi")
+    return mine, hits.join(mine.select("query_id"), "query_id", "left_semi")
+
+
+def answered_questions(questions: DataFrame, judged: DataFrame, approvals: DataFrame, conflicts: DataFrame, risks: DataFrame) -> DataFrame:
+    """One record per question, from its intent to its state. ``approvals``,
+    ``conflicts`` and ``risks`` come from steps that got their ``routed`` questions; a step
+    that did not run leaves its column null, a conflict step without finds leaves 0."""
+    intent = classify(F.col("question"))
+    counted = conflicts.groupBy("query_id").agg(F.count("*").alias("found"))
+    wide = (
+        questions.select("query_id", intent["intent"].alias("intent"), intent["confidence"].alias("intent_confidence"))
+        .join(judged.select("query_id", "verdict", "confidence", "state", "error"), "query_id")
+        .join(approvals.select("query_id", F.col("answer_text").alias("approval")), "query_id", "left")
+        .join(counted, "query_id", "left").join(risks.select("query_id", "risk_level"), "query_id", "left")
+    )
+    ran = F.when(F.col("error").isNotNull(), F.array(F.lit("retrieve"))).otherwise(steps(F.col("intent")))
+    n = F.when((F.col("intent") == "conflict") & F.col("error").isNull(), F.coalesce("found", F.lit(0)))
+    return wide.select("query_id", "intent", "intent_confidence", ran.alias("ran"), "approval", n.alias("n_conflicts"), "risk_level", "verdict", "confidence", "state")
+
+
 def run_until_failure(planned: Column, failed_step: Column) -> Column:
     """The steps that run: up to and including the first one that fails."""
     at = F.array_position(planned, failed_step)
