@@ -29,13 +29,19 @@ CLAUSE_TEXT = """concat('Orders above ',
     'Purchase records shall be kept under ',
     case o_orderkey % 4 when 0 then 'GDPR' when 1 then 'NDPA' when 2 then 'SOX' else 'HIPAA' end, '.')"""
 
+# Some clauses are shorter than any length limit, some lie between the limits, some are
+# longer than every cut, so each side of those rules has rows.
+CLAUSE_OF_ANY_LENGTH = f"""case when o_orderkey % 23 = 5 then 'Keep it.'
+    when o_orderkey % 29 = 3 then concat('Manager approval of order ', cast(o_orderkey as string))
+    when o_orderkey % 31 = 4 then repeat(concat({CLAUSE_TEXT}, ' '), 6) else {CLAUSE_TEXT} end"""
+
 CLAUSES = Derived(
     "clauses", "orders",
     clause_id="o_orderkey", ord="o_orderkey", document_id="o_custkey",
     section_path="concat(cast(o_orderkey % 2 + 1 as string), ' > ', cast(o_orderkey % 5 as string))",
     clause_ref="concat(cast(o_orderkey % 2 + 1 as string), ' Purchase > Rule ', cast(o_orderkey % 9 as string))",
     version="case when o_orderkey % 11 = 0 then null else 'v1' end",
-    text=CLAUSE_TEXT,
+    text=CLAUSE_OF_ANY_LENGTH,
 )
 
 # Two formats: styled lines (even documents) and plain lines (odd documents).

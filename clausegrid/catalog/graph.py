@@ -51,7 +51,7 @@ def sql_title(x):
 FACTS = REPLIES.cte + rf""",
 found_json as (select *, regexp_extract(reply, '(?s)(\{{.*\}})', 1) as b from replies),
 parsed as (select *, case when b <> '' and json_valid(b) then cast(b as json) end as j from found_json),
-facts as (select clause_id, document_id, b, j,
+all_facts as (select clause_id, document_id, b, j,
   {sql_title("case json_type(j->'role') when 'ARRAY' then j->>'$.role[0]' when 'OBJECT' then json_extract_string(j->'role', '$.' || json_keys(j->'role')[1]) else j->>'role' end")} as role,
   {sql_title("j->>'department'")} as department,
   {sql_title("case json_type(j->'process') when 'ARRAY' then j->>'$.process[0]' else j->>'process' end")} as process,
@@ -59,7 +59,8 @@ facts as (select clause_id, document_id, b, j,
   case json_type(j->'obligation') when 'ARRAY' then j->>'$.obligation[0]' else j->>'obligation' end as obligation,
   case when json_type(j->'threshold') = 'ARRAY' then cast(j->>'$.threshold[0].amount' as double) end as amount,
   case when json_type(j->'threshold') = 'ARRAY' then j->>'$.threshold[0].currency' end as currency
-  from parsed)"""
+  from parsed),
+facts as (select * from all_facts where clause_id in (select {CLAUSES.columns['clause_id']} from orders where length({CLAUSES.columns['text']}) >= 20))"""
 
 
 def clauses(spark, sf):
@@ -181,7 +182,7 @@ def superseded_by(spark, sf):
 
 @query("entity_replies", with_ctes(FACTS, select="""
   select clause_id, role, department, process, regulation, obligation, amount, currency, (b = '' or j is not null) as success,
-    case when b <> '' and j is null then 'reply holds no valid JSON' end as error from facts"""))
+    case when b <> '' and j is null then 'reply holds no valid JSON' end as error from all_facts"""))
 def entity_replies(spark, sf):
     return L.entity_fields(REPLIES.df(spark, sf)).select(
         "clause_id", "role", "department", "process", "regulation", "obligation", "amount", "currency", "success", "error")
