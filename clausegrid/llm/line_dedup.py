@@ -56,7 +56,7 @@ def remove_lines(
     lines = _lines(rows)
     frequent = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites).select("h1", "h2")
     occurrences = stored(lines.join(frequent, ["h1", "h2"], "left_semi"), "lines")
-    shared = boilerplate(occurrences, min_sites)
+    shared = stored(boilerplate(occurrences, min_sites), "boilerplate")  # so that the join can split a hot line
     is_first = F.col("first.k").eqNullSafe(F.col("_key")) & F.col("first.i").eqNullSafe(F.col("_id"))
     lost = (
         occurrences.join(shared, ["h1", "h2"]).filter(~is_first)
