@@ -56,7 +56,7 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     held_out = languages.in_fold("doc_id", 4, 2)
     model = languages.fit(docs.filter(~held_out))
-    return languages.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages")
+    return languages.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.to_json("languages").alias("languages"))
 
 
 @query("op8_quality_classifier")
