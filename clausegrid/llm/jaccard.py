@@ -319,7 +319,7 @@ def _links_in_groups(groups: DataFrame, sets: DataFrame) -> DataFrame:
     """Compare the sets of every group ``(leader, class, component)``, in blocks of bounded
     size: a group above it is dealt out, and each pair of its blocks is a task of its own."""
     sized = groups.join(sets.select("class", "n"), "class")
-    parts = sized.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_CODES)).cast("int").alias("parts"))
+    parts = stored(sized.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_CODES)).cast("int").alias("parts")), "parts")
     mine = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = groups.join(parts, "leader").select("leader", "class", "component", mine.alias("side"), other.alias("other"))
