@@ -74,21 +74,21 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets, index = Buckets(), index_vectors()
-        sums = np.zeros((BUCKETS, WIDTH))
+        # The few places of each index vector that are not 0, and their values.
+        place = np.argsort(index == 0, axis=1, kind="stable")[:, :NONZERO]
+        value = np.take_along_axis(index, place, 1)
+        sums = np.zeros(BUCKETS * WIDTH)
         for run in byte_runs(batches, "_text", 1 << 20):
-            rows = [buckets.of(t) for t in run.column(0).to_pylist()]
             gap = np.full(REACH, -1)
-            line = np.concatenate([x for r in rows for x in (r, gap)] or [gap])
+            line = np.concatenate([x for t in run.column(0).to_pylist() for x in (buckets.of(t), gap)])
             for d in range(1, REACH + 1):
                 a, b = line[:-d], line[d:]
                 both = (a >= 0) & (b >= 0)
                 a, b = a[both], b[both]
-                for x, y in ((a, b), (b, a)):
-                    pairs, n = np.unique(x * BUCKETS + y, return_counts=True)
-                    word, other = pairs // BUCKETS, pairs % BUCKETS
-                    starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.empty(0, int)
-                    if len(starts):
-                        sums[word[starts]] += np.add.reduceat(index[other] * n[:, None], starts, axis=0)
+                for word, other in ((a, b), (b, a)):
+                    for j in range(NONZERO):
+                        sums += np.bincount(word * WIDTH + place[other, j], value[other, j], minlength=len(sums))
+        sums = sums.reshape(BUCKETS, WIDTH)
         at = np.flatnonzero(np.abs(sums).sum(1))
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(sums[at]), pa.list_(pa.float64()))], names=["bucket", "v"])
