@@ -54,7 +54,7 @@ def remove_lines(
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     rows = docs.select(F.col(id_col).alias("_id"), key.alias("_key"), F.col(site_col).alias("_site"), F.col(text_col).alias("_text")).filter("_text is not null")
     lines = _lines(rows)
-    frequent = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites).select("h1", "h2")
+    frequent = stored(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites).select("h1", "h2"), "frequent")
     occurrences = stored(lines.join(frequent, ["h1", "h2"], "left_semi"), "lines")
     shared = stored(boilerplate(occurrences, min_sites), "boilerplate")  # so that the join can split a hot line
     is_first = F.col("first.k").eqNullSafe(F.col("_key")) & F.col("first.i").eqNullSafe(F.col("_id"))
