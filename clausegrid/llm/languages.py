@@ -17,12 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausegrid.llm.tokens import byte_runs
 
-#: The fit sees at most this many labelled documents of each language, chosen by a hash of the text.
+#: The fit sees at most this many distinct texts of each language: those with the least hashes.
 FIT_DOCUMENTS = 400
 MAX_LANGUAGES = 1000
 BUCKETS = 1 << 16
@@ -54,14 +54,15 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", documen
     """Trigram distributions of every non-null value of ``lang``; only counts reach the driver."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(totals) > MAX_LANGUAGES:
+    found = rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
+    if found > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not totals:
+    if not found:
         return Languages([], np.zeros((BUCKETS, 0)))
-    # A hash threshold for each language picks about the bound.
-    share = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, min(1.0, documents / n))])[F.col("lang")]
-    sample = rows.filter(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
+    # The rank is cut within each task before the shuffle by language, so few hashes meet there.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = rows.select("lang", "h").distinct().withColumn("rank", rank).filter(F.col("rank") <= documents).select("lang", "h")
+    sample = rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
