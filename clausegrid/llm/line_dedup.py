@@ -7,6 +7,10 @@ lies within the sketch's error of the threshold, the sites are counted exactly.
 above the threshold is boilerplate: the first document that holds it keeps it, all others
 lose it. First means the smallest id, null ids last.
 
+With ``long_sites``, lines of at least ``LONG_WORDS`` words have that lower threshold: a long
+passage does not recur by chance, and where one source holds many of the rows its copies
+reach few sites.
+
 A line is compared as it stands; lines without a word never count. A null site is no site.
 Null text has no lines and stays null. Rows with the same id and text are one document, and
 all stay or change alike. An empty table gives an empty table.
@@ -22,41 +26,47 @@ from pyspark.sql import functions as F
 from clausegrid.llm.storage import stored
 
 MIN_SITES = 10
+#: Threshold of long lines in the pipeline, and the words from which a line is long.
+LONG_SITES = 5
+LONG_WORDS = 50
 SKETCH_BITS = 12
 WORD = r"[^ \t\n\x0B\f\r]"
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """``(_id, _key, _site, pos, h1, h2)`` of every line with a word."""
+def _lines(docs: DataFrame, min_sites: int, long_sites: int | None) -> DataFrame:
+    """``(_id, _key, _site, pos, h1, h2, least)`` of every line with a word; ``least`` is its threshold."""
+    long = (F.length("line") >= 2 * LONG_WORDS - 1) & (F.regexp_count("line", F.lit(WORD + "+")) >= LONG_WORDS)
+    least = F.lit(min_sites) if long_sites is None else F.when(long, long_sites).otherwise(min_sites)
     lines = docs.select("_id", "_key", "_site", F.posexplode(F.split("_text", "\n")).alias("pos", "line")).filter(F.col("line").rlike(WORD))
-    return lines.select("_id", "_key", "_site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    return lines.select("_id", "_key", "_site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), least.alias("least"))
 
 
-def boilerplate(occurrences: DataFrame, min_sites: int = MIN_SITES, bits: int = SKETCH_BITS) -> DataFrame:
-    """``(h1, h2, first)`` of the lines on at least ``min_sites`` distinct sites."""
+def boilerplate(occurrences: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
+    """``(h1, h2, first)`` of the lines on at least ``least`` distinct sites."""
     line = ["h1", "h2"]
     order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_key").alias("k"))
     spread = occurrences.groupBy(*line).agg(
-        F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(F.col("_site").cast("string"), bits)), F.lit(0)).alias("sites"), F.min(order).alias("first"))
-    margin = math.ceil(4 * 1.04 / math.sqrt(1 << bits) * min_sites) + 1
-    near = spread.filter(F.abs(F.col("sites") - min_sites) <= margin).select(*line)
+        F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(F.col("_site").cast("string"), bits)), F.lit(0)).alias("sites"), F.min(order).alias("first"), F.min("least").alias("least"))
+    margin = F.ceil(F.lit(4 * 1.04 / math.sqrt(1 << bits)) * F.col("least")) + 1
+    near = spread.filter(F.abs(F.col("sites") - F.col("least")) <= margin).select(*line)
     exact = occurrences.join(near, line, "left_semi").groupBy(*line).agg(F.countDistinct("_site").alias("exact"))
-    return spread.join(exact, line, "left").filter(F.coalesce("exact", "sites") >= min_sites).select(*line, "first")
+    return spread.join(exact, line, "left").filter(F.coalesce("exact", "sites") >= F.col("least")).select(*line, "first")
 
 
 def remove_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES,
+    long_sites: int | None = None,
 ) -> DataFrame:
     """``docs`` with all its columns, the shortened text, and ``n_lines_removed``.
 
-    A column of that name in ``docs`` is replaced.
+    Without ``long_sites`` long lines have the threshold of all others. A column of that name in ``docs`` is replaced.
     """
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     rows = docs.select(F.col(id_col).alias("_id"), key.alias("_key"), F.col(site_col).alias("_site"), F.col(text_col).alias("_text")).filter("_text is not null")
-    lines = _lines(rows)
-    frequent = stored(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites).select("h1", "h2"), "frequent")
+    lines = _lines(rows, min_sites, long_sites)
+    frequent = stored(lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("least").alias("least")).filter("n >= least").select("h1", "h2"), "frequent")
     occurrences = stored(lines.join(frequent, ["h1", "h2"], "left_semi"), "lines")
-    shared = stored(boilerplate(occurrences, min_sites), "boilerplate")  # so that the join can split a hot line
+    shared = stored(boilerplate(occurrences), "boilerplate")  # so that the join can split a hot line
     is_first = F.col("first.k").eqNullSafe(F.col("_key")) & F.col("first.i").eqNullSafe(F.col("_id"))
     lost = (
         occurrences.join(shared, ["h1", "h2"]).filter(~is_first)

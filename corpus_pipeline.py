@@ -1,8 +1,9 @@
 """From raw documents to packed token sequences.
 
-Quality rules drop bad documents; lines that many sites share stay in one document only; of
-each group of near-duplicates one document stays; documents with benchmark passages go; the
-rest is packed. Every stage reads what the one before it stored.
+Quality rules drop bad documents; lines that many sites share, and long lines that a few
+share, stay in one document only; of each group of near-duplicates one document stays;
+documents with benchmark passages go; the rest is packed. Every stage reads what the one
+before it stored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without boilerplate lines, and their new length; one that had nothing else goes."""
-    out = line_dedup.remove_lines(docs)
+    out = line_dedup.remove_lines(docs, long_sites=line_dedup.LONG_SITES)
     gone = (F.col("n_lines_removed") > 0) & ~F.col("text").rlike(line_dedup.WORD)
     length = F.when(F.col("n_lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.filter(~F.coalesce(gone, F.lit(False))).withColumn("n_chars", length).select(*docs.columns)
