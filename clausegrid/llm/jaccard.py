@@ -406,13 +406,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns, but of each component only the document with the least
-    id. Documents without shingles all stay."""
+    """``docs`` with all its columns, but of each component only one row: of the document with
+    the least id, null ids last. Where several rows have that id and text, the row with the
+    least hash of all columns stays. Documents without shingles all stay."""
     found = _with_components(docs, id_col, text_col).filter("class is not null").select("id", "text_code", "component")
     order = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("i"), F.col("text_code").alias("c"))
-    first = found.groupBy("component").agg(F.min(order).alias("first"))
+    first = stored(found.groupBy("component").agg(F.min(order).alias("first")), "first")
     ahead = F.col("id").eqNullSafe(F.col("first.i")) & F.col("text_code").eqNullSafe(F.col("first.c"))
-    others = found.join(first, "component").filter(~ahead).select("id", "text_code").distinct()
+    pairs = found.join(first, "component").groupBy("id", "text_code", "component").agg(F.count("*").alias("n"), F.first(ahead).alias("ahead"))
+    # What does not simply stay: pairs that go, and kept pairs with several rows.
+    marked = stored(pairs.filter("not ahead or n > 1").select("id", "text_code", "component", "ahead"), "marked")
     same = F.col("_i").eqNullSafe(F.col("id")) & F.col("_c").eqNullSafe(F.col("text_code"))
     rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_i"), F.xxhash64(F.col(text_col)).alias("_c"))
-    return rows.join(others, same, "left_anti").select("_row.*")
+    alone = rows.join(marked, same, "left_anti").select("_row.*")
+    # Not grouped by the join's keys, so that copies meet in their own tasks first and the join can split a hot pair.
+    repeated = rows.join(stored(marked.filter("ahead").drop("ahead"), "repeated"), same)
+    one = repeated.groupBy("component").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
+    return alone.unionByName(one.select("_row.*"))
