@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegrid.llm import decontamination, jaccard, languages, line_dedup, packing, quality_model, quality_rules, secrets, tokens, urls
+from clausegrid.llm import byte_bpe, decontamination, jaccard, languages, line_dedup, packing, quality_model, quality_rules, secrets, tokens, urls
 
 QUERIES = {}
 CHECKS = {}
@@ -81,3 +81,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_ngram_jaccard_join")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.join(table(spark, folder, "documents"))
+
+
+@query("op13_byte_bpe")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_bpe.digest(table(spark, folder, "documents"))
