@@ -51,6 +51,9 @@ _LATER = re.compile(f"[{LATER}]")
 _SCRIPTS = re.compile("[\u0558-\u1fff\u2080-\U0010ffff]")  # all of them, and quick to search for
 
 
+_WORD, _STEP, _MIX = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
+
 class PerfectHash:
     """Minimal perfect hash of distinct byte strings onto 0..n-1, by hash and displace.
 
@@ -62,10 +65,10 @@ class PerfectHash:
     def __init__(self, keys: list[bytes], values: list[int]):
         self.n = n = len(keys)
         self.buckets = n // 2 + 1
-        hashes = self._hashes(keys)
+        numbers = self._hashes(keys).tolist()
         grouped: dict[int, list[int]] = {}
-        for i, b in enumerate((hashes % np.uint64(self.buckets)).tolist()):
-            grouped.setdefault(b, []).append(i)
+        for i, h in enumerate(numbers):
+            grouped.setdefault(h % self.buckets, []).append(i)
         self.moves = np.zeros(self.buckets, np.int64)
         slot_of, taken = np.zeros(n, np.int64), bytearray(n)
         alone = []
@@ -73,10 +76,11 @@ class PerfectHash:
             if len(members) == 1:
                 alone.append((b, members[0]))
                 continue
-            own = hashes[members]
+            own = [numbers[i] for i in members]
             for move in itertools.count(1):
-                slots = self._slots(own, np.int64(move)).tolist()
-                if len(set(slots)) == len(slots) and not any(taken[s] for s in slots):
+                step = move * _STEP & _WORD
+                slots = [(((h ^ step) * _MIX & _WORD) >> 32) % n for h in own]
+                if not any(taken[s] for s in slots) and len(set(slots)) == len(slots):
                     break
             self.moves[b] = move
             for i, s in zip(members, slots):
@@ -94,8 +98,8 @@ class PerfectHash:
     def _hashes(keys: list[bytes]) -> np.ndarray:
         return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
 
-    def _slots(self, hashes: np.ndarray, moves) -> np.ndarray:
-        mixed = (hashes ^ (np.asarray(moves).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+    def _slots(self, hashes: np.ndarray, moves: np.ndarray) -> np.ndarray:
+        mixed = (hashes ^ (moves.astype(np.uint64) * np.uint64(_STEP))) * np.uint64(_MIX)
         return ((mixed >> np.uint64(32)) % np.uint64(self.n)).astype(np.int64)
 
     def find(self, keys: list[bytes]) -> list[int | None]:
@@ -104,8 +108,7 @@ class PerfectHash:
             return [None] * len(keys)
         hashes = self._hashes(keys)
         moves = self.moves[(hashes % np.uint64(self.buckets)).astype(np.int64)]
-        with np.errstate(over="ignore"):
-            slots = np.where(moves < 0, -moves - 1, self._slots(hashes, np.maximum(moves, 0))).tolist()
+        slots = np.where(moves < 0, -moves - 1, self._slots(hashes, np.maximum(moves, 0))).tolist()
         held, values = self.keys, self.values
         return [values[s] if held[s] == k else None for s, k in zip(slots, keys)]
 
