@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegrid.llm import byte_bpe, decontamination, jaccard, languages, line_dedup, packing, quality_model, quality_rules, secrets, tokens, urls
+from clausegrid.llm import (
+    byte_bpe, checksql, decontamination, jaccard, languages, line_dedup, packing, prefix_trie, quality_model, quality_rules, secrets, tokens, turn_repair, urls,
+)
 
 QUERIES = {}
 CHECKS = {}
@@ -86,3 +88,13 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_byte_bpe")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.digest(table(spark, folder, "documents"))
+
+
+@query("op11_prefix_trie", checksql.TRIE)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, folder, "conversations"))
+
+
+@query("op12_turn_repair", checksql.repair(turn_repair.AFTER))
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return turn_repair.audit(table(spark, folder, "conversations"))
