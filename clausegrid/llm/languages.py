@@ -12,11 +12,11 @@ rows; null ids are kept. Without any labelled text every document is ``und``.
 from __future__ import annotations
 
 import dataclasses
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +26,9 @@ from clausegrid.llm.tokens import byte_runs
 FIT_DOCUMENTS = 400
 MAX_LANGUAGES = 1000
 BUCKETS = 1 << 16
+SLICES = 32
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: Cost of one more language, in nats per doubling of the trigrams; trigrams overlap, so it is above the usual half.
 PENALTY = 3.0
 MIN_PROPORTION = 0.02
@@ -59,9 +60,12 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", documen
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not found:
         return Languages([], np.zeros((BUCKETS, 0)))
-    # The rank is cut within each task before the shuffle by language, so few hashes meet there.
+    # First the least hashes of each slice of a language, so that no task ranks a whole language.
+    first = F.row_number().over(Window.partitionBy("lang", "slice").orderBy("h"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = rows.select("lang", "h").distinct().withColumn("rank", rank).filter(F.col("rank") <= documents).select("lang", "h")
+    near = rows.select("lang", "h").distinct().withColumn("slice", F.pmod(F.hash("h"), F.lit(SLICES)))
+    near = near.withColumn("rank", first).filter(F.col("rank") <= documents)
+    chosen = near.withColumn("rank", rank).filter(F.col("rank") <= documents).select("lang", "h")
     sample = rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -70,14 +70,18 @@ def remove_lines(
     is_first = F.col("first.k").eqNullSafe(F.col("_key")) & F.col("first.i").eqNullSafe(F.col("_id"))
     lost = (
         occurrences.join(shared, ["h1", "h2"]).filter(~is_first)
-        .groupBy("_id", "_key").agg(F.sort_array(F.collect_set("pos")).alias("_lost"))
+        .groupBy("_id", "_key").agg(F.sort_array(F.collect_set("pos")).alias("_at"))
     )
+    # One byte per line up to the last lost one, so that each line is looked up at its place.
+    gap = lambda i: F.col("_at")[i] - F.coalesce(F.get("_at", i - 1), F.lit(-1)) - 1
+    marks = F.transform(F.sequence(F.lit(0), F.size("_at") - 1), lambda i: F.concat(F.repeat(F.lit("0"), gap(i)), F.lit("1")))
+    lost = lost.select("_id", "_key", F.size("_at").cast("long").alias("_lost"), F.array_join(marks, "").cast("binary").alias("_marks"))
     out = docs.drop("n_lines_removed").select(F.struct("*").alias("_row"), F.col(id_col).alias("_i"), key.alias("_k"))
     joined = out.join(lost, F.col("_k").eqNullSafe(F.col("_key")) & F.col("_i").eqNullSafe(F.col("_id")), "left")
-    left = F.filter(F.split(F.col(f"_row.{text_col}"), "\n"), lambda line, i: ~F.array_contains(F.col("_lost"), i))
+    left = F.filter(F.split(F.col(f"_row.{text_col}"), "\n"), lambda line, i: F.substring("_marks", i + 1, F.lit(1)) != F.lit(b"1"))
     text = F.when(F.col("_lost").isNull(), F.col(f"_row.{text_col}")).otherwise(F.array_join(left, "\n"))
     columns = [text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.drop("n_lines_removed").columns]
-    return joined.select(*columns, F.coalesce(F.size("_lost"), F.lit(0)).cast("long").alias("n_lines_removed"))
+    return joined.select(*columns, F.coalesce("_lost", F.lit(0)).cast("long").alias("n_lines_removed"))
 
 
 SQL = f"""with l as (select doc_id, source, lines, unnest(range(1, len(lines) + 1)) as i from (select doc_id, source, string_split(text, chr(10)) as lines from documents)),

@@ -2,7 +2,7 @@
 
 Each task encodes its documents and cuts the long ones into pieces; only the lengths are
 shuffled. The pieces are dealt out evenly by their place in the input, not by a key, into
-groups of about ``GROUP_BYTES`` of text, and each group is packed by itself: longest piece
+groups of about ``GROUP_BYTES`` of text and rows, and each group is packed by itself: longest piece
 first, each into the open sequence with the least room that still holds it. A segment tree
 over the possible remaining rooms finds that sequence in logarithmic time. A group leaves at
 most a few sequences partly filled, so the split costs a handful out of tens of thousands.
@@ -23,6 +23,7 @@ from clausegrid.llm import vocab
 from clausegrid.llm.tokens import DEFAULT_VOCABULARY, byte_runs
 
 GROUP_BYTES = 64 << 20
+ROW_BYTES = 256  # what a row counts besides its text, so that empty texts fill groups too
 OUT_ROWS = 20_000
 
 
@@ -90,6 +91,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, end
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, place = vocab.load(file), TaskContext.get().partitionId() << 40
+        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         columns: list[list] = [[] for _ in names]
 
         def flush():
@@ -101,12 +103,10 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, end
         for run in byte_runs(batches, "_text"):
             id_type = run.column(0).type
             for key, text in zip(run.column(0).to_pylist(), run.column(1).to_pylist()):
-                ids = v.ids(text)
-                if end_id is not None:
-                    ids.append(end_id)
-                data = np.array(ids, "<u4").tobytes()
-                starts = cut_points(len(ids), capacity)
-                for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)])):
+                data = v.encoded(text) + end
+                n = len(data) // 4
+                starts = cut_points(n, capacity)
+                for k, (a, b) in enumerate(zip(starts, [*starts[1:], n])):
                     part = data[4 * a : 4 * b]
                     for c, x in zip(columns, (key, k, a, b - a, zlib.crc32(part), place, part)):
                         c.append(x)
@@ -131,7 +131,7 @@ def pack(
     Sequence ids are unique and may have gaps.
     """
     file = path or vocab.public(vocabulary)
-    total = docs.select(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+    total = docs.select(F.sum(F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + ROW_BYTES)).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
     found = token_pieces(docs, id_col, text_col, capacity, end_id, file, with_ids)
     columns = ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids

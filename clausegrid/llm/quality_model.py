@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clausegrid.llm.sampling import label_weights, sample_by_label
 from clausegrid.llm.tokens import byte_runs
 
 BUCKETS = 1 << 13
@@ -131,22 +132,25 @@ class Network:
         return np.where(empty, self.prior, p)
 
 
-def fit_network(x: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 0.01, ridge: float = 1e-3, seed: int = 5) -> Network:
-    prior = float(y.mean()) if len(y) else 0.5
+def fit_network(
+    x: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 0.01, ridge: float = 1e-3, seed: int = 5, weights: np.ndarray | None = None,
+) -> Network:
+    weights = np.ones(len(y)) if weights is None else weights
+    prior = float(np.average(y, weights=weights)) if len(y) else 0.5
     if len(set(y.tolist())) < 2 or len(y) < 10:
         return Network(prior)
     held = np.arange(len(y)) % 5 == 4
     if len(set(y[~held].tolist())) < 2 or len(set(y[held].tolist())) < 2:
         held = np.zeros(len(y), bool)
     centre, scale = x[~held].mean(0), x[~held].std(0) + 1e-6
-    a, t = (x[~held] - centre) / scale, y[~held]
+    a, t, weight = (x[~held] - centre) / scale, y[~held], weights[~held] / weights[~held].sum()
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, a.shape[1] ** -0.5, (a.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     for k in range(1, rounds + 1):
         h = a @ params[0] + params[1]
         r = np.maximum(h, 0)
-        d = (1 / (1 + np.exp(-np.clip(r @ params[2] + params[3], -30, 30))) - t) / len(t)
+        d = (1 / (1 + np.exp(-np.clip(r @ params[2] + params[3], -30, 30))) - t) * weight
         back = np.outer(d, params[2]) * (h > 0)
         grads = [a.T @ back + ridge * params[0], back.sum(0), r.T @ d + ridge * params[2], np.array([d.sum()])]
         for p, g, (m, v) in zip(params, grads, moments):
@@ -155,9 +159,9 @@ def fit_network(x: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 0
             p -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     net = Network(prior, centre, scale, tuple(params))
     if held.any():
-        z, t = net.logits(x[held]), y[held]
+        z, t, weight = net.logits(x[held]), y[held], weights[held]
         grid = np.geomspace(0.25, 8, 41)
-        loss = [np.mean(np.logaddexp(0, z / s) - t * z / s) for s in grid]
+        loss = [np.average(np.logaddexp(0, z / s) - t * z / s, weights=weight) for s in grid]
         net.temperature = float(grid[int(np.argmin(loss))])
     return net
 
@@ -174,18 +178,18 @@ def _features(rows: DataFrame, vectors, kind: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, id_col: str = "doc_id", text_col: str = "text", documents: int = FIT_DOCUMENTS) -> Network:
-    """The network fitted on at most ``documents`` rows of ``labels (id, quality)``."""
-    marked = (
-        labels.select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("label")).filter("id is not null and label in (0, 1)")
-        .distinct().orderBy(F.xxhash64("id"), "id", "label").limit(documents)
-    )
+    """The network fitted on at most ``documents`` rows of ``labels (id, quality)``, half of them of
+    each label, weighted as the labels are frequent. Of the rows that repeat a labelled id the
+    least text counts, so that the sample stays bounded."""
+    marked, share = sample_by_label(labels.select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("label")), documents, "id", "label")
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = F.broadcast(marked).join(texts, "id").select("id", "label", "_text")  # bounded by ``documents``
+    rows = F.broadcast(marked).join(texts, "id").groupBy("id", "label").agg(F.min("_text").alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
     found = _features(rows, shared, rows.schema[0].dataType.simpleString()).drop("id").toArrow()
     order = sorted(zip((x for x in found.column("x").to_pylist()), found.column("label").to_pylist()), key=lambda r: xxhash.xxh64_intdigest(r[0]))
     x = np.array([np.frombuffer(b, "<f4") for b, _ in order], np.float64).reshape(-1, 2 * WIDTH + 1)
-    return fit_network(x, np.array([y for _, y in order], float))
+    y = np.array([y for _, y in order], float)
+    return fit_network(x, y, weights=label_weights(y, share))
 
 
 def score(docs: DataFrame, vectors: np.ndarray, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

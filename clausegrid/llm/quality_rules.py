@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clausegrid.llm.sampling import label_weights, sample_by_label
 from clausegrid.llm.tokens import byte_runs
 from clausegrid.llm.words import WordCodes, covered_by_repeats
 
@@ -31,9 +32,10 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 
-#: The fit sees at most this many labelled documents, and at most so many lines of each.
+#: The fit sees at most this many labelled documents, half of them of each label, with all their lines.
 FIT_DOCUMENTS = 3000
-FIT_LINES = 64
+#: A longer document is fitted as several sequences, which together weigh as much as any other.
+SEQUENCE_LINES = 64
 MIN_CONTENT_SHARE = 0.5
 
 _UPPER, _LOWER, _DIGITS = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
@@ -86,15 +88,21 @@ def line_features(lines: list[bytes]) -> np.ndarray:
     return np.array(rows, np.float64).reshape(-1, N_FEATURES)
 
 
-def fit_field(sequences: list[np.ndarray], labels: np.ndarray, rounds: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> Field | None:
+def fit_field(
+    documents: list[np.ndarray], marks: np.ndarray, rounds: int = 150, rate: float = 0.1, ridge: float = 1e-3, weights: np.ndarray | None = None,
+) -> Field | None:
     """Maximum conditional likelihood by gradient steps; None unless both labels occur."""
-    if len(sequences) == 0 or len(set(labels.tolist())) < 2:
+    if len(documents) == 0 or len(set(marks.tolist())) < 2:
         return None
-    n, t = len(sequences), max(map(len, sequences))
+    cut = [(i, d[a : a + SEQUENCE_LINES]) for i, d in enumerate(documents) for a in range(0, len(d), SEQUENCE_LINES)]
+    of, sequences = np.array([i for i, _ in cut]), [s for _, s in cut]
+    labels, n, t = marks[of], len(sequences), max(map(len, sequences))
+    share = np.ones(len(documents)) if weights is None else weights / weights.mean()
+    total = share.sum()
     x, on = np.zeros((n, t, N_FEATURES)), np.zeros((n, t), bool)
     for i, s in enumerate(sequences):
         x[i, : len(s)], on[i, : len(s)] = s, True
-    each = 1.0 / on.sum(1)  # every document weighs the same
+    each = share[of] / np.array([len(documents[i]) for i in of])  # the lines of a document share its weight
     gold = np.zeros((n, t, 2))
     gold[np.arange(n), :, labels] = 1.0
     gold *= on[..., None]
@@ -123,8 +131,8 @@ def fit_field(sequences: list[np.ndarray], labels: np.ndarray, rounds: int = 150
         p = np.exp(alpha + beta - whole[:, None, None]) * on[..., None]
         joint = np.exp(alpha[:, :-1, :, None] + step + (score + beta)[:, 1:, None, :] - whole[:, None, None, None]) * pairs[..., None, None]
         grads = (
-            np.einsum("ntf,nty,n->fy", x, gold - p, each) / n - ridge * emit,
-            (gold_step - np.einsum("ntab,n->ab", joint, each)) / n - ridge * step,
+            np.einsum("ntf,nty,n->fy", x, gold - p, each) / total - ridge * emit,
+            (gold_step - np.einsum("ntab,n->ab", joint, each)) / total - ridge * step,
         )
         for value, grad, (m, v) in zip((emit, step), grads, moments):
             m += 0.1 * (grad - m)
@@ -134,23 +142,22 @@ def fit_field(sequences: list[np.ndarray], labels: np.ndarray, rounds: int = 150
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = FIT_DOCUMENTS) -> Field | None:
-    """The field fitted on at most ``documents`` labelled documents, chosen by a hash of the id."""
-    marked = (
-        labels.select(F.col(id_col).alias("_id"), F.col("quality").cast("int").alias("_label")).filter("_id is not null and _label in (0, 1)")
-        .orderBy(F.xxhash64("_id"), "_id", "_label").limit(documents)
-    )
+    """The field fitted on at most ``documents`` labelled documents, half of them of each label,
+    chosen by a hash of the id and weighted as the labels are frequent. Of the rows that repeat
+    a labelled id the least text counts."""
+    marked, share = sample_by_label(labels.select(F.col(id_col).alias("_id"), F.col("quality").cast("int").alias("_label")), documents)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    found = F.broadcast(marked).join(texts, "_id").filter(F.col("_text").isNotNull()).select("_id", "_label", "_text")
+    found = F.broadcast(marked).join(texts, "_id").filter(F.col("_text").isNotNull()).groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in byte_runs(batches, "_text"):
-            data = [line_features(t.split(b"\n")[:FIT_LINES]).astype("<f8").tobytes() for t in pc.cast(run.column(2), pa.binary()).to_pylist()]
+            data = [line_features(t.split(b"\n")).astype("<f8").tobytes() for t in pc.cast(run.column(2), pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([run.column(1), pa.array(data, pa.binary())], names=["label", "shape"])
 
     rows = found.mapInArrow(shapes, "label int, shape binary").toArrow()
     order = sorted(zip(rows.column("label").to_pylist(), rows.column("shape").to_pylist()))
-    sequences = [np.frombuffer(s, "<f8").reshape(-1, N_FEATURES) for _, s in order]
-    return fit_field(sequences, np.array([y for y, _ in order], int))
+    marks = np.array([y for y, _ in order], int)
+    return fit_field([np.frombuffer(s, "<f8").reshape(-1, N_FEATURES) for _, s in order], marks, weights=label_weights(marks, share))
 
 
 def counts(text: bytes, codes: WordCodes) -> tuple[int, int, int, int]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausegrid.llm.storage import new_folder
 from clausegrid.llm import (
     byte_bpe, checksql, decontamination, jaccard, languages, line_dedup, packing, prefix_trie, quality_model, quality_rules, secrets, tokens, turn_repair, urls,
 )
@@ -39,7 +40,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op2_secret_scans", secrets.SQL)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
-    return secrets.digest(table(spark, folder, "documents"))
+    docs = table(spark, folder, "documents")
+    return secrets.digest(docs, findings=secrets.update_ledger(docs, new_folder(docs, "ledger")))
 
 
 @query("op9_url_filters")

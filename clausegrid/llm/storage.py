@@ -21,8 +21,13 @@ def shared_folder(df: DataFrame) -> str:
     return folder
 
 
+def new_folder(df: DataFrame, name: str) -> str:
+    """A folder of its own in the shared folder of the session of ``df``."""
+    return f"{shared_folder(df).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once and read back; this cuts its lineage and survives lost executors."""
-    path = f"{shared_folder(df).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -16,6 +16,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausegrid.llm.storage import stored
+
 #: Fixed values: (verdict, host, path).
 RULES = (
     ("block", "com", "/en/"),
@@ -89,9 +91,10 @@ def with_suffix_rates(urls: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def fit(labelled: DataFrame, trees: int = 20, depth: int = 4, limit: int = FIT_URLS) -> Model | None:
-    """Trees for rows with the features and ``label`` (1 blocked); None unless both labels occur."""
-    sample = labelled.orderBy(F.xxhash64("_url"), "_url").limit(limit)
-    sample = sample.select(*FEATURES, F.col("label").cast("double").alias("label"))
+    """Trees for rows with the features and ``label`` (1 blocked), on at most ``limit`` rows, half of
+    them of each label; None unless both labels occur."""
+    halves = [labelled.filter(F.col("label") == y).orderBy(F.xxhash64("_url"), "_url").limit(max(1, limit // 2)) for y in (0, 1)]
+    sample = halves[0].unionByName(halves[1]).select(*FEATURES, F.col("label").cast("double").alias("label"))
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
@@ -112,15 +115,15 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, labelled: DataFrame
     urls = with_parts(rows.select("_url").distinct())
     ruled = match_rules(urls, rules)
     known = urls.join(ruled, "_url", "left")
-    features = lexical(known)
+    features = stored(lexical(known), "features")  # the rates, the fit and the scores read it
     if labelled is None:
         marked = features.withColumn("label", F.col("rule_verdict").eqNullSafe("block").cast("int"))
     else:
         given = labelled.select(F.col("url").alias("_url"), F.col("label").cast("int").alias("label")).filter("_url is not null and label in (0, 1)")
-        marked = lexical(with_parts(given))
+        marked = stored(lexical(with_parts(given)), "labelled")
     model = fit(with_suffix_rates(marked, marked))
     if model is None:
-        judged = known.withColumn("verdict", F.coalesce("rule_verdict", F.lit("allow")))
+        judged = features.withColumn("verdict", F.coalesce("rule_verdict", F.lit("allow")))
     else:
         vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_suffix_rates(features, marked))
         scored = model.transform(vectors)

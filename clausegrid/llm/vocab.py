@@ -12,12 +12,16 @@ import functools
 import json
 import re
 
+import numpy as np
+
 #: Fixed value: how byte-level BPE splits a text before its merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same for texts without two white-space characters in a row; it needs no look-ahead.
 SPLIT_SINGLE = SPLIT.replace(r"|\s+(?!\S)", "")
 
 _TWO_SPACES = re.compile(r"\s\s")
+#: Fixed value: white space as the split pattern means it, in runs that a look-ahead must not walk back over.
+_LONG_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{256,}")
 _CUT = re.compile(r"(?<=\S)[ \t\n\r]")
 
 
@@ -76,7 +80,16 @@ class Vocabulary:
         self._encode = self._by_ranks
 
     def _by_ranks(self, text: str) -> list[int]:
-        return (self._general if _TWO_SPACES.search(text) else self._single).encode_ordinary(text)
+        if not _TWO_SPACES.search(text):
+            return self._single.encode_ordinary(text)
+        # A run of white space is one match but for its last character, which may belong to what
+        # follows; a long one is encoded by itself, where no look-ahead is needed.
+        out, start = [], 0
+        for run in _LONG_SPACES.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            out += self._general.encode_ordinary(text[start : run.start()]) + self._single.encode_ordinary(text[run.start() : end])
+            start = end
+        return out + self._general.encode_ordinary(text[start:]) if start else self._general.encode_ordinary(text)
 
     def ids(self, text: str) -> list[int]:
         for mark, number in self._special.items():
@@ -87,11 +100,21 @@ class Vocabulary:
                 return out
         return self._encode(text)
 
+    def parts(self, text: str, piece_chars: int = 1 << 16):
+        """The ids in lists, one of each piece of a long text."""
+        if not self.splits or len(text) <= piece_chars:
+            yield self.ids(text)
+            return
+        for piece in safe_pieces(text, piece_chars):
+            yield self.ids(piece)
+
     def count(self, text: str, piece_chars: int = 1 << 16) -> int:
         """Number of ids; a long text is encoded in pieces, so no long list of ids is built."""
-        if not self.splits or len(text) <= piece_chars:
-            return len(self.ids(text))
-        return sum(len(self.ids(piece)) for piece in safe_pieces(text, piece_chars))
+        return sum(map(len, self.parts(text, piece_chars)))
+
+    def encoded(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit numbers."""
+        return b"".join(np.array(part, "<u4").tobytes() for part in self.parts(text))
 
 
 def safe_pieces(text: str, piece_chars: int):
