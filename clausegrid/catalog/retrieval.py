@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from clausegrid.catalog.derived import DOCUMENT_STATUS, QUESTIONS
 from clausegrid.catalog.registry import query, with_ctes
-from clausegrid.functions.stages import new_folder
+from clausegrid.functions.stages import materialise, new_folder
 from clausegrid.functions.text import tokens
 from clausegrid.operators import retrieval as R
+from clausegrid.operators import segments as S
 from clausegrid.operators import vectors as V
 from clausegrid.sources.lines import line_chunks
 from clausegrid.sources.tables import active_chunks, read
@@ -104,6 +105,24 @@ def bm25_search_stored(spark, sf):
     return hits.withColumn("score", F.round("score", 6))
 
 
+@query("bm25_search_segments", with_ctes(BM25, select="select query_id, rank, chunk_id, round(score, 6) as score from lexical"))
+def bm25_search_segments(spark, sf):
+    """Three batches added, the chunks of archived documents deleted, the segments merged, and
+    two more batches added, merged again with what is there: the hits of a rebuild."""
+    folder = new_folder(spark, "segments")
+    chunks = materialise(line_chunks(read(spark, sf, "documents")).select("chunk_id", "ord", "document_id", "text"))
+    archived = DOCUMENT_STATUS.df(spark, sf).filter("status <> 'active'").select("document_id")
+    for batch in (0, 1, 2):
+        S.add(chunks.filter(F.col("document_id") % 5 == batch), folder)
+    S.delete(chunks.join(archived, "document_id", "left_semi").select("chunk_id"), folder)
+    S.merge(spark, folder)
+    for batch in (3, 4):
+        S.add(chunks.filter(F.col("document_id") % 5 == batch), folder)
+    S.delete(chunks.join(archived, "document_id", "left_semi").select("chunk_id"), folder)
+    S.merge(spark, folder)
+    return S.search(questions(spark, sf), S.load(spark, folder)).hits.withColumn("score", F.round("score", 6))
+
+
 # Few words, one of them in most chunks: weights below zero beside chunks that match nothing.
 @query("bm25_search_few_words", with_ctes(BM25.replace(
     "l.text, s.title", "case when l.ord % 9 = 0 then 'rare' when l.ord % 9 < 8 then 'common' else 'common other' end as text, s.title").replace(

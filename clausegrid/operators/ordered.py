@@ -26,6 +26,17 @@ def numbered(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame
     return materialise(placed.withColumn(name, F.monotonically_increasing_id()))
 
 
+def dense(df: DataFrame, order: str, name: str) -> DataFrame:
+    """``df`` with the numbers 0, 1, 2, ... in the order of ``order``: the rows of the parts
+    before, of which there is one count per part, and the place within the part."""
+    rows = numbered(df, [], order, "_number").withColumn("_part", F.shiftright("_number", 33))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_number").alias("_first"))
+    parts = parts.select("_part", "_first", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    placed = rows.join(F.broadcast(parts), "_part").withColumn(name, F.col("_number") - F.col("_first") + F.col("_before"))
+    return placed.select(*df.columns, name)
+
+
 def with_block(df: DataFrame, order: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return df.withColumn(BLOCK, F.floor(F.col(order) / block_rows).cast("long"))
 

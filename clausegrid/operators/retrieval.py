@@ -14,8 +14,10 @@ from clausegrid.functions import fixed
 from clausegrid.functions.sizes import BROADCAST_BYTES, BROADCAST_ROWS
 from clausegrid.functions.stages import materialise
 from clausegrid.functions.text import tokens
+from clausegrid.operators.ordered import dense, running
 
 SCORE_DIGITS = 9
+SPAN_ROWS = 1 << 16  # places made at once
 
 
 def postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
@@ -149,43 +151,40 @@ def bm25_top_k(
         .groupBy("chunk_id", "query_id").agg(F.sum("w").alias("score"), F.max("ord").alias("ord"))
     )
     if zero_fill:
-        # While no score is negative, a chunk that matches nothing is only needed if fewer
-        # than k match, and then the first k chunks hold enough of them. Otherwise the
-        # head must hold k chunks that a question does not match, for any of them.
-        negative = size["least"] is not None and size["least"] < 0
-        rows = _deep_enough(posts.join(asked, "term"), corpus, k, index.n_chunks) if negative else k
-        head = corpus.select("ord", "chunk_id").orderBy("ord").limit(rows)
-        head = head.agg(F.array_sort(F.collect_list(F.struct("ord", "chunk_id")))).scalar()
-        fill = (
-            questions.filter(F.size(tokens(F.col("question"))) > 0)
-            .select("query_id", F.explode(head).alias("c"))
-            .select("c.chunk_id", "query_id", F.lit(0.0).alias("score"), "c.ord")
-        )
-        if negative:
-            matched = scored.select("query_id", "chunk_id")
-            first = fill.join(matched, ["query_id", "chunk_id"], "left_anti")
-            fill = top_k(first, k).select("chunk_id", "query_id", "score", "ord")
-            scored = scored.unionByName(fill)
-        else:
-            scored = (
-                top_k(scored, k).select("chunk_id", "query_id", "score", "ord").unionByName(fill)
-                .groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), F.max("ord").alias("ord"))
-            )
+        scored = with_unmatched(scored, questions, corpus, k, size["least"] is not None and size["least"] < 0)
     ranked = top_k(scored, k)
     return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "score")
 
 
-def _deep_enough(matched: DataFrame, corpus: DataFrame, k: int, n_chunks: int) -> int:
-    """How many first chunks hold at least ``k`` that match nothing, for every question."""
-    rows = 8 * k
-    while rows < n_chunks:
-        head = corpus.orderBy("ord").limit(rows).select("chunk_id")
-        met = matched.join(head, "chunk_id", "left_semi").select("query_id", "chunk_id").distinct()
-        most = met.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        if rows - most >= k:
-            break
-        rows *= 8
-    return rows
+def with_unmatched(scored: DataFrame, questions: DataFrame, corpus: DataFrame, k: int, negative: bool) -> DataFrame:
+    """``scored (chunk_id, query_id, score, ord)`` and, at score zero, chunks that a question does
+    not match: as many as can be among its best ``k``.
+
+    While no score is negative, they are only needed where fewer than k chunks match, and then
+    the first k of the corpus hold enough of them. Otherwise each question gets its first k
+    unmatched chunks: the corpus is numbered once, a matched chunk with fewer than k unmatched
+    ones before it moves the end of the range by one, and the range less the matched chunks is
+    joined to the numbered corpus. ``scored`` must then hold every match.
+    """
+    asked = questions.filter(F.size(tokens(F.col("question"))) > 0).select("query_id")
+    if not negative:
+        head = corpus.select("ord", "chunk_id").orderBy("ord").limit(k)
+        head = head.agg(F.array_sort(F.collect_list(F.struct("ord", "chunk_id")))).scalar()
+        fill = asked.select("query_id", F.explode(head).alias("c")).select("c.chunk_id", "query_id", F.lit(0.0).alias("score"), "c.ord")
+        return (
+            top_k(scored, k).select("chunk_id", "query_id", "score", "ord").unionByName(fill)
+            .groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), F.max("ord").alias("ord"))
+        )
+    places = dense(corpus.select("chunk_id", "ord"), "ord", "place")
+    matched = materialise(scored.select("query_id", "chunk_id").join(places.select("chunk_id", "place"), "chunk_id").select("query_id", "place"))
+    ranked = running(matched, ["query_id"], "place", sums={"nth": F.lit(1)})
+    moved = ranked.filter(F.col("place") - F.col("nth") + 1 < k).groupBy("query_id").agg(F.count("*").alias("m"))
+    span = asked.join(moved, "query_id", "left").withColumn("end", F.coalesce("m", F.lit(0)) + k)
+    step = F.lit(SPAN_ROWS)
+    runs = span.select("query_id", "end", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("end") - 1) / step))).alias("r"))
+    each = runs.select("query_id", F.explode(F.sequence(F.col("r") * step, F.least((F.col("r") + 1) * step, "end") - 1)).alias("place"))
+    fill = each.join(matched, ["query_id", "place"], "left_anti").join(places, "place")
+    return scored.select("chunk_id", "query_id", "score", "ord").unionByName(fill.select("chunk_id", "query_id", F.lit(0.0).alias("score"), "ord"))
 
 
 def reciprocal_rank_fusion(lists: list[DataFrame], k: int = fixed.RRF_K) -> DataFrame:
