@@ -14,19 +14,17 @@ reader or a run that broke off sees the index before or after it.
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausegrid.functions import fixed
-from clausegrid.functions.sizes import BROADCAST_BYTES, BROADCAST_ROWS
+from clausegrid.functions.sizes import is_small
 from clausegrid.functions.stages import materialise
 from clausegrid.functions.text import tokens
 from clausegrid.operators import retrieval as R
 from clausegrid.operators.ordered import numbered
 
-BLOCK_BITS = 6
-FIRST_BLOCKS = 4  # blocks per question in the first round, FAN times as many in each later one
-FAN = 16
+BLOCK_BITS = 4
 TIER = 4  # segments of the same size class, a power of TIER, are merged
 SLACK = 1e-7  # sums in another order may differ by less
 MANIFEST = "kind string, name string, n long, total long, version long"
@@ -201,73 +199,94 @@ def _impact(tf: Column, length: Column, avg_len: float, k1: float, b: float) ->
 
 
 class Hits(NamedTuple):
-    """``hits`` as of ``retrieval.bm25_top_k``; ``read`` holds the blocks that were decoded,
-    ``(query_id, segment, block)``, and ``bounds`` those that hold a word of the question."""
+    """``hits`` as of ``retrieval.bm25_top_k``; ``read`` holds the postings blocks that were
+    decoded, ``(query_id, segment, block, term)``."""
 
     hits: DataFrame
     read: DataFrame
-    bounds: DataFrame
 
 
 def search(
     questions: DataFrame, index: Segments, k: int = fixed.TOP_K_RETRIEVAL, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B,
-    epsilon: float = fixed.BM25_EPSILON, zero_fill: bool = True, first_blocks: int = FIRST_BLOCKS,
+    epsilon: float = fixed.BM25_EPSILON, zero_fill: bool = True, first_blocks: int | None = None,
 ) -> Hits:
-    """R4 with the rows of ``bm25_top_k``, decoding only blocks that can hold one of the best k.
-
-    The bound of a block is the sum over the question's words of weight times greatest impact.
-    Rounds take blocks from the greatest bound down; between rounds the k-th score so far drops
-    every block whose bound is below it. The loop ends when no block is left.
+    """R4 with the rows of ``bm25_top_k``, decoding only postings that can matter for the best k.
+
+    The bound of a word in a block is its weight times the block's greatest impact. Each
+    question first scores the ``first_blocks`` blocks (twice k) with the greatest sums of bounds,
+    and the k-th score found is its threshold. Words that together cannot reach it are left for last: chunks are found
+    by the other words, in blocks whose bound reaches the threshold, and only for chunks whose
+    score so far and bounds of the rest still reach it are the blocks of the common words read.
+    A question without k positive scores has no threshold and reads everything.
     """
     counted = materialise(index.counts)
     size = R.Index(None, counted, None, index.n_chunks, index.avg_len)
     words = R.query_terms(questions).join(R.term_weights(size, epsilon), "term")
-    asked = materialise(words.select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "df"))
-    measured = asked.agg(F.count("*").alias("n"), F.sum(F.length("term") + 24).alias("b"), F.min("weight").alias("least")).first()
-    small = measured["n"] <= BROADCAST_ROWS and (measured["b"] or 0) <= BROADCAST_BYTES
-    side = F.broadcast(asked) if small else asked
+    asked = materialise(words.select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")))
     if index.blocks is None:
         kind = questions.schema["query_id"].dataType.simpleString()
         none = questions.sparkSession.createDataFrame([], f"query_id {kind}, rank long, chunk_id string, score double")
-        return Hits(none, none.select("query_id"), none.select("query_id"))
+        return Hits(none, none.select("query_id"))
+    least = asked.agg(F.min("weight")).first()[0]
     peak = F.array_max(F.transform("peaks", lambda p: _impact(p["tf"], p["len"], index.avg_len, k1, b)))
-    heads = index.blocks.select("segment", "block", "term", "n", peak.alias("peak")).join(side, "term")
-    bound = F.sum(F.greatest("weight", F.lit(0.0)) * F.col("peak"))
-    left = bounds = materialise(heads.groupBy("query_id", "segment", "block").agg(bound.alias("bound"), F.count("*").alias("terms")))
-    scored = read = None
-    take = first_blocks
-    while True:
-        nth = F.row_number().over(R.Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "segment", "block"))
-        now = materialise(left.withColumn("_nth", nth).filter(F.col("_nth") <= take).drop("_nth"))
-        found = materialise(_score(now, side, index, k1, b, small))
-        read = now if read is None else read.unionByName(now)
-        scored = found if scored is None else scored.unionByName(found)
-        # The k-th best positive score so far; without k of them, nothing may be left out.
-        best = R.Window.partitionBy("query_id").orderBy(F.col("score").desc())
-        kth = scored.filter("score > 0").withColumn("_r", F.row_number().over(best)).filter(F.col("_r") == k).select("query_id", F.col("score").alias("kth"))
-        open_ = left.join(now.select("query_id", "segment", "block"), ["query_id", "segment", "block"], "left_anti").join(kth, "query_id", "left")
-        left = materialise(open_.filter(F.col("kth").isNull() | (F.col("bound") >= F.col("kth") - SLACK)).drop("kth"))
-        if left.isEmpty():
-            break
-        take *= FAN
+    # One row per term and block, without the postings; the texts of all questions share it.
+    heads = materialise(index.blocks.select("segment", "block", "term", peak.alias("peak")).join(_checked(asked.select("term").distinct()), "term", "left_semi"))
+    of_block = ["query_id", "segment", "block"]
+    bound = F.greatest("weight", F.lit(0.0)) * F.col("peak")
+    bounds = materialise(heads.join(_checked(asked), "term").groupBy(*of_block).agg(F.sum(bound).alias("bound")))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "segment", "block"))
+    first = materialise(bounds.withColumn("_nth", nth).filter(F.col("_nth") <= (first_blocks or 2 * k)).select(*of_block))
+    found = materialise(_alive(_score(_with_terms(first, asked), index, k1, b), index))
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc())
+    kth = found.filter("score > 0").withColumn("_r", F.row_number().over(best)).filter(F.col("_r") == k).select("query_id", (F.col("score") - SLACK).alias("kth"))
+    # The words with the most blocks for their reach, as long as their sum stays below the threshold.
+    reach = asked.join(heads.groupBy("term").agg(F.max("peak").alias("peak"), F.count("*").alias("blocks")), "term").withColumn("reach", bound)
+    summed = F.sum("reach").over(Window.partitionBy("query_id").orderBy(F.col("reach") / F.col("blocks"), "term").rowsBetween(Window.unboundedPreceding, 0))
+    parted = materialise(reach.join(kth, "query_id", "left").withColumn("last", F.coalesce(summed < F.col("kth"), F.lit(False))).select("query_id", "term", "weight", "kth", "last"))
+    lead, rest = parted.filter(~F.col("last")), parted.filter("last")
+    thresholds = parted.groupBy("query_id").agg(F.max("kth").alias("kth"))
+    open_ = bounds.join(first, of_block, "left_anti").join(_checked(thresholds), "query_id").filter(F.col("kth").isNull() | (F.col("bound") >= F.col("kth")))
+    open_ = materialise(open_.select(*of_block, "kth"))
+    partial = _score(_with_terms(open_, lead), index, k1, b).withColumn("block", F.shiftright("num", BLOCK_BITS))
+    rest_bounds = heads.join(_checked(rest), "term").groupBy(*of_block).agg(F.sum(bound).alias("more"))
+    near = _alive(partial, index).join(open_, of_block).join(rest_bounds, of_block, "left")
+    near = materialise(near.filter(F.col("kth").isNull() | (F.col("score") + F.coalesce("more", F.lit(0.0)) >= F.col("kth"))).select(*of_block, "num", "score"))
+    last = _with_terms(near.select(*of_block).distinct(), rest)
+    chunk = ["query_id", "segment", "num"]
+    rest_scores = _score(last, index, k1, b).join(near.select(*chunk), chunk, "left_semi")
+    late = near.select(*chunk, "score").unionByName(rest_scores).groupBy(*chunk).agg(F.sum("score").alias("score"))
+    scored = found.unionByName(late)
     # Only rows that can be among the best k are looked up; equal scores are told apart by ``ord``.
-    near = R.Window.partitionBy("query_id").orderBy(F.rint(F.col("score") * 10.0**R.SCORE_DIGITS).desc())
-    negative = measured["least"] is not None and measured["least"] < 0
-    kept = scored if negative and zero_fill else scored.withColumn("_r", F.rank().over(near)).filter(F.col("_r") <= k).drop("_r")
-    named = kept.join(index.members.select("segment", "num", "chunk_id", "ord"), ["segment", "num"]).select("chunk_id", "query_id", "score", "ord")
+    negative = least is not None and least < 0
+    if not (negative and zero_fill):
+        equal = Window.partitionBy("query_id").orderBy(F.rint(F.col("score") * 10.0**R.SCORE_DIGITS).desc())
+        scored = scored.withColumn("_r", F.rank().over(equal)).filter(F.col("_r") <= k).drop("_r")
+    named = scored.join(index.members.select("segment", "num", "chunk_id", "ord"), ["segment", "num"]).select("chunk_id", "query_id", "score", "ord")
     if zero_fill:
-        alive = index.members if index.dead is None else index.members.join(index.dead, ["segment", "num"], "left_anti")
-        named = R.with_unmatched(named, questions, alive.select("chunk_id", "ord"), k, negative)
+        named = R.with_unmatched(named, questions, _alive(index.members, index).select("chunk_id", "ord"), k, negative)
     ranked = R.top_k(named, k)
-    return Hits(ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "score"), read, bounds)
+    term = ["segment", "block", "term"]
+    read = _with_terms(first, asked).unionByName(_with_terms(open_, lead)).unionByName(last).join(heads.select(*term), term, "left_semi")
+    return Hits(ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "score"), read.select("query_id", *term))
+
+
+def _checked(side: DataFrame) -> DataFrame:
+    """Broadcast if small enough; the questions' side of a join grows with the batch."""
+    longest = F.length("term") + 40 if "term" in side.columns else F.lit(40)
+    return F.broadcast(side) if is_small(side, longest) else side
+
+
+def _with_terms(blocks: DataFrame, asked: DataFrame) -> DataFrame:
+    return blocks.select("query_id", "segment", "block").join(asked.select("query_id", "term", "weight"), "query_id")
+
+
+def _alive(rows: DataFrame, index: Segments) -> DataFrame:
+    return rows if index.dead is None else rows.join(index.dead, ["segment", "num"], "left_anti")
 
 
-def _score(blocks: DataFrame, asked: DataFrame, index: Segments, k1: float, b: float, small: bool) -> DataFrame:
-    """``(query_id, segment, num, score)`` of the chunks in the chosen blocks of each question."""
-    wanted = blocks.select("query_id", "segment", "block").join(asked.select("query_id", "term", "weight"), "query_id")
-    terms = asked.select("term").distinct()
-    held = index.blocks.join(F.broadcast(terms) if small else terms, "term", "left_semi").select("segment", "block", "term", "posts")
+def _score(wanted: DataFrame, index: Segments, k1: float, b: float) -> DataFrame:
+    """``(query_id, segment, num, score)`` from the postings blocks ``(query_id, segment, block, term, weight)``."""
+    held = index.blocks.select("segment", "block", "term", "posts").join(_checked(wanted.select("term").distinct()), "term", "left_semi")
     met = held.join(wanted, ["segment", "block", "term"]).select("query_id", "segment", "weight", F.explode("posts").alias("p"))
-    sums = met.groupBy("query_id", "segment", F.col("p.num").alias("num")).agg(
-        F.sum(F.col("weight") * _impact(F.col("p.tf"), F.col("p.len"), index.avg_len, k1, b)).alias("score"))
-    return sums if index.dead is None else sums.join(index.dead, ["segment", "num"], "left_anti")
+    weight = F.col("weight") * _impact(F.col("p.tf"), F.col("p.len"), index.avg_len, k1, b)
+    return met.groupBy("query_id", "segment", F.col("p.num").alias("num")).agg(F.sum(weight).alias("score"))
