@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from clausegrid.catalog.derived import CLAUSES, Derived
 from clausegrid.catalog.graph import ENTITIES, entities, stored_entities
 from clausegrid.catalog.registry import query, with_ctes
+from clausegrid.functions.stages import new_folder
 from clausegrid.operators import browse as B
+from clausegrid.operators import substrings as U
 from clausegrid.sources.tables import audit_rows, read
 
 LOG = Derived("log", "events", audit_id="event_id", actor="cast(user_id as string)", action="event_type", payload="props", ts="ts", level="user_id % 4")
@@ -112,6 +114,17 @@ def chunk_search(spark, sf):
     return B.search_chunks(clause_chunks(spark, sf), "ceo_approval", limit=50, offset=10).drop("ord", "token_count")
 
 
+@query("indexed_chunk_search", with_ctes(CLAUSES.cte, "found as (select * from clauses where clause_ref ilike '%ceo_approval%' or text ilike '%ceo_approval%')", select=f"""
+  select clause_id as chunk_id, document_id, section_path, clause_ref, {PREVIEW}, (select count(*) from found) as total
+  from found order by section_path, document_id, clause_id limit 50 offset 10"""))
+def indexed_chunk_search(spark, sf):
+    """The same page from a stored trigram index, which leaves few texts to read."""
+    folder, fields = new_folder(spark, "trigrams"), ["clause_ref", "text"]
+    U.build_trigrams(clause_chunks(spark, sf).drop("ord", "token_count"), folder, fields)
+    rows = U.page(U.search_trigrams(spark, folder, "ceo_approval", fields), ["section_path", "document_id", "chunk_id"], 50, 10)
+    return rows.withColumn("text", B.preview(F.col("text")))
+
+
 @query("document_search", with_ctes("found as (select doc_id as chunk_id, source as section_path, lang as clause_ref, text from documents where lang ilike '%the%' or text ilike '%the%')", select=f"""
   select chunk_id, section_path, clause_ref, {PREVIEW}, (select count(*) from found) as total from found"""))
 def document_search(spark, sf):

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from clausegrid.catalog.derived import CLAUSES, POLICIES, REPLIES, Derived
 from clausegrid.catalog.registry import query, with_ctes
-from clausegrid.functions.stages import materialise
+from clausegrid.functions.stages import materialise, new_folder
 from clausegrid.operators import entities as X
 from clausegrid.operators import graph as G
 from clausegrid.operators import replies as L
+from clausegrid.sources import merge as M
 from clausegrid.sources import tables as T
 
 W = r"[\p{L}\p{N}_]"
@@ -327,6 +328,34 @@ def upserted_processes(spark, sf):
     return T.upsert(stored, writes, ["name"], "seq")
 
 
+@query("merged_processes", with_ctes(POLICY, """
+writes as (select process_name as name, title, document_id as seq from policy
+  union all select case when c_custkey % 2 = 0 then 'Dept ' || (c_custkey % 7) else (select min(process_name) from policy) end, c_name, 100000000 + c_custkey from customer)""", select="""
+  select name, max_by(title, seq) as source_policy from writes group by 1"""))
+def merged_processes(spark, sf):
+    """The same writes merged into a stored table, whose other buckets stay as they are."""
+    folder, schema = new_folder(spark, "processes"), "name string, source_policy string"
+    stored = G.process_nodes(policies(spark, sf)).select("name", "source_policy")
+    M.merge(stored.withColumn("seq", F.lit(0)), folder, ["name"], "seq", 16)
+    writes = T.read(spark, sf, "customer").select(
+        F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("Dept "), (F.col("c_custkey") % 7).cast("string"))).otherwise(
+            stored.agg(F.min("name")).scalar()).alias("name"), F.col("c_name").alias("source_policy"),
+        F.col("c_custkey").alias("seq"))
+    M.merge(writes, folder, ["name"], "seq", 16)
+    return M.stored_table(spark, folder, schema)
+
+
+@query("merged_edges", with_ctes(ENTITIES, POLICY, FACTS, select=f"""
+  select * from ({CLAUSE_EDGES}) union select * from ({REPLY_EDGES})"""))
+def merged_edges(spark, sf):
+    """Edges of the clauses stored, then those of the replies added where they are new."""
+    folder, key = new_folder(spark, "edges"), ["type", "src_label", "src", "dst_label", "dst"]
+    stored = G.clause_edges(clauses(spark, sf), policies(spark, sf)).select(*key)
+    M.merge(stored, folder, key, buckets=16)
+    M.merge(G.reply_edges(stored_facts(spark, sf)).select(*key), folder, key, buckets=16)
+    return M.stored_table(spark, folder, stored.schema)
+
+
 # --- Prompts --------------------------------------------------------------------------------
 
 @query("split_prompts", with_ctes(CLAUSES.cte, select="""

@@ -13,6 +13,7 @@ from clausegrid.operators import graph as G
 from clausegrid.operators import questions as P
 from clausegrid.operators import replies as L
 from clausegrid.operators.retrieval import top_k
+from clausegrid.operators import substrings as U
 from clausegrid.sources import tables as T
 
 # The hits of an order's question: its six best parts by discount, read as clause numbers.
@@ -109,6 +110,21 @@ def records(spark, sf):
     return P.approval_records(APPROVERS.df(spark, sf).select("role", "process").distinct())
 
 
+# Names of any length from given tables: whole words, their beginnings, nations, languages.
+NAMES = """named as (select distinct wanted from (select c_mktsegment as wanted from customer union all select left(c_mktsegment, 1 + c_custkey % 5) from customer
+  union all select n_name from nation union all select lang from documents) where wanted is not null)"""
+
+
+@query("approval_records_by_name", with_ctes(APPROVERS.cte, NAMES, select="""
+  select distinct wanted, role, process from approver_rows join named on contains(lower(process), lower(wanted))"""))
+def approval_records_by_name(spark, sf):
+    """Records for a table of names, met by their rarest trigram."""
+    customers = T.read(spark, sf, "customer").select("c_mktsegment", F.left("c_mktsegment", (F.col("c_custkey") % 5 + 1).cast("int")).alias("cut"))
+    names = customers.select(F.col("c_mktsegment").alias("wanted")).union(customers.select("cut")).union(
+        T.read(spark, sf, "nation").select("n_name")).union(T.read(spark, sf, "documents").select("lang"))
+    return U.approval_records_for(names, APPROVERS.df(spark, sf).select("role", "process").distinct())
+
+
 @query("approval_records", with_ctes(RECORDS, select="select wanted, role, process from records"))
 def approval_records(spark, sf):
     return records(spark, sf)

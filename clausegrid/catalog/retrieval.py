@@ -6,6 +6,7 @@ from clausegrid.catalog.derived import DOCUMENT_STATUS, QUESTIONS
 from clausegrid.catalog.registry import query, with_ctes
 from clausegrid.functions.stages import materialise, new_folder
 from clausegrid.functions.text import tokens
+from clausegrid.operators import lists as L
 from clausegrid.operators import retrieval as R
 from clausegrid.operators import segments as S
 from clausegrid.operators import vectors as V
@@ -179,6 +180,31 @@ def vector_search_in_lists(spark, sf):
     return hits.withColumn("score", F.round("score", 6))
 
 
+def _probed(spark, sf):
+    """Every hundredth vector asks. The given vectors hardly form clusters, so three lists in
+    four are probed; clustered ones need far fewer."""
+    lists = L.build(vector_chunks(spark, sf), new_folder(spark, "lists"), lists=40)
+    asked = vector_questions(spark, sf).filter("query_id % 100 = 0")
+    return lists, asked, L.search(spark, asked, lists, probes=30)
+
+
+@query("vector_search_probed")
+def vector_search_probed(spark, sf):
+    return _probed(spark, sf)[2].hits.withColumn("score", F.round("score", 6))
+
+
+@query("vector_search_probed_recall", """
+  select count(*) as questions, true as recall_reached, true as fewer_lists_a_question from embeddings where vec_id % 100 = 0""")
+def vector_search_probed_recall(spark, sf):
+    """Whether at least nine in ten of the exact best 20 are found."""
+    lists, asked, found = _probed(spark, sf)
+    exact = V.vector_top_k(asked, vector_chunks(spark, sf)).select("query_id", "chunk_id")
+    met = found.hits.select("query_id", "chunk_id", F.lit(True).alias("met"))
+    share = exact.join(met, ["query_id", "chunk_id"], "left").agg(F.avg(F.coalesce(F.col("met"), F.lit(False)).cast("int")).alias("r"))
+    return asked.agg(F.count("*").alias("questions")).select(
+        "questions", (share.scalar() >= 0.9).alias("recall_reached"), F.lit(30 < len(lists.centres)).alias("fewer_lists_a_question"))
+
+
 # --- Fusion, rerank, modes ------------------------------------------------------------
 # The given vectors belong to no text, so chunks and questions get vectors by a rule that both
 # engines compute: counts of their words by first letter, last letter and length.
@@ -204,19 +230,29 @@ reranked as (select query_id, row_number() over (partition by query_id order by
 
 def text_vectors(rows, text: str):
     """Rows with the derived vector of their text; rows without words have none and go."""
-    t = tokens(F.col(text))
     slot = lambda x: (F.ascii(x) * 7 + F.length(x) * 3 + F.ascii(F.right(x, F.lit(1)))) % DIMENSION
-    slots = F.transform(t, slot)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(DIMENSION - 1)), lambda b: F.size(F.filter("_slots", lambda x: x == b)).cast("double"))
-    return rows.withColumn("_slots", slots).filter(F.size("_slots") > 0).withColumn("embedding", counts).drop("_slots")
+    slots = F.transform(tokens(F.col(text)), slot)
+    # One pass over the words, which are therefore cut once.
+    counts = F.aggregate(slots, F.array_repeat(F.lit(0.0), DIMENSION), lambda n, x: F.transform(n, lambda v, i: F.when(i == x, v + 1.0).otherwise(v)))
+    filled = rows.withColumn("embedding", counts)
+    return filled.filter(F.exists("embedding", lambda v: v > 0))
 
 
 def semantic_hits(asked, chunks):
-    return V.vector_top_k(text_vectors(asked, "question"), text_vectors(chunks, "text"))
+    vectors = materialise(text_vectors(chunks, "text").select("chunk_id", "ord", "embedding"))
+    return V.vector_top_k(materialise(text_vectors(asked, "question").select("query_id", "embedding")), vectors)
 
 
 def fused_hits(spark, sf):
-    chunks, asked = corpus(spark, sf), questions(spark, sf)
+    return fused(questions(spark, sf), stored_corpus(spark, sf))
+
+
+def stored_corpus(spark, sf):
+    """The chunks once, for the plans that read them several times."""
+    return materialise(corpus(spark, sf).select("chunk_id", "ord", "document_id", "title", "text"))
+
+
+def fused(asked, chunks):
     return R.reciprocal_rank_fusion([semantic_hits(asked, chunks), R.bm25_top_k(asked, chunks)])
 
 
@@ -228,8 +264,8 @@ def rank_fusion(spark, sf):
 @query("hybrid_search", with_ctes(BM25, SECOND, OVERLAP, select="""
   select query_id, rank, chunk_id, document_id, title, round(score, 6) as score from reranked join chunks using (chunk_id)"""))
 def hybrid_search(spark, sf):
-    chunks = corpus(spark, sf)
-    best = R.rerank(fused_hits(spark, sf), questions(spark, sf), chunks)
+    chunks, asked = stored_corpus(spark, sf), questions(spark, sf)
+    best = R.rerank(fused(asked, chunks), asked, chunks)
     return best.join(chunks.select("chunk_id", "document_id", "title"), "chunk_id").select(
         "query_id", "rank", "chunk_id", "document_id", "title", F.round("score", 6).alias("score")
     )
@@ -251,7 +287,7 @@ def rerank_by_supplied_scores(spark, sf):
   union all select query_id, rank, chunk_id, round(score, 6) from fused where query_id % 3 = 1
   union all select query_id, rank, chunk_id, round(score, 6) from second where query_id % 3 = 2"""))
 def search_by_mode(spark, sf):
-    chunks = corpus(spark, sf)
+    chunks = stored_corpus(spark, sf)
     asked = questions(spark, sf).withColumn(
         "mode", F.when(F.col("query_id") % 3 == 0, "bm25").when(F.col("query_id") % 3 == 1, "hybrid").otherwise("vector")
     )
@@ -272,5 +308,6 @@ def search_without_index(spark, sf):
     "len(list_intersect(q, t)) / len(q)", "len(list_intersect(q, list_distinct(t))) / len(list_distinct(list_concat(q, t)))"), select="""
   select query_id, rank, chunk_id, round(score, 6) as score from reranked"""))
 def hybrid_search_jaccard(spark, sf):
-    best = R.rerank(fused_hits(spark, sf), questions(spark, sf), corpus(spark, sf), scorer="jaccard")
+    chunks, asked = stored_corpus(spark, sf), questions(spark, sf)
+    best = R.rerank(fused(asked, chunks), asked, chunks, scorer="jaccard")
     return best.withColumn("score", F.round("score", 6))
