@@ -24,10 +24,13 @@ def question_history(spark, sf):
     return B.history(ASKED_LOG.df(spark, sf)).select("query_id", "user_id", "question", F.col("n").cast("long").alias("n"))
 
 
-@query("one_user_history", with_ctes(ASKED_LOG.cte, select="""
-  select query_id, question from asked_log where user_id = 7 order by created_at desc, query_id desc limit 50"""))
+ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S') || case when microsecond({0}) % 1000000 <> 0 then strftime({0}, '.%f') else '' end"
+
+
+@query("one_user_history", with_ctes(ASKED_LOG.cte, select=f"""
+  select query_id, question, {ISO.format('created_at')} as created_at from asked_log where user_id = 7 order by asked_log.created_at desc, query_id desc limit 50"""))
 def one_user_history(spark, sf):
-    return B.history(ASKED_LOG.df(spark, sf), user_id=7).select("query_id", "question")
+    return B.history(ASKED_LOG.df(spark, sf), user_id=7).select("query_id", "question", "created_at")
 
 
 @query("feedback_accepted", with_ctes(FEEDBACK.cte, ANSWER_IDS.cte, select="""
@@ -49,9 +52,9 @@ def feedback_of_answers(spark, sf):
     return B.feedback_of(ANSWER_IDS.df(spark, sf), FEEDBACK.df(spark, sf))
 
 
-@query("audit_newest", with_ctes(LOG.cte, select="select audit_id, actor, action, payload from log order by ts desc, audit_id desc limit 100"))
+@query("audit_newest", with_ctes(LOG.cte, select=f"select audit_id, actor, action, payload, {ISO.format('ts')} as ts from log order by log.ts desc, audit_id desc limit 100"))
 def audit_newest(spark, sf):
-    return B.audit(LOG.df(spark, sf)).select("audit_id", "actor", "action", "payload")
+    return B.audit(LOG.df(spark, sf)).select("audit_id", "actor", "action", "payload", "ts")
 
 
 @query("audit_by_action", with_ctes(LOG.cte, select="""

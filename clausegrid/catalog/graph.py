@@ -230,11 +230,11 @@ def candidates(spark, sf):
     return G.conflict_candidates(clauses(spark, sf))
 
 
-def verdicts(spark, sf):
+def verdicts_of(pairs):
     """A judge's reply to every candidate pair."""
     said = F.when((F.col("clause_a") + F.col("clause_b")) % 3 == 0, "Yes, they do.").when(
         (F.col("clause_a") + F.col("clause_b")) % 3 == 1, "no")
-    return candidates(spark, sf).select("clause_a", "clause_b", said.alias("reply"))
+    return pairs.select("clause_a", "clause_b", said.alias("reply"))
 
 
 @query("conflict_candidates", with_ctes(CLAUSES.cte, PAIRS, select="select document_id, clause_a, clause_b, gap, text_a, text_b from pairs"))
@@ -246,7 +246,8 @@ CONFLICTS = edge_sql("CONFLICTS_WITH", "Clause", "clause_a", "Clause", "clause_b
 
 
 def conflict_edges(spark, sf):
-    return G.conflicts_with(candidates(spark, sf), verdicts(spark, sf))
+    pairs = materialise(G.conflict_pairs(clauses(spark, sf)))
+    return G.conflicts_with(pairs, verdicts_of(pairs))
 
 
 @query("conflicts_with", with_ctes(CLAUSES.cte, PAIRS, select=CONFLICTS))
@@ -266,7 +267,7 @@ def all_edges(spark, sf):
     e = stored_entities(spark, sf)
     approve = approvers(spark, sf, e).select(*G.edge("CAN_APPROVE", "Role", "role", "Process", "process"))
     parts = [G.clause_edges(c, p), G.reply_edges(f), G.maps_to(f, p), conflict_edges(spark, sf), G.has_threshold(G.thresholds(e), p), approve]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("graph_summary", with_ctes(ENTITIES, POLICY, APPROVERS, FACTS, PAIRS, ALL_EDGES, select="""
@@ -274,7 +275,7 @@ def all_edges(spark, sf):
 def graph_summary(spark, sf):
     """SUPERSEDES is counted from the number that each policy supersedes, without its pairs."""
     older = G.supersedes(policies(spark, sf)).select(F.lit("SUPERSEDES").alias("type"), F.col("n_superseded").alias("k"))
-    edges = all_edges(spark, sf).select("type", F.lit(1).cast("long").alias("k"))
+    edges = G.edge_counts(all_edges(spark, sf), ["GOVERNS", "CAN_APPROVE"])
     return G.summary(edges.unionByName(older), "type", "k")
 
 

@@ -4,15 +4,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausegrid.functions.sizes import BROADCAST_ROWS
-from clausegrid.functions.text import preview
+from clausegrid.functions.text import iso, preview
+
+
+def _shown(rows: DataFrame, column: str) -> DataFrame:
+    """``column`` as an ISO time, if it is one."""
+    return rows.withColumn(column, iso(F.col(column))) if rows.schema[column].dataType.typeName().startswith("timestamp") else rows
 
 
 def history(queries: DataFrame, user_id=None, limit: int = 50) -> DataFrame:
-    """B1: newest questions of one user, or of every user, ``limit`` each."""
+    """B1: newest questions of one user, or of every user, ``limit`` each; times in ISO form."""
     if user_id is not None:
-        return queries.filter(F.col("user_id") == user_id).orderBy(F.col("created_at").desc(), F.col("query_id").desc()).limit(limit)
+        newest = queries.filter(F.col("user_id") == user_id).orderBy(F.col("created_at").desc(), F.col("query_id").desc()).limit(limit)
+        return _shown(newest, "created_at")
     newest = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), F.col("query_id").desc())
-    return queries.withColumn("n", F.row_number().over(newest)).filter(F.col("n") <= limit)
+    return _shown(queries.withColumn("n", F.row_number().over(newest)).filter(F.col("n") <= limit), "created_at")
 
 
 def submit_feedback(feedback: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -31,14 +37,14 @@ def feedback_of(answers: DataFrame, feedback: DataFrame) -> DataFrame:
 
 
 def audit(log: DataFrame, action: str | None = None, actor: str | None = None, limit: int | None = 100) -> DataFrame:
-    """Newest audit rows, optionally of one action or actor; ties by ``audit_id``."""
+    """Newest audit rows, optionally of one action or actor; ties by ``audit_id``; times in ISO form."""
     rows = log
     if action:
         rows = rows.filter(F.col("action") == action)
     if actor:
         rows = rows.filter(F.col("actor") == actor)
     rows = rows.orderBy(F.col("ts").desc(), F.col("audit_id").desc())
-    return rows if limit is None else rows.limit(limit)
+    return _shown(rows if limit is None else rows.limit(limit), "ts")
 
 
 def document_list(documents: DataFrame, chunks: DataFrame, entities: DataFrame, limit: int | None = 50, offset: int = 0) -> DataFrame:

@@ -199,6 +199,15 @@ def maps_to(facts: DataFrame, policies: DataFrame) -> DataFrame:
     return known.select(*edge("MAPS_TO", "Policy", "document_id", "Regulation", "regulation"))
 
 
+def conflict_pairs(clauses: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(clause_a, clause_b) of ``conflict_candidates``, without moving their texts."""
+    long = clauses.filter(F.length("text") > 50).select(
+        "document_id", "ord", "clause_id", F.split(F.coalesce("section_path", F.lit("")), ">")[0].alias("section"))
+    near = with_neighbours(long, ["document_id"], "ord", ["clause_id", "section"], 0, NEIGHBOURS, block_rows)
+    return near.select(F.col("clause_id").alias("clause_a"), "section", F.explode("next").alias("n")).filter("n.section = section").select(
+        "clause_a", F.col("n.clause_id").alias("clause_b"))
+
+
 def conflict_candidates(clauses: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Each clause longer than 50 characters with the next four of its document, if
     both lie in the same top section. Texts are cut to 300 characters."""
@@ -222,6 +231,16 @@ def conflicts_with(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
         *edge("CONFLICTS_WITH", "Clause", "clause_a", "Clause", "clause_b")).distinct()
 
 
+def edge_counts(edges: DataFrame, shared_types: list[str]) -> DataFrame:
+    """(type, k): rows whose counts add up to the distinct edges of each type. Only edges of
+    ``shared_types``, which several sources may give, are told apart; the labels of both ends
+    follow from the type. Edges of other types are distinct already and collapse into one
+    count per task."""
+    pair = F.when(F.col("type").isin(shared_types), F.struct("src", "dst"))
+    return edges.groupBy("type", pair.alias("pair")).agg(F.count("*").alias("n")).select(
+        "type", F.when(F.col("pair").isNull(), F.col("n")).otherwise(F.lit(1)).cast("long").alias("k"))
+
+
 def summary(things: DataFrame, column: str, weight: str | None = None) -> DataFrame:
     """Count per label or type and the total (null label), largest first. ``weight``
     names a column of counts, for rows that each stand for several things."""

@@ -103,3 +103,17 @@ def test_falsy_reply_values_go_by_their_type(spark, value, want):
     df = spark.createDataFrame([(1, 2, f'Sure: {{"role": {value}}}')], "clause_id long, document_id long, reply string")
     parsed = L.parse_entity_replies(df)
     assert parsed.select(L.first_value("role").alias("v")).first().v == want
+
+
+def test_pairs_are_those_of_the_candidates(spark):
+    rows = [(d, i, d * 100 + i, f"{i % 3} > a", ("x" * (40 + i * 7 % 30))) for d in range(3) for i in range(20)]
+    clauses = spark.createDataFrame(rows, "document_id long, ord long, clause_id long, section_path string, text string")
+    want = sorted((r.clause_a, r.clause_b) for r in G.conflict_candidates(clauses, 4).collect())
+    assert sorted(map(tuple, G.conflict_pairs(clauses, 4).collect())) == want and want
+
+
+def test_edge_counts_tell_shared_types_apart(spark):
+    rows = [("GOVERNS", "Clause", "1", "Process", "p")] * 3 + [("GOVERNS", "Clause", "2", "Process", "p"), ("PART_OF", "Clause", "1", "Policy", "9"), ("PART_OF", "Clause", "2", "Policy", "9")]
+    edges = spark.createDataFrame(rows, "type string, src_label string, src string, dst_label string, dst string").repartition(3)
+    counts = G.summary(G.edge_counts(edges, ["GOVERNS"]), "type", "k").collect()
+    assert {r.type: r.n for r in counts} == {None: 4, "GOVERNS": 2, "PART_OF": 2}
