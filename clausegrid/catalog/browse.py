@@ -155,3 +155,24 @@ def entity_browse(spark, sf):
     quantile_disc(latency_ms, 0.95) as p95_ms, max(latency_ms) as max_ms from calls group by 1"""))
 def call_outcomes(spark, sf):
     return B.call_outcomes(CALLS.df(spark, sf)).withColumn("success_rate", F.round("success_rate", 6))
+
+
+@query("call_outcomes_of_days", with_ctes("""timed as (select event_type as tool, value < 30 as success, cast(floor(value * 10) as bigint) as latency_ms from events
+  where ts >= timestamp '2024-01-08' and ts < timestamp '2024-01-22')""", select="""
+  select tool, count(*) as calls, round(avg(success::int), 6) as success_rate, max(latency_ms) as max_ms, true as p50_within, true as p95_within from timed group by 1"""))
+def call_outcomes_of_days(spark, sf):
+    """Two weeks from stored daily sketches; the ranks of their percentiles are then counted."""
+    folder = new_folder(spark, "sketches")
+    events = read(spark, sf, "events").select(
+        F.col("event_type").alias("tool"), F.to_date("ts").alias("day"), (F.col("value") < 30).alias("success"), F.floor(F.col("value") * 10).cast("long").alias("latency_ms"))
+    B.call_sketches(events).write.partitionBy("day").parquet(folder)
+    span = (F.col("day") >= F.lit("2024-01-08").cast("date")) & (F.col("day") < F.lit("2024-01-22").cast("date"))
+    found = B.outcomes_of_sketches(spark.read.parquet(folder).filter(span))
+
+    def within(p, column):
+        below, up_to = F.avg((F.col("latency_ms") < F.col(column)).cast("int")), F.avg((F.col("latency_ms") <= F.col(column)).cast("int"))
+        return (below <= p + B.RANK_ERROR) & (up_to >= p - B.RANK_ERROR)
+
+    ranks = events.filter(span).join(found.select("tool", "p50_ms", "p95_ms"), "tool").groupBy("tool").agg(
+        within(0.5, "p50_ms").alias("p50_within"), within(0.95, "p95_ms").alias("p95_within"))
+    return found.join(ranks, "tool").select("tool", "calls", F.round("success_rate", 6).alias("success_rate"), "max_ms", "p50_within", "p95_within")

@@ -133,3 +133,29 @@ def call_outcomes(calls: DataFrame, accuracy: int = 100_000) -> DataFrame:
     return calls.groupBy("tool").agg(
         F.count("*").alias("calls"), F.avg(F.col("success").cast("double")).alias("success_rate"),
         share(0.5).alias("p50_ms"), share(0.95).alias("p95_ms"), F.max("latency_ms").alias("max_ms"))
+
+
+#: Entries per level of a sketch, and the rank error it keeps with 99 % confidence.
+SKETCH_K, RANK_ERROR = 400, 0.01
+
+
+def call_sketches(calls: DataFrame, k: int = SKETCH_K) -> DataFrame:
+    """Calls ``(tool, day, success, latency_ms)`` as one row per tool and day: counts, the
+    greatest latency and a KLL sketch of all latencies. Sketches are merged on the map side,
+    so no task holds the calls of a tool. Store them by day and later spans need no calls."""
+    return calls.groupBy("tool", "day").agg(
+        F.count("*").alias("calls"), F.count_if(F.col("success")).alias("succeeded"), F.count("success").alias("judged"),
+        F.max("latency_ms").alias("max_ms"), F.kll_sketch_agg_bigint("latency_ms", F.lit(k)).alias("sketch"))
+
+
+def outcomes_of_sketches(sketches: DataFrame) -> DataFrame:
+    """``call_outcomes`` of the days in ``sketches``, from merged sketches alone; the
+    percentiles are latencies whose rank is within ``RANK_ERROR``."""
+    merged = sketches.groupBy("tool").agg(
+        F.sum("calls").alias("calls"), (F.sum("succeeded") / F.sum("judged")).alias("success_rate"),
+        F.max("max_ms").alias("max_ms"), F.kll_merge_agg_bigint("sketch").alias("_all"))
+
+    def share(p: float) -> Column:
+        return F.kll_sketch_get_quantile_bigint("_all", F.lit(p))
+
+    return merged.select("tool", "calls", "success_rate", share(0.5).alias("p50_ms"), share(0.95).alias("p95_ms"), "max_ms")
