@@ -7,6 +7,7 @@ from clausegrid.catalog.graph import ENTITIES, entities, stored_entities
 from clausegrid.catalog.registry import query, with_ctes
 from clausegrid.functions.stages import new_folder
 from clausegrid.operators import browse as B
+from clausegrid.operators import pages as P
 from clausegrid.operators import substrings as U
 from clausegrid.sources.tables import audit_rows, read
 
@@ -176,3 +177,13 @@ def call_outcomes_of_days(spark, sf):
     ranks = events.filter(span).join(found.select("tool", "p50_ms", "p95_ms"), "tool").groupBy("tool").agg(
         within(0.5, "p50_ms").alias("p50_within"), within(0.95, "p95_ms").alias("p95_within"))
     return found.join(ranks, "tool").select("tool", "calls", F.round("success_rate", 6).alias("success_rate"), "max_ms", "p50_within", "p95_within")
+
+
+@query("audit_page_deep", with_ctes(LOG.cte, select="""
+  select audit_id, actor, action, place from (select *, row_number() over (order by ts desc, audit_id desc) - 1 as place, count(*) over () // 2 as middle from log)
+  where place >= middle and place < middle + 50"""))
+def audit_page_deep(spark, sf):
+    """The page in the middle of the log."""
+    folder = new_folder(spark, "pages")
+    P.store_ordered(LOG.df(spark, sf).select("audit_id", "actor", "action", "ts"), [F.col("ts").desc(), F.col("audit_id").desc()], folder, 10_000)
+    return P.page(spark, folder, P.total(spark, folder) // 2, 50).drop("ts")
