@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from clausegrid.catalog import browse, graph, questions, retrieval, structure  # noqa: F401
+from clausegrid.catalog import browse, graph, models, questions, retrieval, streams, structure  # noqa: F401
