@@ -73,14 +73,14 @@ def postings_by_chunk(spark, sf):
 
 @query("bm25_search", with_ctes(BM25, select="select query_id, rank, chunk_id, round(score, 6) as score from lexical"))
 def bm25_search(spark, sf):
-    return R.bm25_top_k(questions(spark, sf), corpus(spark, sf)).withColumn("score", F.round("score", 6))
+    return R.bm25_top_k(questions(spark, sf), stored_corpus(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 @query("bm25_search_matches_only", with_ctes(BM25, select="""
   select query_id, row_number() over (partition by query_id order by round(score, 9) desc, pos) as rank,
          chunk_id, round(score, 6) as score from matched qualify rank <= 20"""))
 def bm25_search_matches_only(spark, sf):
-    hits = R.bm25_top_k(questions(spark, sf), corpus(spark, sf), zero_fill=False)
+    hits = R.bm25_top_k(questions(spark, sf), stored_corpus(spark, sf), zero_fill=False)
     return hits.withColumn("score", F.round("score", 6))
 
 
