@@ -322,9 +322,9 @@ def test_decontamination(spark, none):
     want = collections.Counter()
     for i, t in rows:
         for j, p in passages:
-            if t and p and len(p) >= decontamination.Q:
+            if t and p and len(p) >= decontamination.SHORTEST:
                 m = decontamination.normal(p)
-                most = min(int(decontamination.BUDGET * len(m)), (len(m) - 8) // 8)
+                most = int(decontamination.BUDGET * len(m))
                 d = edit_distance_inside(m, decontamination.normal(t))
                 if d <= most:
                     want[(i, j, d)] += 1
@@ -341,6 +341,58 @@ def test_decontamination(spark, none):
     assert decontamination.matches(df, bench.limit(0)).count() == 0
 
 
+def test_short_passages_keep_their_edits():
+    """13 to 15 bytes allow one edit, which may leave no gram of eight."""
+    for size in range(8, 17):
+        passage = "abcdefghijklmnopqrst"[:size]
+        found = decontamination.index([(1, passage), (2, passage), (3, passage[:7])])
+        for at in range(size):
+            text = "zz " * 9 + passage[:at] + "#" + passage[at + 1 :] + " yy" * 9
+            d = edit_distance_inside(passage.encode(), text.encode())
+            want = [(1, d), (2, d)] if d <= int(decontamination.BUDGET * size) else []
+            assert [(r[0], r[1]) for r in decontamination.find(text.encode(), found)] == want, (size, at)
+
+
+@pytest.mark.parametrize("budget", [0.0, 0.08, 0.2, 0.45])
+def test_every_passage_within_its_budget_is_found(budget, monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(decontamination, "SLICE", 40)
+    monkeypatch.setattr(decontamination, "CELLS", 200)
+    for _ in range(60):
+        letters = "ab" if rng.random() < 0.5 else "abcdefghij"
+        passages = ["".join(rng.choices(letters, k=rng.randrange(8, 40))) for _ in range(6)]
+        text = "".join(rng.choices(letters, k=60))
+        for p in passages[:3]:
+            p = list(p)
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(p))
+                p[at : at + rng.randrange(2)] = rng.choice([["q"], [], ["q", "r"]])
+            text += "".join(p) + "".join(rng.choices(letters, k=30))
+        want = {(i, d) for i, p in enumerate(passages) if (d := edit_distance_inside(p.encode(), text.encode())) <= int(budget * len(p))}
+        regions = decontamination.find(text.encode(), decontamination.index(list(enumerate(passages)), budget))
+        least = {}
+        for i, d, a, b in regions:
+            least[i] = min(d, least.get(i, d))
+            assert edit_distance_inside(passages[i].encode(), text[a:b].encode()) <= d
+        assert set(least.items()) == want
+
+
+def test_one_letter_against_passages_of_it():
+    """Memory and time do not grow with the number of shared grams, only with the text."""
+    import tracemalloc
+
+    found = decontamination.index([(i, "=" * (60 + i)) for i in range(50)])
+    peaks = []
+    for size in (4_000, 16_000):
+        tracemalloc.start()
+        regions = decontamination.find(b"=" * size, found)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert {r[0] for r in regions if r[1] == 0} == set(range(50))
+        assert sum(r[:2] == (0, 0) for r in regions) >= size // 60 // 2
+    assert peaks[1] < 150e6 and peaks[1] < 2 * peaks[0]
+
+
 def base_rules(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
