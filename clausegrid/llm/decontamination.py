@@ -208,11 +208,15 @@ def bands(at: np.ndarray, slot: np.ndarray, p: Passages) -> Iterator[tuple[np.nd
         done = ahead[here - 1] if here else 0
         upto = max(here + 1, int(np.searchsorted(ahead, done + SLICE, "right")))
         more, n = _half_counts(at[here:upto], slot[here:upto], p)
-        keys, back = np.unique(np.r_[keys, more], return_inverse=True)
-        counts = np.bincount(back, np.r_[counts, n], len(keys)).astype(np.int64)
+        if len(keys):
+            keys, back = np.unique(np.r_[keys, more], return_inverse=True)
+            counts = np.bincount(back, np.r_[counts, n], len(keys)).astype(np.int64)
+        else:
+            keys, counts = more, n
         here = upto
         now = int(at[here]) if here < len(at) else _OFFSET
-        candidates = np.union1d(keys, keys - 1)
+        strong = keys[2 * counts >= p.least[keys // (2 * _OFFSET)]]  # one half of every band that meets its bound
+        candidates = np.unique(np.r_[strong, strong - 1])
         item, band = candidates // (2 * _OFFSET), candidates % (2 * _OFFSET) - _OFFSET
         end = last(item, band + 1)
         ready = (end >= passed) & (end < now)
@@ -223,6 +227,8 @@ def bands(at: np.ndarray, slot: np.ndarray, p: Passages) -> Iterator[tuple[np.nd
             shared += np.where(keys[spot] == k, counts[spot], 0)
         enough = shared >= p.least[item]
         yield item[enough], band[enough]
+        if here == len(at):
+            return
         open_ = last(keys // (2 * _OFFSET), keys % (2 * _OFFSET) - _OFFSET + 1) >= now
         keys, counts, passed = keys[open_], counts[open_], now
 
