@@ -84,10 +84,13 @@ def bm25_search_matches_only(spark, sf):
     return hits.withColumn("score", F.round("score", 6))
 
 
-@query("bm25_search_by_access", with_ctes(BM25, select="""
+BY_ACCESS = with_ctes(BM25, select="""
   select query_id, row_number() over (partition by query_id order by s.score desc, s.pos) as rank,
          chunk_id, round(s.score, 6) as score
-  from scored s join chunks c using (chunk_id) where c.lang in ('en', 'de') qualify rank <= 20"""))
+  from scored s join chunks c using (chunk_id) where c.lang in ('en', 'de') qualify rank <= 20""")
+
+
+@query("bm25_search_by_access", BY_ACCESS)
 def bm25_search_by_access(spark, sf):
     tagged = corpus(spark, sf).join(
         DOCUMENT_STATUS.df(spark, sf).select("document_id", F.array("lang").alias("access_tags")), "document_id"
@@ -124,6 +127,20 @@ def bm25_search_segments(spark, sf):
     return S.search(questions(spark, sf), S.load(spark, folder)).hits.withColumn("score", F.round("score", 6))
 
 
+@query("bm25_search_by_access_bitmaps", BY_ACCESS)
+def bm25_search_by_access_bitmaps(spark, sf):
+    """The bitmaps of the tags, kept over a delete and a merge, decide which blocks are read."""
+    folder = new_folder(spark, "segments")
+    status = DOCUMENT_STATUS.df(spark, sf).select("document_id", "status", F.array("lang").alias("access_tags"))
+    chunks = materialise(line_chunks(read(spark, sf, "documents")).select("chunk_id", "ord", "document_id", "text").join(status, "document_id"))
+    for batch in (0, 1):
+        S.add(chunks.filter(F.col("document_id") % 2 == batch), folder)
+    S.merge(spark, folder)
+    S.delete(chunks.filter("status <> 'active'").select("chunk_id"), folder)
+    hits = S.search(questions(spark, sf), S.load(spark, folder), allowed_tags=["en", "de"]).hits
+    return hits.withColumn("score", F.round("score", 6))
+
+
 # Few words, one of them in most chunks: weights below zero beside chunks that match nothing.
 @query("bm25_search_few_words", with_ctes(BM25.replace(
     "l.text, s.title", "case when l.ord % 9 = 0 then 'rare' when l.ord % 9 < 8 then 'common' else 'common other' end as text, s.title").replace(

@@ -1,4 +1,4 @@
-"""A lexical index in immutable segments, searched by block-max pruning.
+"""A lexical index in immutable segments, searched by block-max pruning.
 
 A segment holds the postings of one batch of chunks. Chunks are numbered in corpus order and
 cut into blocks of ``BLOCK`` chunks; a row of ``blocks`` is one term in one block with its
@@ -7,7 +7,8 @@ a block follows from the peaks alone and stays exact when the mean length, k1 or
 
 Adding a batch writes a segment, deleting chunks writes tombstones with the document
 frequencies they take away, and merging writes one segment in place of several small ones;
-nothing else is touched. A change counts once its version of the manifest is written, so a
+nothing else is touched. A segment also holds, per access tag and block, a bitmap of the chunks
+with that tag; a search for given tags intersects them with the blocks before it decodes any. A change counts once its version of the manifest is written, so a
 reader or a run that broke off sees the index before or after it.
 """
 
@@ -24,7 +25,7 @@ from clausegrid.functions.text import tokens
 from clausegrid.operators import retrieval as R
 from clausegrid.operators.ordered import numbered
 
-BLOCK_BITS = 4
+BLOCK_BITS = 4  # at most 6, as the bitmap of a block is one integer
 TIER = 4  # segments of the same size class, a power of TIER, are merged
 SLACK = 1e-7  # sums in another order may differ by less
 MANIFEST = "kind string, name string, n long, total long, version long"
@@ -40,6 +41,7 @@ class Segments(NamedTuple):
     n_chunks: int
     avg_len: float
     names: list[str]
+    access: DataFrame | None = None  # segment, tag, block, mask
 
 
 def _manifest(spark: SparkSession, folder: str) -> tuple[int, list]:
@@ -64,9 +66,20 @@ def _next_name(version: int) -> str:
     return f"v{version + 1:08d}"
 
 
-def _write_segment(spark: SparkSession, folder: str, name: str, words: DataFrame, members: DataFrame) -> tuple:
+def _place(num: Column) -> Column:
+    """The bit of a chunk in the bitmap of its block."""
+    return num.bitwiseAND((1 << BLOCK_BITS) - 1).cast("int")
+
+
+def _masks(rows: DataFrame, *by: str) -> DataFrame:
+    """Bitmaps ``(*by, block, mask)`` of the chunks ``num``."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), _place(F.col("num")))
+    return rows.groupBy(*by, F.shiftright("num", BLOCK_BITS).alias("block")).agg(F.bit_or(bit).alias("mask"))
+
+
+def _write_segment(spark: SparkSession, folder: str, name: str, words: DataFrame, members: DataFrame, tags: DataFrame) -> tuple:
     """``words (block, num, len, term, tf)``, dealt out by block so that the groupings need no
-    further exchange, and ``members (num, chunk_id, ord, len)`` as a segment."""
+    further exchange, ``members (num, chunk_id, ord, len)`` and ``tags (num, tag)`` as a segment."""
     by_tf = words.groupBy("block", "term", "tf").agg(
         F.min("len").alias("least"), F.collect_list(F.struct("num", "tf", "len")).alias("posts"))
     blocks = by_tf.groupBy("block", "term").agg(
@@ -74,6 +87,8 @@ def _write_segment(spark: SparkSession, folder: str, name: str, words: DataFrame
     path = f"{folder}/segments/{name}"
     blocks.withColumn("segment", F.lit(name)).sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/blocks")
     members.withColumn("segment", F.lit(name)).write.mode("overwrite").parquet(f"{path}/members")
+    access = _masks(tags.filter("tag is not null"), "tag").withColumn("segment", F.lit(name))
+    access.repartitionByRange("tag", "block").sortWithinPartitions("tag", "block").write.mode("overwrite").parquet(f"{path}/access")
     stored = spark.read.parquet(f"{path}/blocks")
     stored.groupBy("term").agg(F.sum("n").alias("df")).withColumn("segment", F.lit(name)).write.mode("overwrite").parquet(f"{path}/counts")
     size = spark.read.parquet(f"{path}/members").agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total")).first()
@@ -81,16 +96,18 @@ def _write_segment(spark: SparkSession, folder: str, name: str, words: DataFrame
 
 
 def add(chunks: DataFrame, folder: str) -> str:
-    """Add a batch of chunks ``(chunk_id, ord, text)``; ids must not be in the index. The batch's
-    texts are read once, and no other segment is."""
+    """Add a batch of chunks ``(chunk_id, ord, text)`` and, if there, ``access_tags``; ids must not
+    be in the index. Chunks without tags are seen by searches without an access filter only. The
+    batch's texts are read once, and no other segment is."""
     spark = chunks.sparkSession
     version, parts = _manifest(spark, folder)
     name = _next_name(version)
-    cut = chunks.select("chunk_id", "ord", tokens(F.col("text")).alias("t")).filter(F.size("t") > 0)
+    tags = F.col("access_tags") if "access_tags" in chunks.columns else F.array().cast("array<string>")
+    cut = chunks.select("chunk_id", "ord", tokens(F.col("text")).alias("t"), tags.alias("tags")).filter(F.size("t") > 0)
     rows = numbered(cut, [], "ord", "num").withColumn("len", F.size("t"))
     blocked = rows.select(F.shiftright("num", BLOCK_BITS).alias("block"), "num", "len", "t").repartition("block")
     words = blocked.select("block", "num", "len", F.explode("t").alias("term")).groupBy("block", "num", "len", "term").agg(F.count("*").cast("int").alias("tf"))
-    part = _write_segment(spark, folder, name, words, rows.select("num", "chunk_id", "ord", "len"))
+    part = _write_segment(spark, folder, name, words, rows.select("num", "chunk_id", "ord", "len"), rows.select("num", F.explode("tags").alias("tag")))
     _publish(spark, folder, version + 1, [*_kept(parts), part])
     return name
 
@@ -167,7 +184,12 @@ def merge(spark: SparkSession, folder: str, names: list[str] | None = None, tier
     posts = _read(spark, folder, names, "blocks").select("segment", "term", F.explode("posts").alias("p")).select(
         "segment", "term", F.col("p.num").alias("was"), F.col("p.tf").alias("tf"), F.col("p.len").alias("len"))
     words = posts.join(renumbered.select("segment", "was", "num"), ["segment", "was"]).select(F.shiftright("num", BLOCK_BITS).alias("block"), "num", "len", "term", "tf").repartition("block")
-    part = _write_segment(spark, folder, name, words, renumbered.select("num", "chunk_id", "ord", "len"))
+    places = F.filter(F.sequence(F.lit(0), F.lit((1 << BLOCK_BITS) - 1)), lambda i: F.getbit("mask", i) == 1)
+    first = F.call_function("shiftleft", F.col("block"), F.lit(BLOCK_BITS))
+    tags = _read(spark, folder, names, "access").select("segment", "tag", first.alias("first"), F.explode(places).alias("i")).select(
+        "segment", "tag", (F.col("first") + F.col("i")).alias("was"))
+    tags = tags.join(renumbered.select("segment", "was", "num"), ["segment", "was"]).select("num", "tag")
+    part = _write_segment(spark, folder, name, words, renumbered.select("num", "chunk_id", "ord", "len"), tags)
     left = set(sizes) - set(names)
     keep = _kept(parts, set(names))
     if not left:  # every tombstone was for a merged segment
@@ -191,7 +213,8 @@ def load(spark: SparkSession, folder: str) -> Segments:
         less = dead.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total")).first()
         n, total = n - less["n"], total - less["total"]
     counts = counts.groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
-    return Segments(_read(spark, folder, names, "blocks"), _read(spark, folder, names, "members"), counts, None if dead is None else dead.select("segment", "num"), n, total / n if n else 1.0, names)
+    return Segments(_read(spark, folder, names, "blocks"), _read(spark, folder, names, "members"), counts, None if dead is None else dead.select("segment", "num"), n, total / n if n else 1.0, names,
+                    _read(spark, folder, names, "access"))
 
 
 def _impact(tf: Column, length: Column, avg_len: float, k1: float, b: float) -> Column:
@@ -209,6 +232,7 @@ class Hits(NamedTuple):
 def search(
     questions: DataFrame, index: Segments, k: int = fixed.TOP_K_RETRIEVAL, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B,
     epsilon: float = fixed.BM25_EPSILON, zero_fill: bool = True, first_blocks: int | None = None,
+    allowed_tags: list[str] | None = None,
 ) -> Hits:
     """R4 with the rows of ``bm25_top_k``, decoding only postings that can matter for the best k.
 
@@ -218,6 +242,10 @@ def search(
     by the other words, in blocks whose bound reaches the threshold, and only for chunks whose
     score so far and bounds of the rest still reach it are the blocks of the common words read.
     A question without k positive scores has no threshold and reads everything.
+
+    ``allowed_tags`` (R10): only chunks with one of these tags are hits; the statistics stay those
+    of the whole corpus. The bitmaps of the tags are united, what tombstones took is cleared, and
+    blocks without a bit left are neither bounded nor decoded.
     """
     counted = materialise(index.counts)
     size = R.Index(None, counted, None, index.n_chunks, index.avg_len)
@@ -231,12 +259,15 @@ def search(
     peak = F.array_max(F.transform("peaks", lambda p: _impact(p["tf"], p["len"], index.avg_len, k1, b)))
     # One row per term and block, without the postings; the texts of all questions share it.
     heads = materialise(index.blocks.select("segment", "block", "term", peak.alias("peak")).join(_checked(asked.select("term").distinct()), "term", "left_semi"))
+    seen = None if allowed_tags is None else materialise(_visible(index, allowed_tags))
+    if seen is not None:
+        heads = materialise(heads.join(seen, ["segment", "block"], "left_semi"))
     of_block = ["query_id", "segment", "block"]
     bound = F.greatest("weight", F.lit(0.0)) * F.col("peak")
     bounds = materialise(heads.join(_checked(asked), "term").groupBy(*of_block).agg(F.sum(bound).alias("bound")))
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "segment", "block"))
     first = materialise(bounds.withColumn("_nth", nth).filter(F.col("_nth") <= (first_blocks or 2 * k)).select(*of_block))
-    found = materialise(_alive(_score(_with_terms(first, asked), index, k1, b), index))
+    found = materialise(_alive(_score(_with_terms(first, asked), index, k1, b, seen), index))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc())
     kth = found.filter("score > 0").withColumn("_r", F.row_number().over(best)).filter(F.col("_r") == k).select("query_id", (F.col("score") - SLACK).alias("kth"))
     # The words with the most blocks for their reach, as long as their sum stays below the threshold.
@@ -247,13 +278,13 @@ def search(
     thresholds = parted.groupBy("query_id").agg(F.max("kth").alias("kth"))
     open_ = bounds.join(first, of_block, "left_anti").join(_checked(thresholds), "query_id").filter(F.col("kth").isNull() | (F.col("bound") >= F.col("kth")))
     open_ = materialise(open_.select(*of_block, "kth"))
-    partial = _score(_with_terms(open_, lead), index, k1, b).withColumn("block", F.shiftright("num", BLOCK_BITS))
+    partial = _score(_with_terms(open_, lead), index, k1, b, seen).withColumn("block", F.shiftright("num", BLOCK_BITS))
     rest_bounds = heads.join(_checked(rest), "term").groupBy(*of_block).agg(F.sum(bound).alias("more"))
     near = _alive(partial, index).join(open_, of_block).join(rest_bounds, of_block, "left")
     near = materialise(near.filter(F.col("kth").isNull() | (F.col("score") + F.coalesce("more", F.lit(0.0)) >= F.col("kth"))).select(*of_block, "num", "score"))
     last = _with_terms(near.select(*of_block).distinct(), rest)
     chunk = ["query_id", "segment", "num"]
-    rest_scores = _score(last, index, k1, b).join(near.select(*chunk), chunk, "left_semi")
+    rest_scores = _score(last, index, k1, b, seen).join(near.select(*chunk), chunk, "left_semi")
     late = near.select(*chunk, "score").unionByName(rest_scores).groupBy(*chunk).agg(F.sum("score").alias("score"))
     scored = found.unionByName(late)
     # Only rows that can be among the best k are looked up; equal scores are told apart by ``ord``.
@@ -263,7 +294,7 @@ def search(
         scored = scored.withColumn("_r", F.rank().over(equal)).filter(F.col("_r") <= k).drop("_r")
     named = scored.join(index.members.select("segment", "num", "chunk_id", "ord"), ["segment", "num"]).select("chunk_id", "query_id", "score", "ord")
     if zero_fill:
-        named = R.with_unmatched(named, questions, _alive(index.members, index).select("chunk_id", "ord"), k, negative)
+        named = R.with_unmatched(named, questions, _seen_members(index, seen).select("chunk_id", "ord"), k, negative)
     ranked = R.top_k(named, k)
     term = ["segment", "block", "term"]
     read = _with_terms(first, asked).unionByName(_with_terms(open_, lead)).unionByName(last).join(heads.select(*term), term, "left_semi")
@@ -284,9 +315,28 @@ def _alive(rows: DataFrame, index: Segments) -> DataFrame:
     return rows if index.dead is None else rows.join(index.dead, ["segment", "num"], "left_anti")
 
 
-def _score(wanted: DataFrame, index: Segments, k1: float, b: float) -> DataFrame:
+def _visible(index: Segments, allowed_tags: list[str]) -> DataFrame:
+    """Bitmaps ``(segment, block, mask)`` of the live chunks with one of the tags; none are empty."""
+    masks = index.access.filter(F.col("tag").isin(list(allowed_tags))).groupBy("segment", "block").agg(F.bit_or("mask").alias("mask"))
+    if index.dead is not None:
+        gone = _masks(index.dead, "segment").withColumnRenamed("mask", "gone")
+        left = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("gone", F.lit(0).cast("long"))))
+        masks = masks.join(gone, ["segment", "block"], "left").select("segment", "block", left.alias("mask"))
+    return masks.filter("mask <> 0")
+
+
+def _seen_members(index: Segments, seen: DataFrame | None) -> DataFrame:
+    if seen is None:
+        return _alive(index.members, index)
+    placed = index.members.withColumn("block", F.shiftright("num", BLOCK_BITS))
+    return placed.join(seen, ["segment", "block"]).filter(F.getbit("mask", _place(F.col("num"))) == 1)
+
+
+def _score(wanted: DataFrame, index: Segments, k1: float, b: float, seen: DataFrame | None = None) -> DataFrame:
     """``(query_id, segment, num, score)`` from the postings blocks ``(query_id, segment, block, term, weight)``."""
     held = index.blocks.select("segment", "block", "term", "posts").join(_checked(wanted.select("term").distinct()), "term", "left_semi")
+    if seen is not None:
+        held = held.join(seen, ["segment", "block"]).withColumn("posts", F.filter("posts", lambda p: F.getbit("mask", _place(p["num"])) == 1))
     met = held.join(wanted, ["segment", "block", "term"]).select("query_id", "segment", "weight", F.explode("posts").alias("p"))
     weight = F.col("weight") * _impact(F.col("p.tf"), F.col("p.len"), index.avg_len, k1, b)
     return met.groupBy("query_id", "segment", F.col("p.num").alias("num")).agg(F.sum(weight).alias("score"))

@@ -139,3 +139,41 @@ def test_negative_weights_with_many_unmatched(spark, tmp_path, small_blocks, mon
     assert got == scores
     S.add(chunks, str(tmp_path / "index"))
     assert rows(S.search(asked, S.load(spark, str(tmp_path / "index")), 30).hits) == rows(hits)
+
+
+@pytest.mark.parametrize("zero_fill", [True, False])
+def test_access_bitmaps_equal_the_row_filter(spark, tmp_path, small_blocks, zero_fill):
+    rng, folder = random.Random(6), str(tmp_path / "index")
+    held = {0: None, 1: [], 2: ["a"], 3: ["b", "a"], 4: ["c", None, "c"], 5: ["b"]}
+    data = [(*r, held[rng.randrange(6)]) for r in texts(120)]
+    chunks = spark.createDataFrame(data, CHUNKS + ", access_tags array<string>").cache()
+    asked = spark.createDataFrame([(1, "the w3 w9"), (2, "of and"), (3, "unknown")], "query_id long, question string")
+    S.add(chunks.filter("chunk_id < 50"), folder)
+    S.add(chunks.filter("chunk_id >= 50 and chunk_id < 110"), folder)
+    S.merge(spark, folder, S.load(spark, folder).names)
+    S.add(chunks.filter("chunk_id >= 110"), folder)
+    S.delete(chunks.filter("chunk_id % 7 = 3").select("chunk_id"), folder)
+    live, index = chunks.filter("chunk_id % 7 <> 3"), S.load(spark, folder)
+    every = [["a"], ["b"], ["c"], ["a", "b"], ["a", "c"], ["b", "c"], ["a", "b", "c"], ["none"]]
+    for tags in every if zero_fill else every[::3]:
+        got = S.search(asked, index, 7, zero_fill=zero_fill, first_blocks=1, allowed_tags=tags)
+        assert rows(got.hits) == rows(R.bm25_top_k(asked, live, 7, zero_fill=zero_fill, allowed_tags=tags)), tags
+    assert S.search(asked, index, 7, allowed_tags=[]).hits.count() == 0
+
+
+def test_blocks_without_an_allowed_chunk_are_not_read(spark, tmp_path, small_blocks):
+    data = [(i, i, f"the w{i}", ["rare"] if 40 <= i < 44 else ["common"]) for i in range(400)]
+    folder = str(tmp_path / "index")
+    S.add(spark.createDataFrame(data, CHUNKS + ", access_tags array<string>"), folder)
+    asked = spark.createDataFrame([(1, "the")], "query_id long, question string")
+    found = S.search(asked, S.load(spark, folder), 10, allowed_tags=["rare"])
+    assert {r.chunk_id for r in found.hits.collect()} == {40, 41, 42, 43}
+    assert 1 <= found.read.distinct().count() <= 2
+
+
+def test_chunks_added_without_tags_are_hidden_from_an_access_filter(spark, tmp_path, small_blocks):
+    folder = str(tmp_path / "index")
+    S.add(spark.createDataFrame(texts(20), CHUNKS), folder)
+    asked = spark.createDataFrame([(1, "the w3")], "query_id long, question string")
+    index = S.load(spark, folder)
+    assert S.search(asked, index, 5).hits.count() == 5 and S.search(asked, index, 5, allowed_tags=["a"]).hits.count() == 0
