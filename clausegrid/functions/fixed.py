@@ -84,3 +84,12 @@ AMOUNTS = [
 # --- Fixed values: confidence weights ------------------------------------------------
 WEIGHT_SCORE, WEIGHT_COVERAGE, WEIGHT_CHUNKS = 0.40, 0.35, 0.25
 ABSTAIN_WORD = "Insufficient"
+
+# --- Fixed values: sentences of a risk assessment -------------------------------------
+REVIEW_VIOLATION = "Review the identified violation against applicable regulations"
+VERIFY_CONDITIONS = "Verify all conditions are met before proceeding"
+NO_CONCERNS = "No immediate compliance concerns detected"
+ENSURE_COMPLIANCE = "Ensure compliance with: "
+CHECK_APPROVALS = "Check approval requirements in the knowledge graph"
+OBLIGATIONS_APPLY = " mandatory obligation(s) apply to retrieved clauses"
+NO_CLAUSES = "No relevant policy clauses found"

@@ -243,12 +243,12 @@ def recommendations(verdict: Column, regulations: Column, mandatory: Column) ->
     """Array of sentences; ``regulations`` is an array of names."""
     bad, open_ = verdict == "violation", verdict == "conditional"
     return F.array_compact(F.array(
-        F.when(bad, "Review the identified violation against applicable regulations")
-        .when(open_, "Verify all conditions are met before proceeding")
-        .otherwise("No immediate compliance concerns detected"),
-        F.when(bad & (F.size(regulations) > 0), F.concat(F.lit("Ensure compliance with: "), F.array_join(regulations, ", ")))
-        .when(open_, "Check approval requirements in the knowledge graph"),
-        F.when(mandatory > 0, F.concat(mandatory.cast("string"), F.lit(" mandatory obligation(s) apply to retrieved clauses"))),
+        F.when(bad, fixed.REVIEW_VIOLATION)
+        .when(open_, fixed.VERIFY_CONDITIONS)
+        .otherwise(fixed.NO_CONCERNS),
+        F.when(bad & (F.size(regulations) > 0), F.concat(F.lit(fixed.ENSURE_COMPLIANCE), F.array_join(regulations, ", ")))
+        .when(open_, fixed.CHECK_APPROVALS),
+        F.when(mandatory > 0, F.concat(mandatory.cast("string"), F.lit(fixed.OBLIGATIONS_APPLY))),
     ))
 
 
@@ -268,6 +268,6 @@ def assess_risk(questions: DataFrame, hits: DataFrame, edges: DataFrame, obligat
     return wide.select(
         "query_id", F.when(none, "abstained").otherwise(verdict).alias("verdict"), "regulations", "mandatory",
         F.when(none, "unknown").otherwise(risk_level(verdict, mandatory)).alias("risk_level"),
-        F.when(none, F.array(F.lit("No relevant policy clauses found"))).otherwise(
+        F.when(none, F.array(F.lit(fixed.NO_CLAUSES))).otherwise(
             recommendations(verdict, F.col("regulations"), mandatory)).alias("recommendations"),
     )
