@@ -4,7 +4,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausegrid.functions.sizes import BROADCAST_ROWS
+from clausegrid.functions.stages import materialise
 from clausegrid.functions.text import iso, preview
+from clausegrid.operators.ordered import running
 
 
 def _shown(rows: DataFrame, column: str) -> DataFrame:
@@ -125,14 +127,27 @@ def allowed(level: Column, needed: int = 3) -> Column:
     return F.coalesce(level, F.lit(1)) >= needed
 
 
-def call_outcomes(calls: DataFrame, accuracy: int = 100_000) -> DataFrame:
-    """Calls ``(tool, success, latency_ms)``: count, success rate, latency percentiles."""
-    def share(p: float) -> Column:
-        return F.percentile_approx("latency_ms", p, accuracy)
+def call_outcomes(calls: DataFrame) -> DataFrame:
+    """Calls ``(tool, success, latency_ms)``: count, success rate and exact latency
+    percentiles, the least latency that such a share of the tool's latencies does not exceed.
 
-    return calls.groupBy("tool").agg(
-        F.count("*").alias("calls"), F.avg(F.col("success").cast("double")).alias("success_rate"),
-        share(0.5).alias("p50_ms"), share(0.95).alias("p95_ms"), F.max("latency_ms").alias("max_ms"))
+    Calls are first counted by latency, on the map side, and ranks are running totals of the
+    counts, so no task holds the calls or latencies of a tool.
+    """
+    key = F.struct("tool")  # equal to itself for a null tool
+    counted = materialise(calls.groupBy(key.alias("_key"), "latency_ms").agg(
+        F.count("*").alias("calls"), F.count_if(F.col("success")).alias("succeeded"), F.count("success").alias("judged")))
+    totals = counted.groupBy("_key").agg(
+        F.sum("calls").alias("calls"), F.try_divide(F.sum("succeeded"), F.sum("judged")).alias("success_rate"),
+        F.max("latency_ms").alias("max_ms"), F.sum(F.when(F.col("latency_ms").isNotNull(), F.col("calls"))).alias("timed"))
+    ranked = running(counted.filter("latency_ms is not null").select("_key", "latency_ms", "calls"), ["_key"], "latency_ms", sums={"up_to": F.col("calls")})
+    placed = ranked.select("_key", "latency_ms", "up_to").join(totals.select("_key", "timed"), "_key")
+
+    def share(percent: int) -> Column:
+        return F.min(F.when(F.col("up_to") >= F.ceil(F.col("timed") * percent / F.lit(100).cast("decimal(3,0)")), F.col("latency_ms")))
+
+    found = placed.groupBy("_key").agg(share(50).alias("p50_ms"), share(95).alias("p95_ms"))
+    return totals.join(found, "_key", "left").select(F.col("_key.tool").alias("tool"), "calls", "success_rate", "p50_ms", "p95_ms", "max_ms")
 
 
 #: Entries per level of a sketch, and the rank error it keeps with 99 % confidence.

@@ -32,3 +32,16 @@ def test_ranks_are_within_the_error(calls):
 
 def test_no_calls(calls):
     assert B.outcomes_of_sketches(B.call_sketches(calls.limit(0))).collect() == []
+
+
+def test_percentiles_are_exact(spark):
+    n = 400_000
+    ids = spark.range(0, n, 1, 4).select((F.col("id") % 3 == 0).alias("b"), (F.col("id") * 7 % n).alias("latency_ms"))
+    rows = ids.select(F.when(F.col("b"), "b").otherwise("a").alias("tool"), "b", "latency_ms").select("tool", F.col("b").alias("success"), "latency_ms")
+    more = spark.createDataFrame([(None, True, 3), (None, None, None), (None, False, 300_000), ("c", None, None)], "tool string, success boolean, latency_ms long")
+    got = {r.tool: r for r in B.call_outcomes(rows.unionByName(more)).collect()}
+    held = {t: sorted(i * 7 % n for i in range(n) if (i % 3 == 0) == (t == "b")) for t in "ab"}
+    for tool, values in held.items():
+        assert (got[tool].p50_ms, got[tool].p95_ms) == tuple(values[-(-len(values) * p // 100) - 1] for p in (50, 95))
+        assert (got[tool].calls, got[tool].max_ms, got[tool].success_rate) == (len(values), values[-1], float(tool == "b"))
+    assert tuple(got[None])[1:] == (3, 0.5, 3, 300_000, 300_000) and tuple(got["c"])[1:] == (1, None, None, None, None)
