@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausegrid.functions import fixed
-from clausegrid.operators.retrieval import SCORE_DIGITS, top_k
+from clausegrid.operators.retrieval import SCORE_DIGITS, corpus_order, first_k, top_k
 
 QUESTION_BLOCK_ROWS = 4096
 CHUNK_BLOCK_ROWS = 50_000
@@ -50,21 +50,12 @@ def _best_in_block(k: int):
         if not len(questions) or not len(chunks):
             return pa.table({"q": questions.column("query_id").slice(0, 0), "c": chunks.column("chunk_id").slice(0, 0),
                              "o": chunks.column("ord").slice(0, 0), "s": pa.array([], pa.float64())})
-        flat = pa.table({"row": pa.array(np.arange(len(chunks))), "ord": chunks.column("ord")})
-        while any(pa.types.is_struct(f.type) for f in flat.schema):
-            flat = flat.flatten()
-        order = flat.sort_by([(n, "ascending") for n in flat.column_names if n != "row"]).column("row").to_numpy()
+        order = corpus_order(chunks.column("ord"))
         asked, held = _matrix(questions.column("asked")), _matrix(chunks.column("held"))[order]
         q, c, s = [], [], []
         for start in range(0, len(asked), step := max(1, CELLS // len(held))):
             sim = np.round(asked[start : start + step] @ held.T, SCORE_DIGITS)
-            if sim.shape[1] > k:
-                kth = np.partition(sim, sim.shape[1] - k, axis=1)[:, -k][:, None]
-                # Of those equal to the k-th only as many as are left, the first in corpus order.
-                above, equal = sim > kth, sim == kth
-                keep = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(1, keepdims=True)))
-            else:
-                keep = np.ones(sim.shape, bool)
+            keep, _ = first_k(sim, k)
             i, j = np.nonzero(keep)
             q.append(i + start)
             c.append(order[j])

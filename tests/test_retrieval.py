@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -62,6 +63,36 @@ def test_large_question_sets_are_not_broadcast(spark, monkeypatch):
     assert sorted(R.bm25_top_k(asked, df, k=5).collect()) == sorted(small)
 
 
+@pytest.mark.parametrize("zero_fill", [True, False])
+def test_slices_and_blocks_give_the_same_hits(spark, zero_fill, monkeypatch):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(12)] + ["all"] * 6
+    chunks = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 9)))) for i in range(80)]
+    questions = [(q, " ".join(rng.choice(vocabulary + ["unknown"]) for _ in range(rng.randint(0, 5)))) for q in range(9)]
+    df = spark.createDataFrame([(c, (9, c), t) for c, t in chunks], "chunk_id long, ord struct<a:long,b:long>, text string").repartition(3)
+    asked = spark.createDataFrame(questions, "query_id long, question string")
+    whole = sorted(R.bm25_top_k(asked, df, 6, zero_fill=zero_fill).collect())
+    for name, value in (("SLICE_QUESTIONS", 2), ("SLICE_TERMS", 3), ("CELLS", 30)):
+        monkeypatch.setattr(R, name, value)
+    cut = R.Scorer(pa.table({"query_id": [1, 1, 2, 3], "term": ["a", "b", "a", "c"], "weight": [1.0, 1.0, 1.0, 0.0]}), 2, 1.5, 0.75, 2.0, zero_fill)
+    assert [(a, e) for a, e, *_ in cut.slices] == [(0, 2), (2, 3)]
+    some = cut.best(pa.table({"chunk_id": [7, 8, 9], "ord": [7, 8, 9], "terms": [["a"], [], ["c"]], "tfs": pa.array([[1], [], [3]], pa.list_(pa.int32()))}))
+    want = {(1, 7), (2, 7), (3, 9)} | ({(1, 9), (2, 9), (3, 7)} if zero_fill else set())
+    assert set(zip(some["q"].to_pylist(), some["c"].to_pylist())) == want
+    monkeypatch.setattr(R, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(R, "PART_CHUNKS", 20)
+    assert sorted(R.bm25_top_k(asked, df, 6, zero_fill=zero_fill).collect()) == whole
+
+
+def test_pairs_of_questions_and_chunks_are_not_shuffled(spark):
+    df = spark.createDataFrame([(i, i, f"a b{i}") for i in range(9)], "chunk_id long, ord long, text string")
+    asked = spark.createDataFrame([(1, "a b1"), (2, "a")], "query_id long, question string")
+    plan = R.bm25_top_k(asked, df, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(chunk_id" not in plan and "hashpartitioning" in plan
+    assert "Exchange" not in R.postings(df)._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in R.postings(spark.createDataFrame([(1, 1, "b a B"), (2, 2, "-"), (3, 3, None)], df.schema)).collect()) == [(1, 1, 3, "a", 1), (1, 1, 3, "b", 2)]
+
+
 def test_fusion_of_fixed_lists(spark):
     def hits(names):
         return spark.createDataFrame([(1, i + 1, c) for i, c in enumerate(names)], "query_id long, rank long, chunk_id string")
