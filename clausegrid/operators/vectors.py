@@ -16,7 +16,7 @@ from clausegrid.operators.retrieval import SCORE_DIGITS, corpus_order, first_k,
 
 QUESTION_BLOCK_ROWS = 4096
 CHUNK_BLOCK_ROWS = 50_000
-CELLS = 4_000_000  # largest similarity matrix held at once in a task
+CELLS = 1_000_000  # largest similarity matrix held at once in a task, besides a few copies of it
 
 
 def usable(dimension: int) -> Column:

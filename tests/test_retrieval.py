@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -123,6 +124,21 @@ def test_vectors_equal_brute_force(spark, block_rows, monkeypatch):
     assert got == {i: [int(x) for x in sorted(range(50), key=lambda j: (-sim[i, j], j))[:5]] for i in range(11)}
 
 
+def test_memory_of_a_pair_of_blocks_is_bounded():
+    rng = np.random.default_rng(5)
+
+    def table(n, prefix, name):
+        flat = pa.array(rng.normal(size=n * 16).astype(np.float32))
+        return pa.table({prefix: pa.array(np.arange(n)), "ord": pa.array(np.arange(n)), name: pa.ListArray.from_arrays(pa.array(np.arange(0, n * 16 + 1, 16), pa.int32()), flat)})
+
+    asked, held = table(1000, "query_id", "asked"), table(20_000, "chunk_id", "held")
+    tracemalloc.start()
+    assert len(V._best_in_block(20)(asked, held)) == 20_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
+
+
 def test_blocks_of_chunks_and_hot_ties(spark):
     chunks = spark.createDataFrame([(f"c{i}", (0, 99 - i), [1.0, 0.0] if i < 70 else [0.5, float(i)]) for i in range(100)],
                                    "chunk_id string, ord struct<a:int,b:int>, embedding array<double>")
