@@ -35,3 +35,11 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once and written as a compressed table of its own, for rows with texts: a
+    checkpoint holds them as they are, and every reader would take all of their columns."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -1,17 +1,22 @@
 """Vector retrieval.
 
 Every question meets every chunk it may match, which is a matrix product, so it is done as
-one: questions and chunks are dealt into blocks of bounded size on the executors, each pair
-of blocks meets in one task, and the task returns the best k per question. Only counts reach
-the driver, and the plan has the same size for any number of questions.
+one. Questions of a single block are broadcast, and each task compares the chunks it reads, so
+no chunk is stored or shuffled. More questions and the chunks are dealt into blocks of bounded
+size on the executors, each pair of blocks meets in one task. The task returns the best k per
+question, and the plan has the same size for any number of questions.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausegrid.functions import fixed
+from clausegrid.functions.sizes import BROADCAST_BYTES
 from clausegrid.operators.retrieval import SCORE_DIGITS, corpus_order, first_k, top_k
 
 QUESTION_BLOCK_ROWS = 4096
@@ -67,13 +72,38 @@ def _best_in_block(k: int):
     return best
 
 
+def _best_where_read(asked: pa.Table, k: int):
+    best = _best_in_block(k)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Best k chunks of each question, batch by batch; of later ones only those as good as the
+        k-th so far of the same task."""
+        ids = asked.column("query_id").combine_chunks()
+        kth = np.full(len(ids), -np.inf)
+        for batch in batches:
+            found = best(asked, pa.Table.from_batches([batch]))
+            q = pc.index_in(found.column("q").combine_chunks(), value_set=ids).to_numpy(zero_copy_only=False)
+            s = found.column("s").to_numpy()
+            keep = s >= kth[q]
+            full = np.flatnonzero(np.bincount(q, minlength=len(ids)) >= k)
+            least = np.full(len(ids), np.inf)
+            np.minimum.at(least, q, s)
+            kth[full] = np.maximum(kth[full], least[full])
+            yield from found.filter(pa.array(keep)).to_batches()
+
+    return work
+
+
 def _meet(questions: DataFrame, chunks: DataFrame, keys: list[str], k: int) -> DataFrame:
     """Best k per question where rows meet on ``keys``, then over all of them."""
     # Both sides may come from one table; names of their own keep their columns apart.
     a = questions.select("query_id", F.col("embedding").alias("asked"), *[F.col(c).alias(f"_a{c}") for c in keys]).groupBy(*[f"_a{c}" for c in keys])
     b = chunks.select("chunk_id", "ord", F.col("embedding").alias("held"), *[F.col(c).alias(f"_b{c}") for c in keys]).groupBy(*[f"_b{c}" for c in keys])
     kinds = {n: d.schema[c].dataType.simpleString() for n, d, c in (("q", questions, "query_id"), ("c", chunks, "chunk_id"), ("o", chunks, "ord"))}
-    partial = a.cogroup(b).applyInArrow(_best_in_block(k), f"q {kinds['q']}, c {kinds['c']}, o {kinds['o']}, s double")
+    return _ranked(a.cogroup(b).applyInArrow(_best_in_block(k), f"q {kinds['q']}, c {kinds['c']}, o {kinds['o']}, s double"), k)
+
+
+def _ranked(partial: DataFrame, k: int) -> DataFrame:
     ranked = top_k(partial.withColumnsRenamed({"q": "query_id", "c": "chunk_id", "o": "ord", "s": "score"}), k)
     return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "score")
 
@@ -99,7 +129,14 @@ def vector_top_k(
         chunks = chunks.filter(F.arrays_overlap("access_tags", F.array(*[F.lit(t) for t in allowed_tags])))
     dimension = dimension_of(questions)
     asked, held = questions.filter(usable(dimension)), chunks.filter(usable(dimension))
-    n_questions, n_chunks = asked.count(), held.count()
+    n_questions = asked.count()
+    if n_questions <= block_rows and n_questions * dimension * 8 <= BROADCAST_BYTES:
+        given = chunks.sparkSession.sparkContext.broadcast(asked.select("query_id", F.col("embedding").alias("asked")).toArrow())
+        kinds = {n: d.schema[c].dataType.simpleString() for n, d, c in (("q", asked, "query_id"), ("c", held, "chunk_id"), ("o", held, "ord"))}
+        near = lambda batches: _best_where_read(given.value, k)(batches)
+        rows = held.select("chunk_id", "ord", F.col("embedding").alias("held"))
+        return _ranked(rows.mapInArrow(near, f"q {kinds['q']}, c {kinds['c']}, o {kinds['o']}, s double"), k)
+    n_chunks = held.count()
     blocks, parts = max(1, -(-n_questions // block_rows)), max(1, -(-n_chunks // chunk_rows))
     # As many parts as the session has cores at least, so that a small corpus is not one task.
     parts = max(parts, min(chunks.sparkSession.sparkContext.defaultParallelism, -(-n_chunks // 1000) or 1))

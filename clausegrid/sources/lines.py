@@ -27,28 +27,29 @@ def dispatch_formats(files: DataFrame, uri: str = "source_uri") -> tuple[DataFra
     return accepted, rejected
 
 
-def document_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def document_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per line, blank lines dropped, text stripped (D3).
 
     ``ord`` is the line number in the document; (document_id, ord) is unique and does not
-    depend on the text, so equal lines stay apart.
+    depend on the text, so equal lines stay apart. ``keep`` names columns of the document that
+    its lines carry.
     """
     lines = documents.select(
-        F.col(doc_id).alias("document_id"), F.posexplode_outer(F.split(text, "\n", -1)).alias("line_no", "line")
+        F.col(doc_id).alias("document_id"), *keep, F.posexplode_outer(F.split(text, "\n", -1)).alias("line_no", "line")
     )
     return lines.select(
-        "document_id", F.col("line_no").cast("long").alias("ord"), strip(F.col("line")).alias("text")
+        "document_id", F.col("line_no").cast("long").alias("ord"), strip(F.col("line")).alias("text"), *keep
     ).filter("text <> ''")
 
 
-def line_chunks(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def line_chunks(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One chunk per non-blank line. Its id is the document's id, which may be of any type,
     and the line number; ``ord`` is the pair of both, so corpus order is document order, then
     line order."""
-    return document_lines(documents, doc_id, text).select(
+    return document_lines(documents, doc_id, text, keep).select(
         F.concat_ws(":", F.col("document_id").cast("string"), F.col("ord").cast("string")).alias("chunk_id"),
         F.struct("document_id", F.col("ord").alias("line_no")).alias("ord"),
-        "document_id", F.col("ord").alias("line_no"), "text",
+        "document_id", F.col("ord").alias("line_no"), "text", *keep,
     )
 
 

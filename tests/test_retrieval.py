@@ -199,3 +199,37 @@ def test_missing_index_is_refused_unless_asked(spark):
     with pytest.raises(ValueError):
         R.search(asked, None, fake)
     assert R.search(asked, None, fake, missing_index="fallback").count() == 1
+
+
+def test_few_questions_meet_the_chunks_where_they_are(spark, monkeypatch):
+    rng = random.Random(8)
+    vector = lambda: [float(rng.randrange(3)) for _ in range(4)]
+    chunks = spark.createDataFrame([(i, -i, vector()) for i in range(300)], "chunk_id long, ord long, embedding array<double>").repartition(5)
+    asked = spark.createDataFrame([(i, vector()) for i in range(9)], "query_id long, embedding array<double>")
+    rows = lambda hits: sorted(tuple(r) for r in hits.collect())
+    dealt = rows(V.vector_top_k(asked, chunks, 5, block_rows=2, chunk_rows=50))
+    monkeypatch.setattr(V, "_meet", lambda *a: (_ for _ in ()).throw(AssertionError("chunks are dealt out")))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert rows(V.vector_top_k(asked, chunks, 5)) == dealt
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_texts_are_not_shuffled_to_meet_candidates(spark):
+    from clausegrid.operators import models as M
+
+    chunks = spark.range(1000).select(F.col("id").alias("chunk_id"), F.lit("a b").alias("text"))
+    asked = spark.createDataFrame([(1, "a")], "query_id long, question string")
+    found = spark.createDataFrame([(1, 1, 5), (1, 2, 6)], "query_id long, rank long, chunk_id long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        M.MODELS["one"] = M.Model(lambda a, b: pa.array([1.0] * len(a)))
+        for scorer in ("overlap", M.pair_scores(found, asked, chunks, "one")):
+            best = R.rerank(found, asked, chunks, scorer=scorer)
+            assert [tuple(r) for r in best.orderBy("rank").collect()] == [(1, 1, 5, 1.0), (1, 2, 6, 1.0)]
+            assert "BroadcastHashJoin [chunk_id" in best._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        M.MODELS.pop("one", None)
