@@ -117,3 +117,12 @@ def test_edge_counts_tell_shared_types_apart(spark):
     edges = spark.createDataFrame(rows, "type string, src_label string, src string, dst_label string, dst string").repartition(3)
     counts = G.summary(G.edge_counts(edges, ["GOVERNS"]), "type", "k").collect()
     assert {r.type: r.n for r in counts} == {None: 4, "GOVERNS": 2, "PART_OF": 2}
+
+
+def test_staged_first_values_equal_the_expression(spark):
+    replies = ['{"role": ["a", "b"]}', '{"role": {"x": "c", "y": 1}}', '{"role": 0}', '{"role": ""}', '{"role": [[]]}', '{"role": false}', '{"role": 12}', '{"role": [null]}', '{}', 'no', '{"role": [{"k": 1}]}', '{"role": {}}']
+    parsed = L.parse_entity_replies(spark.createDataFrame([(r,) for r in replies], "reply string"))
+    staged = L.first_values(parsed, ["role"])
+    assert [r.v for r in staged.select(F.col("_first_role").alias("v")).collect()] == [r.v for r in parsed.select(L.first_value("role").alias("v")).collect()]
+    # One generator after the other: the variant of a field is taken once.
+    assert staged._jdf.queryExecution().optimizedPlan().toString().count("Generate") >= 6
