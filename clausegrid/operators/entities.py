@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausegrid.functions import fixed
+from clausegrid.functions.sizes import small_side
+from clausegrid.functions.stages import materialise
 from clausegrid.functions.text import words
 from clausegrid.operators.ordered import BLOCK_ROWS, running, with_neighbours
 
@@ -29,29 +31,29 @@ def text_runs(sections: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     pattern, or the next one cannot continue it. Lines around unsafe breaks are joined;
     all others stand alone, so no document is ever put together in one place.
     """
-    near = with_neighbours(
-        sections.select("document_id", "ord", "content"), ["document_id"], "ord", ["content"], 1, 1, block_rows
-    )
-
-    def open_break(left: Column, right: Column) -> Column:
-        # The cheap tests first: most lines end in a full stop.
-        return right.rlike(GOES_ON) & F.substring(left, -1, 1).rlike(OPEN_CHARACTER) & (
-            left.rlike(OPEN_END) | left.rlike(ONE_WORD)
-        )
+    text = F.col("content")
+    # The cheap test first: most lines end in a full stop.
+    opens = F.substring(text, -1, 1).rlike(OPEN_CHARACTER) & (text.rlike(OPEN_END) | text.rlike(ONE_WORD))
+    marks = sections.select("document_id", "ord", F.coalesce(opens, F.lit(False)).alias("opens"), F.coalesce(text.rlike(GOES_ON), F.lit(False)).alias("goes"))
+    near = with_neighbours(marks, ["document_id"], "ord", ["opens", "goes"], 1, 1, block_rows)
 
-    def neighbour(side: str) -> Column:
-        return F.get(F.col(side), 0)["content"]
+    def neighbour(side: str, mark: str) -> Column:
+        return F.coalesce(F.get(F.col(side), 0)[mark], F.lit(False))
 
     flagged = near.select(
-        "document_id", "ord", "content",
-        F.coalesce(open_break(neighbour("prev"), F.col("content")), F.lit(False)).alias("joined"),
-        F.coalesce(open_break(F.col("content"), neighbour("next")), F.lit(False)).alias("goes_on"),
-    )
-    alone = flagged.filter("not joined and not goes_on").select("document_id", "ord", F.col("content").alias("text"))
+        "document_id", "ord", (neighbour("prev", "opens") & F.col("goes")).alias("joined"),
+        (F.col("opens") & neighbour("next", "goes")).alias("goes_on"),
+    ).filter("joined or goes_on")
     linked = running(
-        flagged.filter("joined or goes_on"), ["document_id"], "ord",
-        lasts={"run": F.when(~F.col("joined"), F.col("ord"))}, block_rows=block_rows,
+        flagged, ["document_id"], "ord", lasts={"run": F.when(~F.col("joined"), F.col("ord"))}, block_rows=block_rows,
     )
+    # Few lines are linked, so the texts of the others are not shuffled for them.
+    linked = materialise(linked.select(F.col("document_id").alias("_d"), F.col("ord").alias("_o"), "run"))
+    few = small_side(linked, F.lit(60))
+    same = F.col("document_id").eqNullSafe(F.col("_d")) & (F.col("ord") == F.col("_o"))
+    rows = sections.select("document_id", "ord", "content")
+    alone = rows.join(few, same, "left_anti").select("document_id", "ord", F.col("content").alias("text"))
+    linked = rows.join(few, same)
     lines = F.array_sort(F.collect_list(F.struct("ord", "content")))
     together = linked.groupBy("document_id", "run").agg(
         F.array_join(F.transform(lines, lambda s: s["content"]), "\n").alias("text")

@@ -43,3 +43,16 @@ def test_fixed_amounts_and_authorities(spark):
     got = X.extract_entities(spark.createDataFrame(rows, "document_id long, ord long, content string")).orderBy("seq").collect()
     assert [(r.attrs.amount, r.attrs.currency) for r in got if r.type == "threshold"] == [(1000000.0, "NGN"), (5.0, "USD"), (7.0, "USD")]
     assert [r.attrs.authority for r in got if r.type == "approval"] == ["Head", "cfo"]
+
+
+def test_texts_of_unlinked_lines_are_not_shuffled(spark):
+    from clausegrid.operators import entities as X
+
+    rows = [(1, i, "The buyer must") if i == 4 else (1, i, f"pay USD {i} within 3 days.") for i in range(50)]
+    sections = spark.createDataFrame(rows + [(None, 7, "must"), (None, 8, "sign")], "document_id long, ord long, content string")
+    runs = X.text_runs(sections)
+    got = {(r.document_id, r.ord): r.text for r in runs.collect()}
+    assert got[1, 4] == "The buyer must\npay USD 5 within 3 days." and (1, 5) not in got and len(got) == 50
+    assert got[None, 7] == "must\nsign"
+    assert "BroadcastNestedLoopJoin" not in (plan := runs._jdf.queryExecution().executedPlan().toString())
+    assert "Window" not in plan
