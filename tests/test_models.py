@@ -52,3 +52,12 @@ def test_judged_candidates(spark):
     model = M.Model(lambda a, b: pa.array([None if y == "no" else "YES" for y in b.to_pylist()], pa.string()), "string")
     assert [tuple(r) for r in M.judged_candidates(pairs, model).collect()] == [("CONFLICTS_WITH", "Clause", "1", "Clause", "2")]
     assert M.judged_candidates(pairs.limit(0), model).collect() == []
+
+
+def test_pairs_are_made_once_for_their_judge(spark):
+    from clausegrid.operators import models as M
+
+    pairs = spark.createDataFrame([(1, 1, 5, 6, "a", "b"), (1, 2, 5, 7, "a", "c")], "query_id long, pair_no int, clause_a long, clause_b long, text_a string, text_b string")
+    seen = M.judged_pairs(pairs, M.Model(lambda a, b: pa.array(["yes" if x == "c" else "no" for x in b.to_pylist()]), "string"))
+    assert [(r.query_id, r.clause_a, r.clause_b, r.source) for r in seen.collect()] == [(1, "5", "7", "model")]
+    assert "Join" not in seen._jdf.queryExecution().executedPlan().toString()
