@@ -177,3 +177,13 @@ def test_chunks_added_without_tags_are_hidden_from_an_access_filter(spark, tmp_p
     asked = spark.createDataFrame([(1, "the w3")], "query_id long, question string")
     index = S.load(spark, folder)
     assert S.search(asked, index, 5).hits.count() == 5 and S.search(asked, index, 5, allowed_tags=["a"]).hits.count() == 0
+
+
+def test_a_block_is_one_row_and_no_posting_is_shuffled(spark, tmp_path, small_blocks):
+    folder = str(tmp_path / "index")
+    S.add(spark.createDataFrame(texts(60), CHUNKS).coalesce(1), folder)
+    index = S.load(spark, folder)
+    assert index.blocks.count() == index.blocks.select("segment", "block").distinct().count() == -(-index.n_chunks // 4)
+    asked = spark.createDataFrame([(1, "the w3")], "query_id long, question string")
+    plan = S.search(asked, index, 5).hits._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan and "MapInArrow" in plan and "Join" not in plan
