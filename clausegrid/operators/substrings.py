@@ -6,13 +6,17 @@ A text that contains a name contains each of its q-grams, so rows meet on one gr
 """
 
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegrid.functions.stages import materialise
-from clausegrid.operators.ordered import numbered
+from clausegrid.functions.sizes import BROADCAST_BYTES, is_small
+from clausegrid.functions.stages import materialise, stored
 
 Q = 3
 BLOCK_BITS = 12
@@ -71,21 +75,62 @@ def needed_grams(pattern: str) -> list[str]:
     return sorted({part[i : i + Q] for part in literals(pattern) for i in range(len(part) - Q + 1)})
 
 
+def _postings(fields: list[str], bits: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The grams of each run of rows of one block, with the sorted numbers of the rows that hold them."""
+        for batch in batches:
+            nums = batch.column("_num").to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(nums >> bits)) + 1, [len(nums)]])
+            for start, end in zip(edges[:-1], edges[1:]):
+                for field in fields if end > start else ():
+                    texts = batch.column(field).slice(start, end - start)
+                    grams, held, n = _held(texts)
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(nums[start + held]))
+                    same = lambda v, t: pa.array(np.full(len(grams), v), t)
+                    yield pa.RecordBatch.from_pydict({
+                        "gram": pa.array(grams, pa.string()), "field": pa.array([field] * len(grams), pa.string()),
+                        "_block": same(nums[start] >> bits, pa.int64()), "_part": same(nums[start], pa.int64()), "nums": lists})
+
+    return cut
+
+
+def _held(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct grams, the rows that hold each, one gram after the other, and how many they are)."""
+    length = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
+    points = np.frombuffer("".join(t for t in texts.to_pylist() if t).encode("utf-32-le"), np.uint32)
+    if len(points) < Q:
+        return [], np.zeros(0, int), np.zeros(0, int)
+    met = np.zeros(int(points.max()) + 1, bool)
+    met[points] = True
+    known, code = np.flatnonzero(met), (np.cumsum(met) - 1)[points]
+    row = np.repeat(np.arange(len(length)), length)
+    gram = np.zeros(len(points) - Q + 1, np.int64)
+    for i in range(Q):
+        gram = gram * len(known) + code[i : len(points) - Q + 1 + i]
+    inside = row[: len(gram)] == row[Q - 1 :]
+    gram, row, found = gram[inside], row[: len(inside)][inside], None
+    if len(known) ** Q * len(length) >= 1 << 62:  # then gram and row do not fit one number
+        found, gram = np.unique(gram, return_inverse=True)
+    pair = np.sort(gram * np.int64(len(length)) + row)
+    gram, held = np.divmod(pair[np.diff(pair, prepend=-1) > 0], len(length))
+    starts = np.flatnonzero(np.diff(gram, prepend=-1) > 0)
+    found, n = gram[starts] if found is None else found, np.diff(starts, append=len(gram))
+    places = [found // len(known) ** i % len(known) for i in reversed(range(Q))]
+    letters = known[np.stack(places, axis=1)].astype("<u4").tobytes().decode("utf-32-le")
+    return [letters[i : i + Q] for i in range(0, len(letters), Q)], held, n
+
+
 def build_trigrams(chunks: DataFrame, folder: str, fields: list[str]) -> None:
-    """Store the chunks, numbered in the order of their ids, and the postings of each field's
-    trigrams: per gram and block of chunks the sorted numbers of those that hold it. A row of
-    postings has at most as many numbers as a block has chunks."""
+    """Store the chunks, numbered as they come in their tasks, and the postings of each field's
+    trigrams: per gram and run of rows of one block the sorted numbers of the chunks that hold it.
+    A run is what a task reads of a block at once, so postings are made where the texts are read
+    and not shuffled; a row has at most as many numbers as a block has chunks."""
     spark = chunks.sparkSession
-    rows = numbered(chunks, [], "chunk_id", "_num")
-    block = F.shiftright("_num", BLOCK_BITS)
-    rows.withColumn("_block", block).write.mode("overwrite").parquet(f"{folder}/chunks")
-    stored = spark.read.parquet(f"{folder}/chunks")
-    each = [stored.select("_block", "_num", F.lit(f).alias("field"), F.explode(grams(F.lower(f), Q)).alias("gram")) for f in fields]
-    posts = each[0]
-    for more in each[1:]:
-        posts = posts.unionByName(more)
-    posts = posts.groupBy("gram", "field", "_block").agg(F.sort_array(F.collect_list("_num")).alias("nums"))
-    posts.repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{folder}/postings")
+    rows = chunks.withColumn("_num", F.monotonically_increasing_id()).withColumn("_block", F.shiftright("_num", BLOCK_BITS))
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/chunks")
+    stored = spark.read.schema(rows.schema).parquet(f"{folder}/chunks").select("_num", *[F.lower(f).alias(f) for f in fields])
+    posts = stored.mapInArrow(_postings(fields, BLOCK_BITS), "gram string, field string, _block long, _part long, nums array<bigint>")
+    posts.sortWithinPartitions("gram").write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/postings")
 
 
 class Matches(NamedTuple):
@@ -96,8 +141,8 @@ class Matches(NamedTuple):
 def search_trigrams(spark: SparkSession, folder: str, search: str, fields: list[str]) -> Matches:
     """Chunks of which a field matches ``%search%`` (case ignored, wildcards work).
 
-    The lists of the needed grams are intersected block by block, and only the chunks left are
-    read and compared. A search without a literal part of three characters reads all.
+    The lists of the needed grams are intersected run by run of a block, and only the chunks left
+    are compared: their bitmaps, one row per 64 chunks, meet the texts without moving them. A search without a literal part of three characters reads all.
     """
     stored = spark.read.parquet(f"{folder}/chunks")
     matches = F.lit(False)
@@ -107,16 +152,20 @@ def search_trigrams(spark: SparkSession, folder: str, search: str, fields: list[
     if not asked:
         return Matches(stored.filter(matches).drop("_num", "_block"), None)
     lists = spark.read.parquet(f"{folder}/postings").filter(F.col("gram").isin(asked) & F.col("field").isin(fields))
-    met = lists.groupBy("field", "_block").agg(F.collect_list("nums").alias("l")).filter(F.size("l") == len(asked))
+    met = lists.groupBy("field", "_block", "_part").agg(F.collect_list("nums").alias("l")).filter(F.size("l") == len(asked))
     both = met.select("_block", F.explode(F.aggregate(F.slice("l", 2, len(asked)), F.col("l")[0], F.array_intersect)).alias("_num"))
     candidates = both.distinct()
-    return Matches(stored.join(candidates, ["_block", "_num"], "left_semi").filter(matches).drop("_num", "_block"), candidates)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_num").bitwiseAND(63).cast("int"))
+    masks = materialise(candidates.groupBy(F.shiftright("_num", 6).alias("_word")).agg(F.bit_or(bit).alias("_mask")))
+    masks = F.broadcast(masks) if is_small(masks, F.lit(40), BROADCAST_BYTES // 40) else masks
+    near = stored.withColumn("_word", F.shiftright("_num", 6)).join(masks, "_word").filter(F.getbit("_mask", F.col("_num").bitwiseAND(63).cast("int")) == 1)
+    return Matches(near.filter(matches).drop("_num", "_block", "_word", "_mask"), candidates)
 
 
 def page(matches: Matches, order: list[str], limit: int | None = 50, offset: int = 0) -> DataFrame:
     """One page in the order given, and the ``total`` of all matches. The matches are stored
     first, so both come from one pass over the candidates."""
-    found = materialise(matches.rows)
+    found = stored(matches.rows, "matches")
     total = found.agg(F.count("*").alias("n")).scalar()
     rows = found.orderBy(*order).offset(offset)
     rows = rows if limit is None else rows.limit(limit)

@@ -81,3 +81,16 @@ def test_pages(spark, index):
     want = [r[0] for r in sorted(rows, key=lambda r: (r[1], r[0])) if like("%ceo%", r[3])]
     got = U.page(found, ["document_id", "chunk_id"], 7, 5).collect()
     assert [r.chunk_id for r in got] == want[5:12] and {r.total for r in got} == {len(want)}
+
+
+def test_postings_are_made_where_texts_are_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(U, "BLOCK_BITS", 3)
+    rows = [(i, "Abcd é\x00x" if i % 3 else None if i % 2 else "ab") for i in range(40)]
+    U.build_trigrams(spark.createDataFrame(rows, "chunk_id long, text string").coalesce(2), str(tmp_path), ["text"])
+    posts = spark.read.parquet(f"{tmp_path}/postings")
+    # One row per gram and run of a block: a numbering of all chunks by their ids would leave 5 blocks.
+    assert posts.groupBy("gram", "field", "_part").count().filter("count > 1").count() == 0
+    got = {r.gram: sorted(r.n) for r in posts.groupBy("gram").agg(F.flatten(F.collect_list("nums")).alias("n")).collect()}
+    chunks = {r._num: r.text for r in spark.read.parquet(f"{tmp_path}/chunks").collect()}
+    text = "abcd é\x00x"
+    assert got == {text[i:i + 3]: sorted(n for n, t in chunks.items() if t and len(t) > 2) for i in range(len(text) - 2)}
