@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from clausegrid.functions import fixed
 from clausegrid.functions.sizes import BROADCAST_BYTES
-from clausegrid.operators.retrieval import SCORE_DIGITS, corpus_order, first_k, top_k
+from clausegrid.operators.retrieval import SCORE_DIGITS, corpus_order, top_k
 
 QUESTION_BLOCK_ROWS = 4096
 CHUNK_BLOCK_ROWS = 50_000
+HEAD_COLUMNS = 2048  # columns whose k-th best is the floor of the others
 CELLS = 1_000_000  # largest similarity matrix held at once in a task, besides a few copies of it
 
 
@@ -49,6 +50,24 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return m / np.where(norms == 0, 1.0, norms)
 
 
+def nearest(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, rounded value) of the best ``k`` of each row, of equal ones the first. The k-th
+    of the first columns is a floor for all, so that the rest is only compared with it; what
+    reaches it is rounded and sorted."""
+    head = sim[:, :HEAD_COLUMNS]
+    if head.shape[1] > k:
+        floor = np.partition(head, head.shape[1] - k, axis=1)[:, -k] - 2.0 * 10.0**-SCORE_DIGITS
+        i, j = np.nonzero(sim >= floor[:, None])
+    else:
+        i, j = (x.ravel() for x in np.indices(sim.shape))
+    s = np.round(sim[i, j], SCORE_DIGITS)
+    order = np.lexsort((j, -s, i))
+    counts = np.bincount(i, minlength=len(sim))
+    nth = np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)
+    best = order[nth < k]
+    return i[best], j[best], s[best]
+
+
 def _best_in_block(k: int):
     def best(questions: pa.Table, chunks: pa.Table) -> pa.Table:
         """Best k chunks of each question of one pair of blocks; ties by corpus order."""
@@ -59,12 +78,10 @@ def _best_in_block(k: int):
         asked, held = _matrix(questions.column("asked")), _matrix(chunks.column("held"))[order]
         q, c, s = [], [], []
         for start in range(0, len(asked), step := max(1, CELLS // len(held))):
-            sim = np.round(asked[start : start + step] @ held.T, SCORE_DIGITS)
-            keep, _ = first_k(sim, k)
-            i, j = np.nonzero(keep)
+            i, j, score = nearest(asked[start : start + step] @ held.T, k)
             q.append(i + start)
             c.append(order[j])
-            s.append(sim[i, j])
+            s.append(score)
         q, c = np.concatenate(q), np.concatenate(c)
         return pa.table({"q": questions.column("query_id").take(pa.array(q)), "c": chunks.column("chunk_id").take(pa.array(c)),
                          "o": chunks.column("ord").take(pa.array(c)), "s": pa.array(np.concatenate(s))})

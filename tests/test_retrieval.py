@@ -233,3 +233,13 @@ def test_texts_are_not_shuffled_to_meet_candidates(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         M.MODELS.pop("one", None)
+
+
+def test_best_of_each_row_with_ties(monkeypatch):
+    monkeypatch.setattr(V, "HEAD_COLUMNS", 7)
+    rng = np.random.default_rng(5)
+    for width in (1, 3, 4, 40):
+        sim = np.round(rng.random((30, width)), 1) + rng.random((30, width)) * 1e-11
+        i, j, s = V.nearest(sim, 3)
+        want = {(r, c) for r in range(30) for c in sorted(range(width), key=lambda c: (-round(sim[r, c], 9), c))[:3]}
+        assert set(zip(i.tolist(), j.tolist())) == want and np.allclose(s, sim[i, j]) and len(i) == len(want)
