@@ -4,7 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausegrid.functions.fixed import MAX_CLAUSE_WORDS, OVERLAP_WORDS
-from clausegrid.functions.text import is_blank, json_block, strict_json, strip, word_count, words
+from clausegrid.functions.stages import stored
+from clausegrid.functions.text import is_blank, json_block, once, strict_json, strip, word_count, words
 from clausegrid.operators.ordered import BLOCK_ROWS, running
 
 SENTENCE_END = r"(?<=[.!?])[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -16,7 +17,7 @@ def reply_clauses(reply: Column) -> Column:
     items = F.when(F.schema_of_variant(parsed).startswith("ARRAY"), parsed.cast("array<variant>"))
     texts = F.transform(F.filter(items, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: v.cast("string"))
     kept = F.transform(F.filter(texts, lambda t: ~is_blank(t)), strip)
-    return F.when(F.size(kept) > 0, kept)
+    return bind(kept, lambda k: F.when(F.size(k) > 0, k))
 
 
 def section_clauses(sections: DataFrame, replies: DataFrame | None = None) -> DataFrame:
@@ -30,7 +31,7 @@ def section_clauses(sections: DataFrame, replies: DataFrame | None = None) -> Da
     if replies is None:
         return content.withColumn("clauses", whole)
     joined = content.join(replies.select("document_id", "ord", "reply"), ["document_id", "ord"], "left")
-    return joined.withColumn("clauses", F.coalesce(reply_clauses(F.col("reply")), whole)).drop("reply")
+    return once(joined, clauses=F.coalesce(reply_clauses(F.col("reply")), whole)).drop("reply")
 
 
 def bind(value: Column, body) -> Column:
@@ -109,16 +110,18 @@ def chunk_sections(
     Clause numbers run on per (document, path). A clause that is split uses one number
     itself and one per piece.
     """
-    cut = section_clauses(sections, replies).withColumn("clauses", overlapped(F.col("clauses"), overlap))
+    cut = once(section_clauses(sections, replies).withColumnRenamed("clauses", "_own"), clauses=overlapped(F.col("_own"), overlap))
 
     def pieces(clause: Column) -> Column:
-        long = word_count(clause) > max_words
-        return F.struct(long.alias("long"), F.when(long, split_long(clause, max_words, overlap)).otherwise(F.array(clause)).alias("texts"))
+        return bind(word_count(clause) > max_words, lambda long: F.struct(
+            long.alias("long"), F.when(long, split_long(clause, max_words, overlap)).otherwise(F.array(clause)).alias("texts")))
 
     def used(parts: Column) -> Column:
         return F.aggregate(parts, F.lit(0), lambda n, p: n + F.when(p["long"], 1 + F.size(p["texts"])).otherwise(1))
 
-    cut = cut.withColumn("parts", F.transform("clauses", pieces)).drop("clauses").withColumn("_used", used(F.col("parts")))
+    # The texts are cut once and stored, as the numbering reads their counts twice.
+    cut = once(once(cut, parts=F.transform("clauses", pieces)), _used=used(F.col("parts")))
+    cut = stored(cut.select("document_id", "ord", "section_path", "heading_hierarchy", "page", "is_table", "parts", "_used"), "pieces")
     numbered = running(cut, ["document_id", "section_path"], "ord", sums={"_upto": F.col("_used")}, block_rows=block_rows)
     placed = F.transform("parts", lambda p, i: F.struct(
         (used(F.slice("parts", F.lit(1), i)) + F.when(p["long"], 1).otherwise(0)).alias("before"), p["texts"].alias("texts")))
