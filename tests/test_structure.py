@@ -164,3 +164,11 @@ def test_documents_without_text(spark):
     sections = spark.createDataFrame([(1, "x"), (2, " \n ")], "document_id long, content string")
     kept, empty = L.skip_empty(docs, sections)
     assert [r.document_id for r in kept.collect()] == [1] and sorted(r.document_id for r in empty.collect()) == [2, 3]
+
+
+def test_texts_are_cut_once(spark):
+    lines = spark.createDataFrame([(1, 1, 1, "Normal", "Keep it. " * 30, "docx")], "document_id long, ord long, page int, style string, text string, format string")
+    chunks = C.chunk_sections(S.parse_structure(lines), max_words=12)
+    # What is left of the plan reads stored pieces and splits no sentence.
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" in plan and "(?<=[.!?])" not in plan and chunks.count() > 1
