@@ -126,3 +126,22 @@ def test_staged_first_values_equal_the_expression(spark):
     assert [r.v for r in staged.select(F.col("_first_role").alias("v")).collect()] == [r.v for r in parsed.select(L.first_value("role").alias("v")).collect()]
     # One generator after the other: the variant of a field is taken once.
     assert staged._jdf.queryExecution().optimizedPlan().toString().count("Generate") >= 6
+
+
+def test_obligations_need_no_other_field(spark):
+    values = ['"mandatory"', '["optional", "x"]', '{"a": "b"}', '[{"a": "b"}]', "5", "true", "null", "[]", '""', "[[1]]"]
+    replies = spark.createDataFrame([(i, f'So: {{"role": "r", "obligation": {v}}} end') for i, v in enumerate(values)] + [(90, "none"), (91, '{"obligation": "x"'), (92, None)],
+                                    "clause_id long, reply string")
+    want = {r.clause_id: r.obligation for r in L.entity_fields(replies).collect()}
+    found = L.reply_obligations(replies)
+    assert {r.clause_id: r.obligation for r in found.collect()} == want and found.columns == ["clause_id", "reply", "obligation"]
+    assert "_first_role" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_given_clauses(spark):
+    rows = [(d, i, d * 100 + i, f"{i % 3} > a", ("x" * (40 + i * 7 % 30))) for d in range(3) for i in range(20)]
+    clauses = spark.createDataFrame(rows, "document_id long, ord long, clause_id long, section_path string, text string")
+    some = {3, 104, 219, 999}
+    want = sorted(tuple(r) for r in G.conflict_pairs(clauses, 4).collect() if r.clause_a in some)
+    of = spark.createDataFrame([(i,) for i in some], "clause_id long")
+    assert sorted(map(tuple, G.conflict_pairs(clauses, 4, of).collect())) == want and want

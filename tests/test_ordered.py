@@ -43,3 +43,15 @@ def test_neighbours(spark, rows, block, before, after):
         i = places.index(r.o)
         assert [p.o for p in r.prev] == (places[max(0, i - before):i] if before else [])
         assert [p.o for p in r.next] == (places[i + 1:i + 1 + after] if after else [])
+
+
+def test_payload_is_moved_once_and_columns_keep_their_order(spark):
+    df = spark.createDataFrame([(1, o, "t" * o, o * 10) for o in range(1, 6)], "k long, o long, text string, n long").select("text", "k", "o", "n")
+    near = with_neighbours(df, ["k"], "o", ["text", "o"], 1, 1, 2)
+    assert near.columns == ["text", "k", "o", "n", "prev", "next"]
+    got = [(r.text, r.k, r.o, r.n, [x.o for x in r.prev], [x.text for x in r.next]) for r in near.orderBy("o").collect()]
+    assert got == [("t" * o, 1, o, o * 10, [o - 1] if o > 1 else [], ["t" * (o + 1)] if o < 5 else []) for o in range(1, 6)]
+    # A text that is payload is not sorted beside the item that holds it.
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Project [" in line and "AS _item#" in line]
+    assert windows and not any(line.split("Project [")[1].startswith("text#") for line in windows)
